@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("alike_queries", "listing_queries")
+_MODULES = ("alike_queries", "listing_queries", "people_queries")
 
 
 def _parts():
