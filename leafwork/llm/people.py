@@ -13,12 +13,12 @@ from leafwork.llm.bktree import levenshtein
 from leafwork.operators.graph import components
 from leafwork.session import cut
 
-# Consonants that are heard or written for each other.
-_SOUND = {c: k for k, cs in {"b": "bp", "v": "fvw", "k": "ckq", "g": "gj", "s": "sxz", "d": "dt", "l": "l", "m": "m", "n": "n", "r": "r"}.items() for c in cs}
+# Letters that are heard or written for each other.
+_SOUND = {c: k for k, cs in {"b": "bp", "v": "fvw", "k": "ckq", "g": "gj", "s": "sxz", "d": "dt", "l": "l", "m": "m", "n": "n", "r": "r", "a": "a", "e": "e", "i": "iy", "o": "o", "u": "u"}.items() for c in cs}
 
 
 def phonetic(name: str) -> str:
-    """Consonant classes of the name's sorted tokens; vowels and doubled letters are left out."""
+    """Sound classes of the letters of the name's sorted tokens; doubled sounds count once."""
     out, last = "", ""
     for c in "".join(sorted(name.split())):
         k = _SOUND.get(c, "")
@@ -29,7 +29,12 @@ def phonetic(name: str) -> str:
 
 
 def block_keys(name: str) -> list[str]:
-    """The phonetic code and the code with each symbol left out, so that codes one edit apart share a key."""
+    """The phonetic code and the code with each symbol left out.
+
+    Codes that differ by a letter put in, left out, replaced or swapped with the
+    next share a key, and few others do, so blocks stay small however many
+    names there are.
+    """
     code = phonetic(name)
     return sorted({code, *(code[:i] + code[i + 1 :] for i in range(len(code)) if len(code) > 2)})
 
