@@ -43,12 +43,16 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, w
 
 def outside_spans(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str) -> DataFrame:
     """Points of a group in none of its spans, ends excluded."""
-    return points.join(spans.select(*on, start, end), [*[points[c] == spans[c] for c in on], points[at] >= spans[start], points[at] < spans[end]], "left_anti")
+    other = spans.select(*[F.col(c).alias(f"_{c}") for c in on], F.col(start).alias("_start"), F.col(end).alias("_end"))
+    same = [F.col(c) == F.col(f"_{c}") for c in on]
+    return points.join(other, [*same, F.col(at) >= F.col("_start"), F.col(at) < F.col("_end")], "left_anti")
 
 
 def not_near(left: DataFrame, right: DataFrame, on: list[str], at: str, band: int) -> DataFrame:
     """Rows of ``left`` without a row of ``right`` in the group at most ``band`` away."""
-    return left.join(right, [*[left[c] == right[c] for c in on], F.abs(left[at] - right[at]) <= band], "left_anti")
+    other = right.select(*[F.col(c).alias(f"_{c}") for c in on], F.col(at).alias("_at"))
+    same = [F.col(c) == F.col(f"_{c}") for c in on]
+    return left.join(other, [*same, F.abs(F.col(at) - F.col("_at")) <= band], "left_anti")
 
 
 def overlay(base: DataFrame, over: DataFrame, key: str, columns: list[str]) -> DataFrame:

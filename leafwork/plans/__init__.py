@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafwork.plans import references
+from leafwork.plans import events, pages, records, references
 
-_PARTS = (references,)
+_PARTS = (references, pages, records, events)
 
 
 def all_queries() -> dict:
