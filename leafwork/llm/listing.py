@@ -138,7 +138,9 @@ def map_to_list(values: DataFrame, entries: DataFrame, typed: str = "siglum", sh
     to ``''``; repeated list rows change nothing.
     """
     spark = values.sparkSession
+    # The values are few bytes and much work, so they are spread whatever their size.
     queries = values.select(F.col(typed).alias("typed")).where("typed IS NOT NULL").distinct()
+    queries = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("typed"))
     listed = entries.select("siglum", "title").where("siglum IS NOT NULL").distinct()
     shards = max(1, ceil(listed.count() / shard_rows))
     out = None
