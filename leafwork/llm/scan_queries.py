@@ -34,8 +34,12 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def leaf_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pageid, number: what each leaf of the manifest bears. A volume, the group fitted at once, has a fixed number of leaves."""
-    leaves = table(spark, sf_dir, "manifest").groupBy("pageid", "vol", "idx").agg(F.max((F.col("kind") == "plate-or-divider").cast("int")).alias("plate"))
+    """pageid, number: what each leaf of the manifest bears. A volume, the group fitted at once, has a fixed number of leaves.
+
+    Manifest rows without page, volume or index are left out; a null reading is none.
+    """
+    manifest = table(spark, sf_dir, "manifest").where("pageid IS NOT NULL AND vol IS NOT NULL AND idx IS NOT NULL")
+    leaves = manifest.groupBy("pageid", "vol", "idx").agg(F.coalesce(F.max((F.col("kind") == "plate-or-divider").cast("int")), F.lit(0)).alias("plate"))
     read = table(spark, sf_dir, "page_numbers").groupBy("pageid").agg(F.max_by("printed_number", F.struct("read_at", "loaded_at", "printed_number")).alias("printed"))
     return leaves.join(read, "pageid", "left").groupBy("vol").applyInPandas(_fit, "pageid string, number string")
 
@@ -59,7 +63,7 @@ def page_lines(spark: SparkSession, sf_dir: str, numbers: DataFrame) -> DataFram
     share, and those that half a per cent of all pages share (at most 800), and
     that are not as often headings within pages.
     """
-    pages = cut(_place(table(spark, sf_dir, "page_files").select("file_name", "pageid", "body").where("body IS NOT NULL").dropDuplicates(["file_name"])))
+    pages = cut(_place(table(spark, sf_dir, "page_files").select("file_name", "pageid", "body").where("body IS NOT NULL AND file_name IS NOT NULL").dropDuplicates(["file_name"])))
     keys = cut(pages.select("vol", "body").mapInPandas(_edge_rows, "vol int, key string, outer int").groupBy("vol", "key").agg(F.sum("outer").alias("outer"), F.sum(1 - F.col("outer")).alias("inner")))
     every = keys.groupBy("key").agg(F.sum("outer").alias("all_outer"), F.sum("inner").alias("all_inner")).where("all_inner <= all_outer")
     least = max(4, 0.005 * pages.count())
