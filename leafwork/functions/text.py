@@ -110,7 +110,7 @@ def url_quote(text: Column) -> Column:
 
 def split_top(text: Column, mark: str = ",") -> Column:
     """Split at ``mark`` outside parentheses of one level."""
-    return F.transform(F.split(text, rf"{mark}(?![^(]*\))"), F.trim)
+    return F.transform(F.split(text, rf"{mark}(?![^(]*\))"), lambda x: F.trim(x))
 
 
 def expand_optional(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafwork.plans import events, pages, records, references
+from leafwork.plans import events, index, pages, records, references
 
-_PARTS = (references, pages, records, events)
+_PARTS = (references, pages, records, index, events)
 
 
 def all_queries() -> dict:
