@@ -19,9 +19,11 @@ from leafwork.session import cut
 # What is printed, and what a scan makes of it.
 CONFUSIONS = (
     ("e", "c"), ("c", "e"), ("o", "0"), ("a", "@"), ("n", "u"), ("u", "n"), ("s", "5"), ("i", "!"), ("l", "1"), ("é", "6"), ("d", "cl"), ("m", "rn"),
-    ("g", "9"), ("f", "t"), ("v", "y"), ("h", "b"), ("in", "m"), ("ri", "n"), ("li", "h"), ("cl", "d"), ("rn", "m"), ("b", "6"), ("b", "8"), ("i", "1"), ("l", "!"), ("t", "f"), ("q", "g"),
+    ("è", "ê"), ("ê", "è"), ("é", "è"), ("è", "é"), ("é", "ê"), ("ê", "é"), ("g", "9"), ("f", "t"), ("v", "y"), ("h", "b"), ("in", "m"), ("ri", "n"), ("li", "h"), ("cl", "d"), ("rn", "m"), ("b", "6"), ("b", "8"), ("i", "1"), ("l", "!"), ("t", "f"), ("q", "g"),
 )
 _SHARE = 2e-6
+# Misreadings of a word may be so many times as frequent as its letters alone let expect: short words have few ways to go wrong.
+_EXCESS = 16
 
 
 def readings(word: str, known: dict[str, int], most: int = 2) -> dict[str, tuple[tuple[str, str], ...]]:
@@ -60,7 +62,7 @@ def _candidates(vocabulary, odds, suspects_only):
             if suspects_only and len(out):
                 expected = (out["cn"] * out["p"]).groupby(out["word"]).transform("sum")
                 odd = ~out["word"].str.isalpha()
-                out = out[(odd & (out["n"] <= 0.5 * out["cn"])) | ((out["n"] <= 3 + 8 * expected) & (out["cn"] >= 8 * out["n"]))]
+                out = out[(odd & (out["n"] <= 0.5 * out["cn"])) | ((out["n"] <= 3 + _EXCESS * expected) & (out["cn"] >= 8 * out["n"]))]
             yield out
 
     return run
@@ -100,7 +102,7 @@ def _decode(line: list[dict], pairs: dict[tuple[str, str], int], total: int) ->
     seen in are those of the misread word.
     """
     best: dict[str, tuple[float, tuple[str, ...]]] = {"": (0.0, ())}
-    weight = {"": total}
+    weight, known = {"": total}, {"": True}
     for token in line:
         own = token["n"]
         if token["cands"]:
@@ -110,10 +112,11 @@ def _decode(line: list[dict], pairs: dict[tuple[str, str], int], total: int) ->
         after: dict[str, tuple[float, tuple[str, ...]]] = {}
         for c, channel, n, paired in options:
             for a, (score, path) in best.items():
-                s = score + channel + log(0.7 * paired * pairs.get((a, c), 0) / max(weight[a], 1) + 0.3 * n / total)
+                pair = pairs.get((a, c), 0) if paired and known[a] else 0
+                s = score + channel + log(0.7 * pair / max(weight[a], 1) + 0.3 * n / total)
                 if c not in after or s > after[c][0]:
                     after[c] = (s, (*path, c))
-        best, weight = after, {c: n for c, _, n, _ in options}
+        best, weight, known = after, {c: n for c, _, n, _ in options}, {c: paired for c, _, _, paired in options}
     return list(max(best.values())[1])
 
 
@@ -145,7 +148,7 @@ def misread_words(tokens: DataFrame) -> DataFrame:
     counts = cut(rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 1
     cands = suspects(counts, total)
-    per_word = cands.groupBy("word").agg(F.collect_list(F.struct("cand", "cn", "p")).alias("cands"), (5 * F.sum(F.col("cn") * F.col("p"))).alias("expected"))
+    per_word = cands.groupBy("word").agg(F.collect_list(F.struct("cand", "cn", "p")).alias("cands"), (_EXCESS * F.sum(F.col("cn") * F.col("p"))).alias("expected"))
     lines = rows.join(per_word.select("word"), "word", "left_semi").select("line").distinct()
     inside = rows.join(lines, "line", "left_semi")
     full = cut(inside.join(counts, "word").join(per_word, "word", "left").select("line", "pos", "word", "n", F.coalesce("expected", F.lit(0.0)).alias("expected"), "cands"))
