@@ -75,15 +75,15 @@ def suspects(counts: DataFrame, total: int) -> DataFrame:
     letters that make up at least two millionths of the text (and occur five
     times), so there are at most 500,000, whatever the size of the corpus; they
     are what is sent to the executors. The probability of each confusion is
-    estimated first, from the rare words it explains in the whole corpus.
+    estimated first, from the words it explains in the whole corpus by one
+    that is fifty times as frequent.
     """
     spark = counts.sparkSession
     least = max(5, int(total * _SHARE))
     known = {r.word: r.n for r in counts.where((F.col("n") >= least) & F.col("word").rlike(r"^[\p{L}-]+$")).collect()}
     vocabulary = spark.sparkContext.broadcast(known)
     schema = "word string, n long, cand string, cn long, p double, how string"
-    rare = counts.where((F.col("n") <= 3) | ~F.col("word").rlike(r"^[\p{L}-]+$"))
-    seen = rare.mapInPandas(_candidates(vocabulary, None, False), schema).where(~F.col("how").contains("|"))
+    seen = counts.mapInPandas(_candidates(vocabulary, None, False), schema).where(~F.col("how").contains("|") & (F.col("cn") >= 50 * F.col("n")))
     one = seen.groupBy("word").agg(F.max_by("how", F.struct("cn", "cand")).alias("how"), F.first("n").alias("n"))
     used = {r.how: r.k for r in one.groupBy("how").agg(F.sum("n").alias("k")).collect()}
     letters: dict[str, int] = {}
