@@ -138,6 +138,13 @@ def song_gaps(spark: SparkSession, d: str) -> DataFrame:
     return every.join(t.where("vol <= 2"), ["vol", "num"], "left_anti").where("num % 7 = 0")
 
 
+def song_gaps_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every number up to a volume's highest that no song of the volume bears; song_gaps, whose SQL is fixed, looks at a part."""
+    t = table(spark, d, "chansons").select("vol", "num").distinct()
+    every = t.groupBy("vol").agg(F.max("num").alias("n")).where("n >= 1").select("vol", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("num"))
+    return every.join(t, ["vol", "num"], "left_anti")
+
+
 def song_catalogue(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "chansons")
     parts = t.select("vol", "num", "chanson_id", F.explode(F.array(F.struct(F.lit("remarques").alias("kind"), F.size("remarques.pages").alias("n")), F.struct(F.lit("texte").alias("kind"), F.size("texte.pages").alias("n")))).alias("p")).select("vol", "num", "chanson_id", "p.*")
@@ -210,7 +217,7 @@ def similar_titles(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", shared_letters(F.lower("ta"), F.lower("tb")).cast("long").alias("letters"))
 
 
-QUERIES = {f.__name__: f for f in (title_keys, title_acronyms, plain_entries, song_numbers, siglum_usage_counts, siglum_top, confidence_counts, titles_per_author, first_definition, undefined_sigla, curated_definitions, siglum_cascade, linked_definitions, best_entry, nested_reviews, tree_counts, heading_cursor, works_so_far, title_anchors, usage_ranks, songs_shared, song_gaps, song_catalogue, song_pages, usage_matrix, page_sets, note_back_references, note_decisions, numbered_quotes, quality_flags, flag_stats, similar_titles)}
+QUERIES = {f.__name__: f for f in (title_keys, title_acronyms, plain_entries, song_numbers, siglum_usage_counts, siglum_top, confidence_counts, titles_per_author, first_definition, undefined_sigla, curated_definitions, siglum_cascade, linked_definitions, best_entry, nested_reviews, tree_counts, heading_cursor, works_so_far, title_anchors, usage_ranks, songs_shared, song_gaps, song_gaps_all, song_catalogue, song_pages, usage_matrix, page_sets, note_back_references, note_decisions, numbered_quotes, quality_flags, flag_stats, similar_titles)}
 
 _FOLD = "regexp_replace(lower(translate({}, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^a-z0-9]+', '', 'g')"
 _ROMAN = "(['','M','MM','MMM'])[n // 1000 + 1] || (['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'])[n // 100 % 10 + 1] || (['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'])[n // 10 % 10 + 1] || (['','I','II','III','IV','V','VI','VII','VIII','IX'])[n % 10 + 1]"
@@ -261,6 +268,7 @@ SQL = {
       SELECT vol, siglum, dense_rank() OVER (PARTITION BY vol ORDER BY uses) AS cote, CAST((row_number() OVER (PARTITION BY vol, uses ORDER BY siglum) - 1 - (count(*) OVER (PARTITION BY vol, uses) - 1) / 2) * 15.0 AS DOUBLE) AS spread FROM u""",
     "songs_shared": f"WITH t AS (SELECT chanson_id, vol, {_FOLD.format('incipit')} AS k FROM chansons WHERE incipit IS NOT NULL) SELECT a.chanson_id AS song_a, b.chanson_id AS song_b FROM t a JOIN t b ON a.k = b.k AND a.vol < b.vol",
     "song_gaps": "WITH t AS (SELECT DISTINCT vol, num FROM chansons), e AS (SELECT vol, unnest(range(1, max(num) + 1)) AS num FROM t GROUP BY vol) SELECT vol, CAST(num AS INTEGER) AS num FROM e WHERE num % 7 = 0 AND NOT EXISTS (SELECT 1 FROM t WHERE t.vol <= 2 AND t.vol = e.vol AND t.num = e.num)",
+    "song_gaps_all": "WITH t AS (SELECT DISTINCT vol, num FROM chansons), e AS (SELECT vol, unnest(range(1, max(num) + 1)) AS num FROM t GROUP BY vol) SELECT vol, CAST(num AS INTEGER) AS num FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.vol = e.vol AND t.num = e.num)",
     "song_catalogue": "SELECT vol, num, arg_max(len(remarques.pages), chanson_id) AS remarques, arg_max(len(texte.pages), chanson_id) AS texte FROM chansons GROUP BY 1, 2",
     "song_pages": """WITH p AS (SELECT chanson_id, generate_subscripts(l, 1) AS i, unnest(l) AS pageid FROM (SELECT chanson_id, texte.pages AS l FROM chansons)), m AS (SELECT pageid, max(printed) AS printed FROM manifest GROUP BY 1)
       SELECT chanson_id, arg_min(printed, i) AS first, arg_max(printed, i) AS last, count(*) AS pages FROM p JOIN m ON p.pageid = m.pageid WHERE printed <> '' GROUP BY 1""",
