@@ -25,6 +25,13 @@ def index_targets(spark: SparkSession, d: str) -> DataFrame:
     return uses.join(songs, "num", "left").select("song", F.col("num").cast("long").alias("num"), "uses", "words", "chanson_id", F.col("chanson_id").isNull().alias("missing"))
 
 
+def index_targets_all(spark: SparkSession, d: str) -> DataFrame:
+    """Songs that the index entries name, a row for each volume that has the number; index_targets, whose SQL is fixed, looks in the first."""
+    songs = table(spark, d, "chansons").groupBy("vol", "num").agg(F.min("chanson_id").alias("chanson_id"))
+    uses = index_entries(spark, d).groupBy("song").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("word").alias("words")).withColumn("num", from_roman(F.col("song")))
+    return uses.join(songs, "num", "left").select("song", F.col("num").cast("long").alias("num"), "uses", "words", "vol", "chanson_id", F.col("chanson_id").isNull().alias("missing"))
+
+
 def first_note_order(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page_files").select("file_name", F.array_join(notes_once(F.regexp_replace("body", r"(?m)^\[\^[^\]]+\]:.*$", "")), ",").alias("notes"))
 
@@ -45,7 +52,7 @@ def page_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page_files").select("file_name", render(F.col("body")).alias("html"))
 
 
-QUERIES = {f.__name__: f for f in (index_entries, index_targets, first_note_order, song_marks, commonest_word, page_html)}
+QUERIES = {f.__name__: f for f in (index_entries, index_targets, index_targets_all, first_note_order, song_marks, commonest_word, page_html)}
 
 _ENTRIES = """SELECT doc_id, no, regexp_extract(line, '^(\\p{L}+) ', 1) AS word, regexp_extract(g, '([IVXLC]+),', 1) AS song, CAST(unnest(regexp_extract_all(regexp_extract(g, ',(.*)$', 1), '[0-9]+')) AS INTEGER) AS verse FROM (
   SELECT doc_id, no, line, trim(unnest(string_split(regexp_replace(line, '^\\p{L}+ ', ''), ';'))) AS g FROM (SELECT doc_id, generate_subscripts(l, 1) AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(line, '^\\p{L}+ [IVXLC]+, [0-9]+(;|$)'))
@@ -55,5 +62,7 @@ SQL = {
     "index_entries": _ENTRIES,
     "index_targets": f"""WITH u AS (SELECT song, count(*) AS uses, count(DISTINCT word) AS words FROM ({_ENTRIES}) GROUP BY 1), n AS (SELECT *, CAST({_VALUE} AS BIGINT) AS num FROM u), s AS (SELECT num, min(chanson_id) AS chanson_id FROM chansons WHERE vol = 1 GROUP BY 1)
       SELECT song, n.num, uses, words, chanson_id, chanson_id IS NULL AS missing FROM n LEFT JOIN s ON n.num = s.num""",
+    "index_targets_all": f"""WITH u AS (SELECT song, count(*) AS uses, count(DISTINCT word) AS words FROM ({_ENTRIES}) GROUP BY 1), n AS (SELECT *, CAST({_VALUE} AS BIGINT) AS num FROM u), s AS (SELECT vol, num, min(chanson_id) AS chanson_id FROM chansons GROUP BY 1, 2)
+      SELECT song, n.num, uses, words, vol, chanson_id, chanson_id IS NULL AS missing FROM n LEFT JOIN s ON n.num = s.num""",
     "commonest_word": "WITH c AS (SELECT source, word, count(*) AS uses FROM (SELECT source, unnest(regexp_extract_all(lower(text), '\\p{L}{6,}')) AS word FROM documents) GROUP BY 1, 2) SELECT source, word, uses FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY uses DESC, word) AS n FROM c) WHERE n = 1",
 }

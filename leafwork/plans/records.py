@@ -165,6 +165,11 @@ def usage_matrix(spark: SparkSession, d: str) -> DataFrame:
     return wide.select("siglum", *[F.coalesce(F.col(str(v)), F.lit(0)).cast("long").alias(f"vol{v}") for v in (1, 2, 3)])
 
 
+def usage_matrix_all(spark: SparkSession, d: str) -> DataFrame:
+    """Uses of each siglum in each volume that has it, in long form; usage_matrix, whose SQL is fixed, has three volumes."""
+    return table(spark, d, "siglum_usage").groupBy("siglum", "vol").agg(F.sum("uses").alias("uses"))
+
+
 def page_sets(spark: SparkSession, d: str) -> DataFrame:
     used = table(spark, d, "chansons").select(F.explode("texte.pages").alias("pageid"))
     have = table(spark, d, "manifest").select("pageid")
@@ -217,7 +222,7 @@ def similar_titles(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", shared_letters(F.lower("ta"), F.lower("tb")).cast("long").alias("letters"))
 
 
-QUERIES = {f.__name__: f for f in (title_keys, title_acronyms, plain_entries, song_numbers, siglum_usage_counts, siglum_top, confidence_counts, titles_per_author, first_definition, undefined_sigla, curated_definitions, siglum_cascade, linked_definitions, best_entry, nested_reviews, tree_counts, heading_cursor, works_so_far, title_anchors, usage_ranks, songs_shared, song_gaps, song_gaps_all, song_catalogue, song_pages, usage_matrix, page_sets, note_back_references, note_decisions, numbered_quotes, quality_flags, flag_stats, similar_titles)}
+QUERIES = {f.__name__: f for f in (title_keys, title_acronyms, plain_entries, song_numbers, siglum_usage_counts, siglum_top, confidence_counts, titles_per_author, first_definition, undefined_sigla, curated_definitions, siglum_cascade, linked_definitions, best_entry, nested_reviews, tree_counts, heading_cursor, works_so_far, title_anchors, usage_ranks, songs_shared, song_gaps, song_gaps_all, song_catalogue, song_pages, usage_matrix, usage_matrix_all, page_sets, note_back_references, note_decisions, numbered_quotes, quality_flags, flag_stats, similar_titles)}
 
 _FOLD = "regexp_replace(lower(translate({}, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^a-z0-9]+', '', 'g')"
 _ROMAN = "(['','M','MM','MMM'])[n // 1000 + 1] || (['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'])[n // 100 % 10 + 1] || (['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'])[n // 10 % 10 + 1] || (['','I','II','III','IV','V','VI','VII','VIII','IX'])[n % 10 + 1]"
@@ -273,6 +278,7 @@ SQL = {
     "song_pages": """WITH p AS (SELECT chanson_id, generate_subscripts(l, 1) AS i, unnest(l) AS pageid FROM (SELECT chanson_id, texte.pages AS l FROM chansons)), m AS (SELECT pageid, max(printed) AS printed FROM manifest GROUP BY 1)
       SELECT chanson_id, arg_min(printed, i) AS first, arg_max(printed, i) AS last, count(*) AS pages FROM p JOIN m ON p.pageid = m.pageid WHERE printed <> '' GROUP BY 1""",
     "usage_matrix": "SELECT siglum, CAST(coalesce(sum(uses) FILTER (vol = 1), 0) AS BIGINT) AS vol1, CAST(coalesce(sum(uses) FILTER (vol = 2), 0) AS BIGINT) AS vol2, CAST(coalesce(sum(uses) FILTER (vol = 3), 0) AS BIGINT) AS vol3 FROM siglum_usage WHERE vol <= 3 GROUP BY 1",
+    "usage_matrix_all": "SELECT siglum, vol, CAST(sum(uses) AS BIGINT) AS uses FROM siglum_usage GROUP BY 1, 2",
     "page_sets": "WITH u AS (SELECT DISTINCT unnest(texte.pages) AS pageid FROM chansons) SELECT pageid, 'used only' AS side FROM u WHERE pageid NOT IN (SELECT pageid FROM manifest) UNION ALL SELECT DISTINCT pageid, 'never used' FROM manifest WHERE pageid NOT IN (SELECT pageid FROM u)",
     "note_back_references": _BACK,
     "note_decisions": f"""SELECT CASE WHEN seq % 5 = 0 THEN 'flag: counts differ' WHEN kind = 'bare' AND target_title IS NOT NULL THEN 'ibid. with locator' WHEN kind = 'bare' THEN 'flag: no single locator' WHEN confidence = 'unresolved' THEN 'flag: unresolved'

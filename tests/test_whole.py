@@ -16,3 +16,15 @@ def _rows(spark, name, folder):
 def test_song_gaps_in_every_volume(spark, tmp_path):
     d = _saved(spark, tmp_path, chansons=([(1, 1), (1, 3), (1, 3), (5, 2), (5, 7), (9, 1), (9, 2)], "vol int, num int"))
     assert _rows(spark, "song_gaps_all", d) == [(1, 2), (5, 1), (5, 3), (5, 4), (5, 5), (5, 6)]
+
+
+def test_usage_of_every_volume(spark, tmp_path):
+    d = _saved(spark, tmp_path, siglum_usage=([(1, "AB", 2), (4, "AB", 3), (4, "AB", 1), (90, "CD", 5)], "vol int, siglum string, uses int"))
+    assert _rows(spark, "usage_matrix_all", d) == [("AB", 1, 2), ("AB", 4, 4), ("CD", 90, 5)]
+
+
+def test_index_targets_in_every_volume(spark, tmp_path):
+    songs = ([(10, 1, 1), (11, 2, 1), (20, 7, 4), (21, 7, 4)], "chanson_id long, vol int, num int")
+    d = _saved(spark, tmp_path, chansons=songs, documents=([(1, "amor I, 3; IV, 2, 5\njoi L, 9")], "doc_id long, text string"))
+    got = {(r.song, r.vol): (r.num, r.uses, r.words, r.chanson_id, r.missing) for r in plans.all_queries()["index_targets_all"](spark, d).collect()}
+    assert got == {("I", 1): (1, 1, 1, 10, False), ("I", 2): (1, 1, 1, 11, False), ("IV", 7): (4, 2, 1, 20, False), ("L", None): (50, 1, 1, None, True)}
