@@ -1,0 +1,80 @@
+"""References back of the notes, as their text has them; the queries of plans/records.py take the kind from the page number."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafwork.llm.notes import EVENTS, SPAN, author_key, read_notes
+from leafwork.operators.apparatus import back_references_exact, lines, note_decision
+from leafwork.operators.ordered import carry_forward
+from leafwork.session import cut
+from leafwork.sources.tables import table
+
+
+def _entry_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in batches:
+        yield x.assign(author=[author_key(a) for a in x["author"]])
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    sigla = frozenset(r.siglum for r in table(spark, d, "siglum_list").select("siglum").collect())  # a fixed table
+    rows = lines(table(spark, d, "page_files").where("provenance = 'base'"), ["file_name"], "body").where(F.col("line").rlike(r"^\[\^[^\]]+\]:"))
+    page = F.regexp_extract("file_name", r"p(\d+)\.md", 1).cast("long")
+    text = F.regexp_replace("line", r"^\[\^[^\]]+\]:\s*", "").alias("text")
+    rows = rows.select(F.regexp_extract("file_name", r"v(\d+)p", 1).alias("doc"), ((page * SPAN + F.col("no")) * SPAN).alias("note"), text)
+    return rows.mapInPandas(read_notes(sigla), EVENTS)
+
+
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    """doc, note, seq, kind, author, target_seq, target_title, source, confidence, marks and locators of every reference back.
+
+    The last full citation of the author in the notes comes first, then the
+    volume's bibliography, then the last earlier note that names the author.
+    """
+    events = cut(_events(spark, d))
+    exact = back_references_exact(events.where("kind <> 'mention'"))
+    exact = exact.join(events.where("kind <> 'mention'").select("doc", "seq", "note", "marks", "locators"), ["doc", "seq"])
+    entries = table(spark, d, "bibliography_entry").where("author IS NOT NULL").select(F.col("vol").cast("string").alias("doc"), "entry_id", "author", "title")
+    entries = entries.mapInPandas(_entry_keys, "doc string, entry_id long, author string, title string").where("author <> ''")
+    listed = entries.groupBy("doc", "author").agg(F.min_by("title", "entry_id").alias("listed"), F.countDistinct("title").alias("works"))
+    named = events.where("kind = 'mention'").select("doc", "author", "seq", F.col("note").alias("mention"))
+    both = exact.join(listed, ["doc", "author"], "left").unionByName(named, allowMissingColumns=True)
+    # A null author has no mention: only rows with a key are looked back for.
+    rows = carry_forward(both, ["doc", "author"], ["seq"], F.col("mention"), "named_in", exclusive=True).where("mention IS NULL")
+    open_ = (F.col("confidence") == "unresolved") & F.col("author").isNotNull() & (F.col("author") != "")
+    source = F.when(F.col("confidence") != "unresolved", "note").when(open_ & F.col("listed").isNotNull(), "bibliography").when(open_ & F.col("named_in").isNotNull(), "mention")
+    rows = rows.withColumn("source", source)
+    by = lambda note, bibliography, mention: F.when(F.col("source") == "note", note).when(F.col("source") == "bibliography", bibliography).when(F.col("source") == "mention", mention)
+    none = F.lit(None)
+    sure = F.when(F.col("works") > 1, "medium").otherwise("high")
+    return rows.select(
+        "doc", "note", "seq", "kind", "author",
+        by(F.col("target_seq"), none, F.col("named_in")).alias("target_seq"),
+        by(F.col("target_title"), F.col("listed"), none).alias("target_title"), "source",
+        F.coalesce(by(F.col("confidence"), sure, F.lit("low")), F.lit("unresolved")).alias("confidence"), "marks", "locators",
+    )
+
+
+def note_back_references_read(spark: SparkSession, d: str) -> DataFrame:
+    return _resolved(spark, d).drop("note", "marks", "locators")
+
+
+def note_decisions_read(spark: SparkSession, d: str) -> DataFrame:
+    """How many references back get which decision; a note whose phrases outnumber its resolved references is one for a reader."""
+    rows = cut(_resolved(spark, d))
+    resolved = rows.groupBy("doc", "note").agg(F.count("source").alias("resolved"))
+    # The note a bare reference means: a mark refers to the page its antecedent gives, if that is one.
+    at = _events(spark, d).groupBy("doc", F.col("note").alias("target_note")).agg(F.max("locators").alias("pages"))
+    rows = rows.join(resolved, ["doc", "note"]).withColumn("target_note", (F.floor(F.col("target_seq") / SPAN) * SPAN).cast("long")).join(at, ["doc", "target_note"], "left")
+    works = F.when(F.col("confidence") == "unresolved", 0).when(F.col("confidence") == "medium", 2).otherwise(1)
+    said = note_decision(F.col("kind"), F.lit(True), F.coalesce("pages", F.lit(0)), works)
+    said = F.when(F.col("marks") != F.col("resolved"), "flag: counts differ").when(F.col("source") == "mention", "flag: low confidence").otherwise(said)
+    return rows.groupBy(said.alias("decision")).agg(F.count(F.lit(1)).alias("notes"))
+
+
+QUERIES = {f.__name__: f for f in (note_back_references_read, note_decisions_read)}
+SQL: dict[str, str] = {}

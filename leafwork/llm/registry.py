@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("alike_queries", "listing_queries", "people_queries", "matching_queries", "quality_queries", "scan_queries", "packing_queries")
+_MODULES = ("alike_queries", "listing_queries", "people_queries", "matching_queries", "quality_queries", "scan_queries", "packing_queries", "notes_queries")
 
 
 def _parts():

@@ -71,7 +71,7 @@ _FOLDED = "doc string, seq long, kind string, author string, target_seq long, ta
 
 
 def back_references_exact(events: DataFrame) -> DataFrame:
-    """As :func:`back_references`, with ``id.`` events, whose author is that of the last citation resolved.
+    """As :func:`back_references`, with ``id`` events, whose author is that of the last citation resolved, and ``id full`` ones, which cite another work of that author.
 
     The author of an ``id.`` event depends on how the events before were
     resolved, so each document's events, which are few, are folded in order.
@@ -82,10 +82,10 @@ def back_references_exact(events: DataFrame) -> DataFrame:
 def _fold(group: pd.DataFrame) -> pd.DataFrame:
     last_full, by_author, works, rows = None, {}, {}, []
     for doc, seq, kind, author, title in group.sort_values("seq")[["doc", "seq", "kind", "author", "title"]].itertuples(index=False):
-        if kind == "id":
+        if kind in ("id", "id full"):
             author = last_full[1] if last_full else None
         key = (author or "").lower()
-        if kind == "full":
+        if kind in ("full", "id full"):
             last_full = by_author[key] = (seq, author, title)
             works.setdefault(key, set()).add(title)
             continue

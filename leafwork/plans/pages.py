@@ -66,6 +66,13 @@ def verse_numbers(spark: SparkSession, d: str) -> DataFrame:
     return carry_number(rows, ["file_name"], ["no"], given, "verse").select("file_name", "no", "verse")
 
 
+def verse_numbers_read(spark: SparkSession, d: str) -> DataFrame:
+    """Verses by the numbers printed before them; verse_numbers, whose SQL is fixed, takes a number from the length of the line."""
+    rows = fenced(_lines(spark, d), ["file_name"], ["no"], "line").where("inside AND trim(line) <> ''")
+    given = F.nullif(F.regexp_extract(F.trim("line"), r"^([0-9]{1,9})\s*[.·]\s", 1), F.lit(""))
+    return carry_number(rows, ["file_name"], ["no"], given, "verse").select("file_name", "no", "verse")
+
+
 def note_residual(spark: SparkSession, d: str) -> DataFrame:
     return residual(_marks(spark, d), ["file_name"]).groupBy("file_name", "label", "fault").agg(F.count(F.lit(1)).alias("times"))
 
@@ -178,7 +185,7 @@ def letter_buckets(spark: SparkSession, d: str) -> DataFrame:
     return buckets(table(spark, d, "siglum_list"), "title", F.col("category") == "periodical")
 
 
-QUERIES = {f.__name__: f for f in (token_counts, page_classify, page_lines, line_kinds, paragraph_islands, reflow, fenced_verse, verse_numbers, note_residual, note_overflow, note_order, note_texts, overlay_merge, overlay_missing, word_heal, open_pages, section_ranges, manifest_pager, printed_carry, printed_join, kind_counts, quotes_in_notes, headings_apart, page_links, document_text, word_index, word_in_context, search_folded, letter_buckets)}
+QUERIES = {f.__name__: f for f in (token_counts, page_classify, page_lines, line_kinds, paragraph_islands, reflow, fenced_verse, verse_numbers, verse_numbers_read, note_residual, note_overflow, note_order, note_texts, overlay_merge, overlay_missing, word_heal, open_pages, section_ranges, manifest_pager, printed_carry, printed_join, kind_counts, quotes_in_notes, headings_apart, page_links, document_text, word_index, word_in_context, search_folded, letter_buckets)}
 
 _HEAD = "(regexp_matches(line, '^#{1,6} ') OR (length(line) <= 64 AND regexp_matches(line, '^[^\\p{Ll}]*\\p{Lu}{2}[^\\p{Ll}]*$')))"
 _ISLANDS = f"SELECT *, CAST(sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY no) AS BIGINT) AS island FROM ({LINES})"
@@ -199,6 +206,9 @@ SQL = {
     "verse_numbers": f"""WITH v AS (SELECT file_name, no, row_number() OVER w AS pos, CASE WHEN length(line) % 7 = 0 THEN no END AS g FROM ({_FENCE}) WINDOW w AS (PARTITION BY file_name ORDER BY no)),
       u AS (SELECT *, last_value(g IGNORE NULLS) OVER w AS base, last_value(CASE WHEN g IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS seat FROM v WINDOW w AS (PARTITION BY file_name ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
       SELECT file_name, no, coalesce(base + pos - seat, pos) AS verse FROM u""",
+    "verse_numbers_read": f"""WITH v AS (SELECT file_name, no, row_number() OVER w AS pos, CAST(nullif(regexp_extract(trim(line), '^([0-9]{{1,9}})\\s*[.·]\\s', 1), '') AS BIGINT) AS g FROM ({_FENCE}) WHERE trim(line) <> '' WINDOW w AS (PARTITION BY file_name ORDER BY no)),
+      u AS (SELECT *, last_value(g IGNORE NULLS) OVER w AS base, last_value(CASE WHEN g IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS seat FROM v WINDOW w AS (PARTITION BY file_name ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+      SELECT file_name, no, coalesce(base + pos - seat, pos) AS verse FROM u""",
     "note_residual": f"SELECT file_name, label, fault, count(*) AS times FROM ({_FAULTS}) GROUP BY ALL",
     "note_overflow": f"""WITH f AS (SELECT *, regexp_extract(file_name, 'v(\\d+)p', 1) AS vol, CAST(regexp_extract(file_name, 'p(\\d+)\\.md', 1) AS INTEGER) AS idx FROM ({_FAULTS})),
       d AS (SELECT *, row_number() OVER (PARTITION BY vol, idx ORDER BY label) AS r FROM f WHERE fault = 'dangling'), o AS (SELECT *, row_number() OVER (PARTITION BY vol, idx ORDER BY label) AS r FROM f WHERE fault = 'orphan')

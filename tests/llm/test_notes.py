@@ -1,0 +1,37 @@
+from leafwork.llm.notes import SPAN, mentioned, note_events
+from leafwork.llm.notes_queries import note_back_references_read, note_decisions_read
+
+
+def _kinds(text, sigla=frozenset()):
+    return [(kind, author, title) for _, kind, author, title in note_events(text, sigla)]
+
+
+def test_events():
+    text = "Voir A. RIRANGUE, *Les chants*, p. 3; Id., *La cour*, p. 4; PIRVEN, *op. cit.*, p. 5; ibid., p. 6; id., *art. cit.*"
+    assert _kinds(text) == [("full", "A. RIRANGUE", "Les chants"), ("id full", "Id.", "La cour"), ("named", "PIRVEN", None), ("bare", "", None), ("id", "id.", None)]
+    assert _kinds("PAT, *op. cit.*, p. 5", frozenset({"PAT"})) == [] and _kinds("Le poète.") == []
+    assert mentioned("SAURAN et XIV et PAT et PIRVEN", frozenset({"PAT"})) == ["pirven", "sauran"]
+
+
+NOTES = [
+    (1, "RIRANGUE, *Les chants*, p. 3"), (2, "SAURAN dit cela"), (4, "RIRANGUE, *op. cit.*, p. 8"), (5, "ibid."), (6, "SAURAN, *op. cit.*"), (7, "MUNDAN, *op. cit.*, p. 2"), (8, "VINDAN, *op. cit.*"),
+    (9, "Id., *op. cit.*"), (10, "Id., *La cour*, p. 1"), (11, "RIRANGUE, *op. cit.*; SELVAN, *op. cit.*"),
+]
+
+
+def test_references_back(spark, tmp_path):
+    pages = [(f"corpus/v1p{p:03}.md", "base", f"texte\n[^1]: {t}") for p, t in NOTES] + [("corpus/v2p001.md", "base", "[^1]: ibid., p. 3"), ("corpus_v2/v1p001.md", "overlay", "[^1]: ibid.")]
+    tables = {
+        "page_files": (pages, "file_name string, provenance string, body string"), "siglum_list": ([("PAT",)], "siglum string"),
+        "bibliography_entry": ([(1, 1, "MUNDAN, Jean", "Un livre"), (2, 2, "VINDAN", "Autre")], "entry_id long, vol int, author string, title string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    page = lambda seq: seq and seq // SPAN // SPAN
+    got = sorted((r.doc, page(r.seq), r.seq % SPAN, r.kind, page(r.target_seq), r.target_title, r.source, r.confidence) for r in note_back_references_read(spark, str(tmp_path)).collect())
+    assert [g[:2] + g[3:] for g in got] == [
+        ("1", 4, "named", 1, "Les chants", "note", "high"), ("1", 5, "bare", 1, "Les chants", "note", "low"), ("1", 6, "named", 2, None, "mention", "low"), ("1", 7, "named", None, "Un livre", "bibliography", "high"),
+        ("1", 8, "named", None, None, None, "unresolved"), ("1", 9, "id", 1, "Les chants", "note", "high"), ("1", 11, "named", 10, "La cour", "note", "medium"), ("1", 11, "named", None, None, None, "unresolved"), ("2", 1, "bare", None, None, None, "unresolved"),
+    ]
+    counts = {r.decision: r.notes for r in note_decisions_read(spark, str(tmp_path)).collect()}
+    assert counts == {"short title": 3, "ibid. with locator": 1, "flag: low confidence": 1, "flag: counts differ": 4}

@@ -28,3 +28,9 @@ def test_index_targets_in_every_volume(spark, tmp_path):
     d = _saved(spark, tmp_path, chansons=songs, documents=([(1, "amor I, 3; IV, 2, 5\njoi L, 9")], "doc_id long, text string"))
     got = {(r.song, r.vol): (r.num, r.uses, r.words, r.chanson_id, r.missing) for r in plans.all_queries()["index_targets_all"](spark, d).collect()}
     assert got == {("I", 1): (1, 1, 1, 10, False), ("I", 2): (1, 1, 1, 11, False), ("IV", 7): (4, 2, 1, 20, False), ("L", None): (50, 1, 1, None, True)}
+
+
+def test_verse_numbers_as_printed(spark, tmp_path):
+    body = "::: {.verse}\nun vers\n12. autre vers\n\nvers\n40 · vers\nvers de 7\n:::\n9. prose"
+    d = _saved(spark, tmp_path, page_files=([("corpus/v1p001.md", "v1p001", "base", body)], "file_name string, pageid string, provenance string, body string"))
+    assert [(n, v) for _, n, v in _rows(spark, "verse_numbers_read", d)] == [(2, 1), (3, 12), (5, 13), (6, 40), (7, 41)]
