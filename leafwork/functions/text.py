@@ -85,6 +85,13 @@ def unique_locator(text: Column) -> Column:
     return F.when(F.size(pages) == 1, pages[0])
 
 
+def places(text: Column, tiles: str, opening: str) -> Column:
+    """at (from 1) and found of every part of a text that ``tiles``, whose alternatives cover all of it, cuts out and that is more than its opening."""
+    parts = F.regexp_extract_all(text, F.lit(f"({tiles})"), F.lit(1))
+    before = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+    return F.filter(F.transform(parts, lambda x, i: F.struct((before(i) + 1).alias("at"), x.alias("found"))), lambda p: p["found"].startswith(opening) & (F.length(p["found"]) > 1))
+
+
 def locator_type(text: Column) -> Column:
     """``pp. 3`` and ``p.3`` as ``p.`` with a narrow no-break space."""
     return F.regexp_replace(text, r"\bpp?\. ?(?=[0-9])", "p. ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafwork.functions.text import ends_sentence, is_heading, line_kind
+from leafwork.functions.text import ends_sentence, is_heading, line_kind, places
 from leafwork.operators.apparatus import lines, note_marks, residual
 from leafwork.operators.concordance import buckets, folded_filter, in_context, inverted_index, words
 from leafwork.operators.match import not_near, outside_spans, overlay
@@ -152,6 +152,15 @@ def quotes_in_notes(spark: SparkSession, d: str) -> DataFrame:
     return outside_spans(stars, spans, ["file_name", "no"], "at", "from", "to").select("file_name", "no", F.col("at").cast("long").alias("at"), "quote")
 
 
+def quotes_in_notes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every italic passage outside the parentheses of its line, repeats at their own places; quotes_in_notes, whose SQL is fixed, has first places in lines under 400 letters."""
+    rows = _lines(spark, d).select("file_name", "no", "line")
+    stars = rows.select("file_name", "no", F.inline(places(F.col("line"), r"\*[^*]+\*|[^*]+|\*", "*")).alias("at", "quote")).distinct()
+    spans = rows.select("file_name", "no", F.inline(places(F.col("line"), r"\([^)]+\)|[^(]+|\(", "(")).alias("from", "span"))
+    spans = spans.select("file_name", "no", "from", (F.col("from") + F.length("span")).alias("to"))
+    return outside_spans(stars, spans, ["file_name", "no"], "at", "from", "to").select("file_name", "no", F.col("at").cast("long").alias("at"), "quote")
+
+
 def headings_apart(spark: SparkSession, d: str) -> DataFrame:
     rows = _lines(spark, d)
     heads = rows.where(is_heading(F.col("line"))).select("file_name", "no", "line")
@@ -185,7 +194,7 @@ def letter_buckets(spark: SparkSession, d: str) -> DataFrame:
     return buckets(table(spark, d, "siglum_list"), "title", F.col("category") == "periodical")
 
 
-QUERIES = {f.__name__: f for f in (token_counts, page_classify, page_lines, line_kinds, paragraph_islands, reflow, fenced_verse, verse_numbers, verse_numbers_read, note_residual, note_overflow, note_order, note_texts, overlay_merge, overlay_missing, word_heal, open_pages, section_ranges, manifest_pager, printed_carry, printed_join, kind_counts, quotes_in_notes, headings_apart, page_links, document_text, word_index, word_in_context, search_folded, letter_buckets)}
+QUERIES = {f.__name__: f for f in (token_counts, page_classify, page_lines, line_kinds, paragraph_islands, reflow, fenced_verse, verse_numbers, verse_numbers_read, note_residual, note_overflow, note_order, note_texts, overlay_merge, overlay_missing, word_heal, open_pages, section_ranges, manifest_pager, printed_carry, printed_join, kind_counts, quotes_in_notes, quotes_in_notes_all, headings_apart, page_links, document_text, word_index, word_in_context, search_folded, letter_buckets)}
 
 _HEAD = "(regexp_matches(line, '^#{1,6} ') OR (length(line) <= 64 AND regexp_matches(line, '^[^\\p{Ll}]*\\p{Lu}{2}[^\\p{Ll}]*$')))"
 _ISLANDS = f"SELECT *, CAST(sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY no) AS BIGINT) AS island FROM ({LINES})"

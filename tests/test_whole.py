@@ -1,5 +1,8 @@
 """Queries over whole tables, on small tables with cases that a part of them would miss."""
 
+import random
+import re
+
 from leafwork import plans
 
 
@@ -34,3 +37,18 @@ def test_verse_numbers_as_printed(spark, tmp_path):
     body = "::: {.verse}\nun vers\n12. autre vers\n\nvers\n40 · vers\nvers de 7\n:::\n9. prose"
     d = _saved(spark, tmp_path, page_files=([("corpus/v1p001.md", "v1p001", "base", body)], "file_name string, pageid string, provenance string, body string"))
     assert [(n, v) for _, n, v in _rows(spark, "verse_numbers_read", d)] == [(2, 1), (3, 12), (5, 13), (6, 40), (7, 41)]
+
+
+def test_quotes_against_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    bodies = ["\n".join("".join(rng.choice("*()ab ") for _ in range(rng.choice((5, 20, 40)))) for _ in range(20)) for _ in range(6)]
+    bodies += ["*mot* et *mot*", "(*mot*) et *mot*", "x" * 500 + " *loin*"]
+    files = [(f"corpus/v1p{k:03}.md", f"v1p{k:03}", "base", b) for k, b in enumerate(bodies)]
+    d = _saved(spark, tmp_path, page_files=(files, "file_name string, pageid string, provenance string, body string"))
+    want = []
+    for name, _, _, body in files:
+        for no, line in enumerate(body.split("\n"), 1):
+            spans = [m.span() for m in re.finditer(r"\([^)]+\)", line)]
+            want += [(name, no, m.start() + 1, m.group()) for m in re.finditer(r"\*[^*]+\*", line) if not any(a <= m.start() < b for a, b in spans)]
+    assert _rows(spark, "quotes_in_notes_all", d) == sorted(want)
+    assert [r[2] for r in want if r[3] in ("*mot*", "*loin*")] == [1, 10, 12, 502]
