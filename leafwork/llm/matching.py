@@ -68,11 +68,28 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield x[keep][["id", "to"]]
 
 
+def same_works(works: DataFrame) -> DataFrame:
+    """id, work: spellings of one work of an author bear the smallest id of them.
+
+    Spellings belong together if each agrees with each and none of them agrees
+    with another: a title cut so short that it agrees with two different ones
+    joins neither, nor them to each other.
+    """
+    kept = ["title", "surname", "author", "given", "year"]
+    a, b = works.select("id", *kept), works.select(F.col("id").alias("to"), *[F.col(c).alias(f"to_{c}") for c in kept])
+    pairs = cut(a.join(b, F.col("author") == F.col("to_author")).where("id < to").mapInPandas(_agree, "id string, to string"))
+    both = pairs.unionByName(pairs.select(F.col("to").alias("id"), F.col("id").alias("to"))).unionByName(works.select("id", F.col("id").alias("to")))
+    near = both.groupBy("id").agg(F.array_sort(F.collect_set("to")).alias("near"))
+    edges = near.select("id", "near", F.explode("near").alias("to")).join(near.select(F.col("id").alias("to"), F.col("near").alias("theirs")), "to")
+    return edges.groupBy("id").agg(F.bool_and(F.col("near") == F.col("theirs")).alias("closed"), F.first("near").alias("near")).select("id", F.when(F.col("closed"), F.array_min("near")).otherwise(F.col("id")).alias("work"))
+
+
 def cascade(records: DataFrame, targets: DataFrame, rules: list[Rule]) -> DataFrame:
     """id, to, rule, step: the target each record matches and the first rule that finds exactly one.
 
     Both sides have id, author, surname, given, title and year, and what the
-    rules read; other columns are ignored. Rules run from the strongest to the
+    rules read; other columns are ignored. Targets may repeat an id with
+    other spellings, of which one is enough. Rules run from the strongest to the
     weakest. Each joins the open records to the targets on equal keys, holds
     the pairs against the whole titles, names and years, resolves the records
     that are left with one target, and takes them out by an anti-join. A rule
@@ -87,7 +104,7 @@ def cascade(records: DataFrame, targets: DataFrame, rules: list[Rule]) -> DataFr
         key = F.explode(F.array_distinct(_keys(rule.keys)))
         left = todo.select("id", *kept, key.alias("key")).where("key IS NOT NULL")
         right = targets.select(F.col("id").alias("to"), *[F.col(c).alias(f"to_{c}") for c in kept], key.alias("key")).where("key IS NOT NULL")
-        pairs = left.join(right, "key").drop("key").dropDuplicates(["id", "to"]).mapInPandas(_agree, "id string, to string")
+        pairs = left.join(right, "key").drop("key").dropDuplicates(["id", "to", "to_title"]).mapInPandas(_agree, "id string, to string")
         one = pairs.groupBy("id").agg(F.min("to").alias("to"), F.max("to").alias("other")).where("to = other").select("id", "to")
         one = cut(one.withColumns({"rule": F.lit(rule.name), "step": F.lit(step)}))
         found.append(one)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafwork.llm.canon import canonical
 from leafwork.llm.cites import Work, parse_card, parse_definition, parse_entry, parse_name
 from leafwork.llm.listing import plain
-from leafwork.llm.matching import Rule, cascade, rule_precision, title_words
+from leafwork.llm.matching import Rule, cascade, rule_precision, same_works, title_words
 from leafwork.llm.people import surname_clusters
 from leafwork.session import cut
 from leafwork.sources.tables import table
@@ -115,10 +115,15 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     ours_found = cascade(ours, known, rules)
     rest = ours.join(ours_found.select("id"), "id", "left_anti")
     own = cut(_works(rest))
-    works = known.unionByName(own)
-    new = rest.select("id", F.concat_ws("|", "letters", "author").alias("to")).withColumns({"rule": F.lit("own title"), "step": F.lit(0)})
+    same = cut(same_works(own))
+    own = cut(own.join(same, "id").withColumn("id", F.col("work")).drop("work"))
+    new = rest.select("id", F.concat_ws("|", "letters", "author").alias("spelling")).join(same.select(F.col("id").alias("spelling"), F.col("work").alias("to")), "spelling")
+    new = new.select("id", "to").distinct().withColumns({"rule": F.lit("own title"), "step": F.lit(0)})
+    spellings = known.unionByName(own)
+    said = [F.mode(c, True).alias(c) for c in ("pages", "place", "publisher")]
+    works = known.select("id", "pages", "place", "publisher").unionByName(own.groupBy("id").agg(*said))
     ours_found = cut(ours_found.unionByName(new))
-    theirs_found = cut(cascade(theirs, works, rules))
+    theirs_found = cut(cascade(theirs, spellings, rules))
 
     graded = ours.join(grades, "id", "left")
     plus = [*rules, Rule("own title", (), ("pages", "place", "publisher"))]
