@@ -186,6 +186,11 @@ def word_in_context(spark: SparkSession, d: str) -> DataFrame:
     return in_context(table(spark, d, "documents").where("lang = 'fr'"), "doc_id", "text", F.col("word").startswith("rossi")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def word_in_context_all(spark: SparkSession, d: str) -> DataFrame:
+    """The word in documents of any language; word_in_context, whose SQL is fixed, has those marked as French."""
+    return in_context(table(spark, d, "documents"), "doc_id", "text", F.col("word").startswith("rossi")).withColumn("pos", F.col("pos").cast("long"))
+
+
 def search_folded(spark: SparkSession, d: str) -> DataFrame:
     return folded_filter(table(spark, d, "chansons").select("chanson_id", "incipit").where("incipit IS NOT NULL"), "incipit", "Ai Las")
 
@@ -194,7 +199,7 @@ def letter_buckets(spark: SparkSession, d: str) -> DataFrame:
     return buckets(table(spark, d, "siglum_list"), "title", F.col("category") == "periodical")
 
 
-QUERIES = {f.__name__: f for f in (token_counts, page_classify, page_lines, line_kinds, paragraph_islands, reflow, fenced_verse, verse_numbers, verse_numbers_read, note_residual, note_overflow, note_order, note_texts, overlay_merge, overlay_missing, word_heal, open_pages, section_ranges, manifest_pager, printed_carry, printed_join, kind_counts, quotes_in_notes, quotes_in_notes_all, headings_apart, page_links, document_text, word_index, word_in_context, search_folded, letter_buckets)}
+QUERIES = {f.__name__: f for f in (token_counts, page_classify, page_lines, line_kinds, paragraph_islands, reflow, fenced_verse, verse_numbers, verse_numbers_read, note_residual, note_overflow, note_order, note_texts, overlay_merge, overlay_missing, word_heal, open_pages, section_ranges, manifest_pager, printed_carry, printed_join, kind_counts, quotes_in_notes, quotes_in_notes_all, headings_apart, page_links, document_text, word_index, word_in_context, word_in_context_all, search_folded, letter_buckets)}
 
 _HEAD = "(regexp_matches(line, '^#{1,6} ') OR (length(line) <= 64 AND regexp_matches(line, '^[^\\p{Ll}]*\\p{Lu}{2}[^\\p{Ll}]*$')))"
 _ISLANDS = f"SELECT *, CAST(sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY no) AS BIGINT) AS island FROM ({LINES})"
@@ -252,6 +257,8 @@ SQL = {
     "word_index": f"SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS places FROM ({WORDS}) GROUP BY 1",
     "word_in_context": f"""WITH w AS ({WORDS.replace("FROM documents", "FROM documents WHERE lang = 'fr'")}), c AS (SELECT doc_id, pos, word, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' ') AS before,
       array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ' ') AS after FROM w) SELECT doc_id, pos, word, coalesce(before, '') AS before, coalesce(after, '') AS after FROM c WHERE starts_with(word, 'rossi')""",
+    "word_in_context_all": f"""WITH w AS ({WORDS}), c AS (SELECT doc_id, pos, word, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' ') AS before,
+      array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ' ') AS after FROM w) SELECT doc_id, pos, word, coalesce(before, '') AS before, coalesce(after, '') AS after FROM c WHERE starts_with(word, 'rossi')""",
     "search_folded": "SELECT chanson_id, incipit FROM chansons WHERE contains(regexp_replace(lower(translate(incipit, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^a-z0-9]+', '', 'g'), 'ailas')",
     "letter_buckets": "SELECT upper(substr(regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '', 'g'), 1, 1)) AS letter, count(*) FILTER (category = 'periodical') AS shown, count(*) AS total, bool_or(category = 'periodical') AS visible FROM siglum_list GROUP BY 1",
 }

@@ -52,3 +52,16 @@ def test_quotes_against_brute_force(spark, tmp_path):
             want += [(name, no, m.start() + 1, m.group()) for m in re.finditer(r"\*[^*]+\*", line) if not any(a <= m.start() < b for a, b in spans)]
     assert _rows(spark, "quotes_in_notes_all", d) == sorted(want)
     assert [r[2] for r in want if r[3] in ("*mot*", "*loin*")] == [1, 10, 12, 502]
+
+
+def test_words_of_every_language(spark, tmp_path):
+    texts = [(1, "Le rossinhol canta", "fr"), (2, "lo rossignol", None), (3, "rossi und mehr", "und"), (4, "autre", "fr")]
+    d = _saved(spark, tmp_path, documents=(texts, "doc_id long, text string, lang string"))
+    assert [r[:3] for r in _rows(spark, "word_in_context_all", d)] == [(1, 1, "rossinhol"), (2, 1, "rossignol"), (3, 0, "rossi")]
+
+
+def test_events_of_every_type(spark, tmp_path):
+    events = [(1, 7, "signup", 1), (2, 7, "click", 2), (3, 7, "error", 3), (4, 8, "click", 1)]
+    d = _saved(spark, tmp_path, events=(events, "event_id long, user_id long, event_type string, ts long"))
+    got = {r.event_id: (r.previous, r.following) for r in plans.all_queries()["event_pager_all"](spark, d).collect()}
+    assert got == {1: (None, 2), 2: (1, 3), 3: (2, None), 4: (None, None)}
