@@ -39,6 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for frames that nothing reads any more, so that loops leave no files of old rounds."""
+    for df in frames:
+        try:
+            jvm, rdd = df.sparkSession._jvm, df._jdf.queryExecution().logical().rdd()
+            at = rdd.getCheckpointFile()
+            if at.isDefined():
+                path = jvm.org.apache.hadoop.fs.Path(at.get())
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        except (AttributeError, TypeError):  # no classic session, or no checkpoint: the files stay
+            continue
+
+
 _shipped: set[str] = set()
 
 
