@@ -1,10 +1,11 @@
 import random
+import time
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafwork.llm.mixing import _stride, mix, quotas, split_tree
+from leafwork.llm.mixing import Tree, mix, permuted, quotas, split_tree
 from leafwork.llm.packing import pack, successors
 from leafwork.llm.tokens import token_count
 
@@ -43,13 +44,37 @@ def test_splitting_tree():
     for blocks, shards in (([5, 0, 70], 4), ([1], 8), ([100, 33, 7, 1], 5)):
         tree = split_tree(blocks, shards, 1)
         assert tree.sum(axis=0).tolist() == blocks and np.ptp(tree.sum(axis=1)) <= 1 and tree.min() >= 0
-    for n in (1, 2, 9, 64, 97):
-        a = _stride(n, 7)
-        assert sorted(i * a % n for i in range(n)) == list(range(n))
+    for n in (1, 2, 9, 64, 97, 5000):
+        got = permuted(np.arange(n), np.full(n, n), np.full(n, 7))
+        assert sorted(got.tolist()) == list(range(n))
+    assert np.ptp(np.diff(got)) > 1  # no stride
     assert quotas({"a": 100, "b": 10, "x": 5}, {"a": (0.6, 1), "b": (0.2, 3), "c": (0.2, 9)}) == {"a": 90, "b": 30}
     assert quotas({}, {"a": (1.0, 1)}) == {} and quotas({"a": 4}, {"a": (0.0, 1)}) == {}
 
 
+def test_lookup_is_the_tree():
+    blocks, shards = [300_000, 41, 7_000], 20_000
+    tree, whole = Tree(blocks, shards, 3), split_tree(blocks, shards, 3)
+    source = np.repeat([0, 1, 2], blocks)
+    at = tree.place(source, np.concatenate([np.arange(b) for b in blocks]))
+    group = tree.group(source, at)
+    shard = tree.shard(group, source, at)
+    assert len(tree.nodes) <= 8192 and len(tree.nodes) < shards
+    got = np.zeros_like(whole)
+    np.add.at(got, (shard, source), 1)
+    assert (got == whole).all()
+
+
+def test_very_many_shards(spark):
+    docs = spark.range(20_000).selectExpr("id AS key", "if(id % 3 = 0, 'a', 'b') AS source", "1 + id % 50 AS tokens")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    began = time.time()
+    selection, shares = mix(docs, targets, shards=100_000, blocks_per_shard=4)
+    n, different = selection.selectExpr("count(*)", "count(DISTINCT key, repeat)").first()
+    assert n == different == shares.selectExpr("sum(documents)").first()[0] + selection.where("repeat > 0").count() and n > 10_000
+    assert time.time() - began < 60
+
+
 def test_mix(spark):
     docs = [(i, "big" if i % 3 else "small", 1 + i % 17, 0) for i in range(900)] + [(5000, None, 4, 0), (5001, "other", 9, 0), (5002, "big", 0, 0), (5003, "big", None, 0), (1, "big", 2, 0)]
     df = spark.createDataFrame(docs, "key long, source string, tokens long, shard int")
