@@ -16,8 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.session import cut
+from leafwork.session import cut, forget
 
+#: Items and gaps of a range, about: what one task sweeps with its stack in memory.
+RANGE_ROWS = 100_000
 _SWEPT = "part int, kind string, rank long, item string, slot string, size long"
 
 
@@ -60,8 +62,8 @@ def successors(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int,
     return out
 
 
-def _match(items: DataFrame, slots: DataFrame, parts: int) -> DataFrame:
-    """item, slot, size: each item with the smallest free slot that holds it, the largest items first."""
+def _match(items: DataFrame, slots: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """The swept ranges, and item, slot, size: each item with the smallest free slot that holds it, the largest items first."""
     spark = items.sparkSession
     events = slots.select(F.lit(0).alias("kind"), F.col("slot").alias("key"), "size").unionByName(items.select(F.lit(1).alias("kind"), F.col("item").alias("key"), "size"))
     order = [F.col("size").desc(), F.col("kind").asc(), F.xxhash64("key").asc(), F.col("key").asc()]
@@ -70,13 +72,13 @@ def _match(items: DataFrame, slots: DataFrame, parts: int) -> DataFrame:
     left = swept.where("kind <> 'match'").groupBy("part").pivot("kind", ["item", "gap"]).count().na.fill(0).collect()
     runs = successors({r.part: (r.item, r.gap) for r in left})
     if not runs:
-        return local
+        return swept, local
     runs = spark.createDataFrame(runs, "part int, lo long, hi long, gap_part int, gap_lo long")
     waiting = swept.where("kind = 'item'").select("part", "rank", "item", "size")
     # One row for each two ranges at most, whatever the number of items.
     sent = waiting.join(F.broadcast(runs), "part").where("rank BETWEEN lo AND hi").select("item", "size", "gap_part", (F.col("gap_lo") + F.col("rank") - F.col("lo")).alias("gap_rank"))
     gaps = swept.where("kind = 'gap'").select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), "slot")
-    return local.unionByName(sent.join(gaps, ["gap_part", "gap_rank"]).select("item", "slot", "size"))
+    return swept, local.unionByName(sent.join(gaps, ["gap_part", "gap_rank"]).select("item", "slot", "size"))
 
 
 def pack(sizes: DataFrame, capacity: int, parts: int | None = None) -> DataFrame:
@@ -92,10 +94,10 @@ def pack(sizes: DataFrame, capacity: int, parts: int | None = None) -> DataFrame
     An item of null, zero or negative size needs no room and has a null
     container; of rows with one key the largest counts; ties in size are broken
     by a hash of the key, so equal sizes spread over all ranges; an empty table
-    gives no rows.
+    gives no rows. A round has as many ranges as its items and gaps need, or
+    ``parts``; the files of the round before are deleted.
     """
     spark = sizes.sparkSession
-    parts = parts or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = cut(sizes.groupBy("key").agg(F.max(F.coalesce("size", F.lit(0)).cast("long")).alias("size")))
     no_room = every.where("size <= 0").select("key", F.lit(0).alias("piece"), F.lit(None).cast("string").alias("container"), F.lit(0).cast("long").alias("size"))
     room = every.where("size > 0")
@@ -107,22 +109,25 @@ def pack(sizes: DataFrame, capacity: int, parts: int | None = None) -> DataFrame
     placed: list[DataFrame] = []
     wave = 0
     while True:
-        total, largest, n = items.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0)), F.count(F.lit(1))).first()
+        total, largest, least, n = items.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0)), F.min("size"), F.count(F.lit(1))).first()
         if not n:
             break
-        fits = bins.where(F.col("gap") >= items.agg(F.min("size")).first()[0])
-        if fits.isEmpty():
-            opened = min(n, ceil(total / capacity))
-            new = spark.range(0, opened, 1, max(1, min(parts, ceil(opened / 10_000)))).select(F.concat(F.lit(f"b{wave}#"), F.col("id")).alias("container"), F.lit(capacity).cast("long").alias("gap"))
-            bins, wave = cut(bins.unionByName(new)), wave + 1
         share = F.greatest(F.lit(1), (F.col("gap") / largest).cast("int"))
+        widest, places = bins.agg(F.max("gap"), F.sum(share)).first()
+        if (widest or 0) < least:
+            opened = min(n, ceil(total / capacity))
+            new = spark.range(0, opened, 1, ceil(opened / RANGE_ROWS)).select(F.concat(F.lit(f"b{wave}#"), F.col("id")).alias("container"), F.lit(capacity).cast("long").alias("gap"))
+            bins, wave, places = cut(bins.unionByName(new)), wave + 1, (places or 0) + opened * max(1, capacity // largest)
         slots = bins.where("gap > 0").select("container", "gap", F.explode(F.sequence(F.lit(1), share)).alias("k"), share.alias("share"))
         slots = slots.select(F.concat_ws("~", "container", "k").alias("slot"), (F.col("gap") / F.col("share")).cast("long").alias("size"))
-        got = cut(_match(items, slots, parts).withColumn("container", F.substring_index("slot", "~", 1)).select("item", "container", "size"))
+        swept, matched = _match(items, slots, parts or ceil((n + places) / RANGE_ROWS))
+        got = cut(matched.withColumn("container", F.substring_index("slot", "~", 1)).select("item", "container", "size"))
         placed.append(got)
         used = got.groupBy("container").agg(F.sum("size").alias("used"))
+        old = bins, items, swept
         bins = cut(bins.join(used, "container", "left").select("container", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"))
         items = cut(items.join(got.select("item"), "item", "left_anti"))
+        forget(*old)
     out = full.unionByName(no_room)
     if placed:
         rows = reduce(DataFrame.unionByName, placed)
