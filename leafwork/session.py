@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -39,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows; beyond that it is left to be joined by a shuffle. It is counted, so cut it before."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows of few bytes and much work, kept in as many tasks as the session shuffles to: adaptive execution would put them in one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete what :func:`cut` wrote for frames that nothing reads any more, so that loops leave no files of old rounds."""
     for df in frames:
