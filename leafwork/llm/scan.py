@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from leafwork.llm.bktree import levenshtein
 from leafwork.llm.canon import canonical
@@ -14,6 +15,7 @@ _TO_LETTER = str.maketrans({"0": "o", "1": "l", "5": "s", "9": "g", "6": "e", "@
 _HYPHEN = re.compile(r"([^\W\d_]+)[-‐‑\xad¬]$")
 _NUMBER = r"(?:(?=\S*\d)[0-9OolISZbgAB?'’]{1,6}|[ivxl1]{1,6})(?:\s?b?is)?"
 _FOLIO = re.compile(rf"^(?P<open>[-—–•\[(]\s*|p\.\s*)?(?P<number>{_NUMBER}|[OolISZbgAB]{{2,4}})\s*(?P<close>[-—–•\])]|\.)?$")
+_SPACED = re.compile(r"\S\s\S\s\S\s\S\s")
 _BESIDE = re.compile(rf"^(?:{_NUMBER})\s+(?=\S{{2}}|\S\s)|\s+(?:[.·]\s*)?(?:{_NUMBER})$")
 
 
@@ -29,10 +31,7 @@ class Line:
 
 def head_key(line: str) -> str:
     """The letters of a line without a number before or behind them, scan slips in letters undone."""
-    text = line.strip()
-    if len(text) < 90:
-        text = _BESIDE.sub("", text, count=1)
-    return re.sub(r"[^a-z]", "", plain(text).translate(_TO_LETTER))
+    return re.sub(r"[^a-z]", "", plain(_BESIDE.sub("", line.strip(), count=1)).translate(_TO_LETTER))
 
 
 def _at_edge(position: int, count: int) -> bool:
@@ -40,7 +39,7 @@ def _at_edge(position: int, count: int) -> bool:
 
 
 def edge_keys(body: str) -> list[tuple[str, int]]:
-    """(key, 1) of the outermost lines of a page that may be its running head, (key, 0) of the headings within."""
+    """(key, 1) of the outermost lines of a page that may be its running head, (key, 0) of the headings within, (key, 2) of other lines that look like one."""
     lines = [x.strip() for x in canonical(body).split("\n")]
     filled = [i for i, x in enumerate(lines) if x]
     if len(filled) < 2:
@@ -48,24 +47,33 @@ def edge_keys(body: str) -> list[tuple[str, int]]:
     outer = {filled[0], filled[-1]}
     outer |= {filled[1]} if _FOLIO.match(lines[filled[0]]) else set()
     outer |= {filled[-2]} if _FOLIO.match(lines[filled[-1]]) else set()
-    out = set()
-    for i in filled:
+    out = {}
+    for rank, i in enumerate(filled):
         x = lines[i]
-        if len(x) <= 70 and x[-1] not in ".,;:!?" and not x.startswith((":::", "[^")) and (i in outer or _alone(lines, i)) and len(k := head_key(x)) >= 4:
-            out.add((k, int(i in outer)))
+        if x[-1] in ".,;:!?" or x.startswith((":::", "[^")) or _FOLIO.match(x):
+            continue
+        kind = 1 if i in outer else 0 if _alone(lines, i) else 2 if _showy(x) or (_at_edge(rank, len(filled)) and (x[0].isupper() or _BESIDE.search(x))) else None
+        if kind is not None and (k := head_key(x)):
+            out[k, kind] = None
     return sorted(out)
 
 
+def _showy(line: str) -> bool:
+    """In capitals, letter-spaced, or begun by a capital and ended by a number."""
+    if sum(map(str.isupper, line)) > 0.6 * sum(map(str.isalpha, line)) or _SPACED.search(line):
+        return True
+    return line[0].isupper() and line[-1].isdigit() and _BESIDE.search(line) is not None
+
+
 def _is_head(line: str, heads: frozenset[str], alone: bool, edge: bool) -> bool:
-    if len(line) > 90 or line.startswith((":::", "[^", "*")):
+    if line.startswith((":::", "[^", "*")):
         return False
-    key = head_key(line)
-    if len(key) < 4:
+    if not (edge and line[-1] not in ".,;:!?" and (alone or line[:1].isupper() or _BESIDE.search(line))) and not _showy(line):
         return False
-    if key in heads and line[0].isupper() and re.search(r"\d$", line) and _BESIDE.search(line):
-        return True
-    capitals = sum(c.isupper() for c in line) > 0.6 * sum(c.isalpha() for c in line)
-    if not capitals and not (edge and line[-1] not in ".,;:!?" and (alone or line[:1].isupper() or _BESIDE.search(line))) and not re.search(r"\S\s\S\s\S\s\S\s", line):
+    if _FOLIO.match(line):
+        return False
+    key = head_key(line)
+    if not key:
         return False
     if key in heads:
         return True
@@ -144,24 +152,25 @@ def fit_numbers(leaves: list[tuple[int, str, bool]]) -> dict[int, str]:
     nothing was read. Leaves follow in order: a first run of roman numerals,
     then numbers that grow by one, plates without a number, inserted leaves with
     the number before and ``bis``. The sequence that contradicts the fewest
-    readings is taken, found by dynamic programming over the last number.
+    readings is taken, found by dynamic programming over the last number; all
+    states are kept, of which there are at most leaves times starts.
     """
     leaves = sorted({i: (i, s.strip(), p) for i, s, p in leaves}.values())
     if not leaves:
         return {}
-    # State: (kind of numerals, last number); each has its cost and the leaves' numbers.
-    states: dict[tuple[str, int], tuple[float, tuple[str, ...]]] = {("none", 0): (0.0, ())}
+    # State: (kind of numerals, last number); each has its cost and the leaves' numbers, last first.
+    states: dict[tuple[str, int], tuple[float, tuple]] = {("none", 0): (0.0, ())}
     starts_a = sorted({int(s) - k for k, (_, s, _) in enumerate(leaves) if s.isdigit() and 0 < int(s) < 100_000})
     starts_r = sorted({n - k for k, (_, s, _) in enumerate(leaves) if (n := from_roman(s))})
     last = None
     for k, (i, s, plate) in enumerate(leaves):
         gap = 0 if last is None else i - last - 1
         last = i
-        new: dict[tuple[str, int], tuple[float, tuple[str, ...]]] = {}
+        new: dict[tuple[str, int], tuple[float, tuple]] = {}
 
         def put(state, cost, number, path, new=new):
             if state not in new or cost < new[state][0]:
-                new[state] = (cost, (*path, number))
+                new[state] = (cost, (number, path))
 
         for (kind, n), (cost, path) in states.items():
             skips = range(gap + 1) if kind != "none" else range(1)
@@ -185,10 +194,12 @@ def fit_numbers(leaves: list[tuple[int, str, bool]]) -> dict[int, str]:
                 for start in {x + d for x in starts_a for d in (-1, 0, 1)}:
                     if start + k > 0 and str(start + k) == s:
                         put(("arabic", start + k), cost + 0.3, s, path)
-        best = sorted(new.items(), key=lambda e: (e[1][0], e[0]))[:80]
-        states = dict(best)
-    cost, numbers = min(states.values(), key=lambda e: (e[0], e[1]))
-    return {i: number for (i, _, _), number in zip(leaves, numbers, strict=True)}
+        states = dict(sorted(new.items(), key=lambda e: (e[1][0], e[0])))
+    _, path = next(iter(states.values()))
+    out = {}
+    for i, _, _ in reversed(leaves):
+        out[i], path = path
+    return {i: out[i] for i, _, _ in leaves}
 
 
 def _misfit(read: str, number: str, plate: bool) -> float:
@@ -219,8 +230,7 @@ def from_roman(text: str) -> int:
     return n if text and not rest and to_roman(n) == text else 0
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     """A word of a line; one cut at the line's end holds both parts, ``split`` letters of it on line ``no``, the rest on ``rest``."""
 
     no: int
@@ -271,6 +281,6 @@ def tokens_of(lines: list[Line], cuts: dict[int, tuple[str, str | None, int]]) -
                     w, taken[joined.no] = w + head[0], True
             elif k == len(words) - 1 and x.no in cuts:
                 continue
-            if sum(c.isalpha() for c in w) > 0 and len(w) > 1:
+            if len(w) > 1 and any(map(str.isalpha, w)):
                 out.append(Token(x.no, w.lower(), split, rest, k == 0 and x.no not in taken))
     return out

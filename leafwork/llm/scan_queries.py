@@ -6,16 +6,14 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.llm.channel import misread_words
 from leafwork.llm.scan import Line, cuts_of, edge_keys, first_letters, fit_numbers, lines_of, tokens_of
-from leafwork.session import cut
+from leafwork.session import cut, spread
 from leafwork.sources.tables import table
 
-_LINES = "file_name string, pageid string, vol int, idx int, no long, kind string, raw string, text string"
-
 
 def _place(df: DataFrame) -> DataFrame:
     part = lambda k: F.try_to_number(F.nullif(F.regexp_extract("pageid", r"^v(\d+)p(\d+)$", k), F.lit("")), F.lit("9999999")).cast("int")
@@ -24,7 +22,12 @@ def _place(df: DataFrame) -> DataFrame:
 
 def _edge_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
-        yield pd.DataFrame([(v, k, o) for v, b in zip(x["vol"], x["body"], strict=True) for k, o in edge_keys(b or "")], columns=["vol", "key", "outer"])
+        yield pd.DataFrame([(f, v, k, o) for f, v, b in zip(x["file_name"], x["vol"], x["body"], strict=True) for k, o in edge_keys(b or "")], columns=["file_name", "vol", "key", "outer"]).astype({"vol": "Int32"})
+
+
+def _without_one(key: str) -> Column:
+    """A key and the key with each letter left out."""
+    return F.explode(F.array_distinct(F.concat(F.array(key), F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(F.substr(F.col(key), F.lit(1), i - 1), F.substr(F.col(key), i + 1)))))).alias("form")
 
 
 def _fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -36,73 +39,67 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
 def leaf_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pageid, number: what each leaf of the manifest bears. A volume, the group fitted at once, has a fixed number of leaves.
 
-    Manifest rows without page, volume or index are left out; a null reading is none.
+    Manifest rows without page, volume or index are left out; a null reading is
+    none; a page entered at several places has the number of the first.
     """
     manifest = table(spark, sf_dir, "manifest").where("pageid IS NOT NULL AND vol IS NOT NULL AND idx IS NOT NULL")
     leaves = manifest.groupBy("pageid", "vol", "idx").agg(F.coalesce(F.max((F.col("kind") == "plate-or-divider").cast("int")), F.lit(0)).alias("plate"))
+    leaves = leaves.groupBy("pageid").agg(F.min_by(F.struct("vol", "idx", "plate"), F.struct("vol", "idx")).alias("at")).select("pageid", "at.*")
     read = table(spark, sf_dir, "page_numbers").groupBy("pageid").agg(F.max_by("printed_number", F.struct("read_at", "loaded_at", "printed_number")).alias("printed"))
-    return leaves.join(read, "pageid", "left").groupBy("vol").applyInPandas(_fit, "pageid string, number string")
-
+    return spread(leaves.join(read, "pageid", "left"), "vol").groupBy("vol").applyInPandas(_fit, "pageid string, number string")
 
-def _split(common):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            rows = []
-            for f, p, v, i, body, heads, number in zip(x["file_name"], x["pageid"], x["vol"], x["idx"], x["body"], x["heads"], x["number"], strict=True):
-                known = frozenset(common) | frozenset(heads if heads is not None else ())
-                rows += [(f, p, v, i, y.no, y.kind, y.raw, y.text) for y in lines_of(body, known, number or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LINES.split(", ")]).astype({"vol": "Int32", "idx": "Int32"})
 
-    return run
-
-
-def page_lines(spark: SparkSession, sf_dir: str, numbers: DataFrame) -> DataFrame:
-    """Every line of every page with its kind.
+def bodies(spark: SparkSession, sf_dir: str, numbers: DataFrame) -> DataFrame:
+    """file_name, pageid, vol, idx, body, heads, number: every page with the running heads of its volume and its leaf's number.
 
     The running heads of a volume are the outer lines that three of its pages
-    share, and those that half a per cent of all pages share (at most 800), and
-    that are not as often headings within pages.
+    share, those that four pages share in all and that it has, also misread,
+    if they are not more often headings within pages. Of files of one name the last transcribed counts.
+    The bodies are shuffled once, by file name; what is joined to them is a
+    short row for each file.
     """
-    pages = cut(_place(table(spark, sf_dir, "page_files").select("file_name", "pageid", "body").where("body IS NOT NULL AND file_name IS NOT NULL").dropDuplicates(["file_name"])))
-    keys = cut(pages.select("vol", "body").mapInPandas(_edge_rows, "vol int, key string, outer int").groupBy("vol", "key").agg(F.sum("outer").alias("outer"), F.sum(1 - F.col("outer")).alias("inner")))
-    every = keys.groupBy("key").agg(F.sum("outer").alias("all_outer"), F.sum("inner").alias("all_inner")).where("all_inner <= all_outer")
-    least = max(4, 0.005 * pages.count())
-    common = [r.key for r in every.where(F.col("all_outer") >= least).select("key").collect()]
-    heads = keys.join(every, "key").where("outer >= 3").groupBy("vol").agg(F.collect_list("key").alias("heads"))
-    return pages.join(heads, "vol", "left").join(numbers, "pageid", "left").mapInPandas(_split(common), _LINES)
-
-
-def _pages_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    pages = table(spark, sf_dir, "page_files")
+    at = F.col("transcribed_at") if "transcribed_at" in pages.columns else F.lit(None).cast("timestamp")
+    files = _place(pages.select("file_name", "pageid", "body", at.alias("transcribed_at")).where("body IS NOT NULL AND file_name IS NOT NULL"))
+    keys = files.select("file_name", "vol", "body").mapInPandas(_edge_rows, "file_name string, vol int, key string, outer int").distinct()
+    of_volume = keys.groupBy("vol", "key").agg(F.count_if(F.col("outer") == 1).alias("outer"), F.count_if(F.col("outer") == 0).alias("inner"))
+    every = of_volume.groupBy("key").agg(F.sum("outer").alias("all_outer"), F.sum("inner").alias("all_inner")).where("all_inner <= all_outer")
+    shared = of_volume.join(every, "key")
+    common = every.where("all_outer >= 4").select("key")
+    # A misread head has no key of its own: the common head an edit or two away, which shares a form with a letter left out, serves for it.
+    odd = of_volume.join(common, "key", "left_anti").select("vol", F.col("key").alias("odd"))
+    near = odd.select("vol", "odd", _without_one("odd")).join(common.select("key", _without_one("key")), "form").where(F.levenshtein("odd", "key") <= F.greatest(F.lit(1), F.floor(F.length("key") / 6)))
+    known = shared.where("outer >= 3 OR all_outer >= 4").select("vol", "key").union(near.select("vol", "key")).distinct()
+    heads = known.groupBy("vol").agg(F.array_sort(F.collect_list("key")).alias("heads"))
+    context = files.select("file_name", "pageid", "vol").distinct().join(heads, "vol", "left").join(numbers, "pageid", "left").select("file_name", "pageid", "heads", "number")
+    last = files.groupBy("file_name").agg(F.max_by(F.struct("pageid", "vol", "idx", "body"), F.struct("transcribed_at", F.xxhash64("body"))).alias("f")).select("file_name", "f.*")
+    return last.join(context.withColumnRenamed("pageid", "_page"), (last["file_name"] == context["file_name"]) & F.col("pageid").eqNullSafe(F.col("_page"))).select(last["file_name"], "pageid", "vol", "idx", "body", "heads", "number")
+
+
+def _lines(row) -> list[Line]:
+    return lines_of(row.body, frozenset(row.heads if row.heads is not None else ()), row.number or "")
+
+
+_READ = (
+    "file_name string, pageid string, vol int, idx int, header array<int>, folio array<int>, "
+    "cut array<int>, stem array<string>, rest array<string>, words array<string>, no array<int>, split array<int>, behind array<int>, goes_on boolean"
+)
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A page's faults of form, its cut lines and its words, in one pass over its body."""
     for x in batches:
+        rows = []
         for row in x.itertuples(index=False):
-            lines = [Line(y["no"], y["kind"], y["raw"], y["text"]) for y in sorted(row.lines, key=lambda y: y["no"])]
-            yield row, lines
-
-
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for row, lines in _pages_of(batches):
-        cuts, rows = cuts_of(lines), []
-        first = True
-        for k, t in enumerate(tokens_of(lines, cuts)):
-            if first and t.start and not any(c.isupper() for c in next((y.text for y in lines if y.no == t.no), "")[:2]):
-                first = False  # may go on from the page before
-                continue
-            first = False
-            rows.append((f"{row.file_name}", k, t.word, t.no, t.split, t.rest))
-        if rows:
-            yield pd.DataFrame(rows, columns=["line", "pos", "word", "no", "split", "rest"])
-
-
-def _cut_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for row, lines in _pages_of(batches):
-        rows = [(row.file_name, row.vol, row.idx, no, stem.lower(), rest and rest.lower(), rest is None) for no, (stem, rest, _) in cuts_of(lines).items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["file_name", "vol", "idx", "no", "stem", "rest", "last"]).astype({"vol": "Int32", "idx": "Int32"})
-
-
-def _in_pages(lines: DataFrame) -> DataFrame:
-    """One row a page: its lines as an array; a page is the bounded unit."""
-    return lines.groupBy("file_name", "vol", "idx").agg(F.collect_list(F.struct("no", "kind", "raw", "text")).alias("lines"))
+            lines = _lines(row)
+            of = lambda kind: [y.no for y in lines if y.kind == kind]  # noqa: B023, E731
+            cuts = cuts_of(lines)
+            tokens = tokens_of(lines, cuts)
+            first = next((y.text.lstrip()[:2] for y in lines if tokens and y.no == tokens[0].no), "")
+            goes_on = bool(tokens) and tokens[0].start and not any(c.isupper() for c in first)
+            ends = [(no, stem.lower(), rest and rest.lower()) for no, (stem, rest, _) in cuts.items()]
+            rows.append((row.file_name, row.pageid, row.vol, row.idx, of("header"), of("folio"), *map(list, zip(*ends, strict=True) if ends else ((), (), ())), *map(list, zip(*[(t.word, t.no, t.split, t.rest) for t in tokens], strict=True) if tokens else ((), (), (), ())), goes_on))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")]).astype({"vol": "Int32", "idx": "Int32"})
 
 
 class Repair:
@@ -110,22 +107,35 @@ class Repair:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.numbers = cut(leaf_numbers(spark, sf_dir))
-        self.lines = cut(page_lines(spark, sf_dir, self.numbers))
-        self.pages = cut(_in_pages(self.lines))
-        self.words = cut(self.pages.mapInPandas(_words, "line string, pos long, word string, no long, split long, rest long"))
+        self.bodies = bodies(spark, sf_dir, self.numbers)
+        self.pages = cut(self.bodies.mapInPandas(_read, _READ))
+
+    def lines(self, kind: str) -> DataFrame:
+        return self.pages.select("file_name", F.explode(kind).alias("no"))
 
     def cuts(self) -> DataFrame:
-        """file_name, no: lines that end inside a word; a hyphen of the word's own, by the corpus, is none."""
-        cuts = self.pages.mapInPandas(_cut_rows, "file_name string, vol int, idx int, no long, stem string, rest string, last boolean")
-        counts = self.words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        joined, whole = counts.toDF("joined", "nj"), counts.toDF("whole", "nw")
-        known = cuts.withColumns({"joined": F.concat("stem", "rest"), "whole": F.concat_ws("-", "stem", "rest")}).join(joined, "joined", "left").join(whole, "whole", "left")
-        return known.where(F.col("last") | (F.coalesce("nj", F.lit(0)) >= F.coalesce("nw", F.lit(0)))).select("file_name", "no", "vol", "idx", "last")
+        """file_name, no, vol, idx, last: lines that end inside a word; a hyphen of the word's own, by the corpus, is none."""
+        ends = self.pages.select("file_name", "vol", "idx", F.explode(F.arrays_zip(F.col("cut").alias("no"), "stem", "rest")).alias("e")).select("file_name", "vol", "idx", "e.*")
+        spelled = ends.where("rest IS NOT NULL").select(F.concat("stem", "rest").alias("joined"), F.concat_ws("-", "stem", "rest").alias("whole")).distinct()
+        asked = spelled.select(F.explode(F.array("joined", "whole")).alias("word")).distinct()
+        counts = self.pages.select(F.explode("words").alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        own = spelled.join(counts.toDF("whole", "nw"), "whole").join(counts.toDF("joined", "nj"), "joined", "left").where("nw > coalesce(nj, 0)").select("joined", "whole")
+        ends = ends.withColumns({"joined": F.concat("stem", "rest"), "whole": F.concat_ws("-", "stem", "rest")})
+        return ends.join(own, ["joined", "whole"], "left_anti").select("file_name", "no", "vol", "idx", F.col("rest").isNull().alias("last"))
 
     def misread(self) -> DataFrame:
-        """file_name, no, pos, word, right, split, rest for every misread word; no is the line with the wrong letters."""
-        wrong = misread_words(self.words.select("line", "pos", "word"))
-        return wrong.join(self.words.drop("word"), ["line", "pos"]).withColumnRenamed("line", "file_name")
+        """file_name, no, word, right, split, rest for every misread word; no is the line with the wrong letters.
+
+        The rest of a word that the page before cuts, at the head of a page, is
+        no word to judge.
+        """
+        wrong = misread_words(self.pages.select(F.col("file_name").alias("line"), "words")).withColumnRenamed("line", "file_name")
+        ended = self.pages.where(F.exists("rest", lambda r: r.isNull())).select("vol", (F.col("idx") + 1).alias("idx"), F.lit(True).alias("ended")).distinct()
+        at = self.pages.select("file_name", "no", "split", "behind", F.when(F.col("goes_on"), F.struct("vol", "idx")).alias("after"))
+        placed = wrong.join(at, "file_name")
+        of = lambda c: F.get(c, F.col("pos").cast("int")).alias(c)
+        placed = placed.select("file_name", "pos", "word", "right", of("no"), of("split"), of("behind").alias("rest"), F.when(F.col("pos") == 0, F.col("after.vol")).alias("vol"), F.when(F.col("pos") == 0, F.col("after.idx")).alias("idx"))
+        return placed.join(ended, ["vol", "idx"], "left").where("ended IS NULL").select("file_name", "no", "word", "right", "split", "rest")
 
 
 def _misread_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,13 +151,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     repair = Repair(spark, sf_dir)
     fault = lambda df, f: df.select("rec_key", F.col("line_no").cast("int").alias("line_no"), F.lit(f).alias("fault"))
     line = lambda df: df.select(F.col("file_name").alias("rec_key"), F.col("no").alias("line_no"))
-    heads, folios = (fault(line(repair.lines.where(F.col("kind") == k)), k) for k in ("header", "folio"))
+    heads, folios = (fault(line(repair.lines(k)), k) for k in ("header", "folio"))
     misread = fault(repair.misread().mapInPandas(_misread_lines, "rec_key string, line_no long"), "misread")
     read = table(spark, sf_dir, "page_numbers").select("pageid", "printed_number").where("printed_number <> ''").join(repair.numbers, "pageid").where("printed_number <> number")
     numbers = read.select(F.col("pageid").alias("rec_key"), F.lit(0).alias("line_no"), F.lit("number").alias("fault"))
     return heads.unionByName(folios).unionByName(fault(line(repair.cuts()), "cut")).unionByName(misread).unionByName(numbers).distinct()
 
 
+def _pages_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    for x in batches:
+        for row in x.itertuples(index=False):
+            yield row, _lines(row)
+
+
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for row, lines in _pages_of(batches):
         right = {}
@@ -223,11 +239,11 @@ def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = cut(repair.cuts())
     fixes = repair.misread().groupBy("file_name").agg(F.collect_list(F.struct("no", "word", "right", "split")).alias("fixes"))
     of_page = cuts.groupBy("file_name").agg(F.collect_list("no").alias("cut"))
-    starts = cut(repair.pages.mapInPandas(_starts, "vol int, idx int, file_name string, word string"))
+    starts = cut(repair.bodies.mapInPandas(_starts, "vol int, idx int, file_name string, word string"))
     ends = cuts.where("last").select("file_name", "vol", "idx").distinct()
     tail = ends.join(starts.groupBy("vol", (F.col("idx") - 1).alias("idx")).agg(F.min_by("word", "file_name").alias("tail")), ["vol", "idx"]).select("file_name", "tail")
     taken = starts.join(ends.select("vol", (F.col("idx") + 1).alias("idx")).distinct(), ["vol", "idx"], "left_semi").select("file_name", F.lower("word").alias("taken"), F.lit(True).alias("carried"))
-    pages = repair.pages
+    pages = repair.bodies
     for part in (fixes, of_page, tail, taken):
         pages = pages.join(part, "file_name", "left")
     return pages.na.fill({"carried": False}).mapInPandas(_paragraphs, "file_name string, paragraph long, text string")

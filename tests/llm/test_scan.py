@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 
 from leafwork.llm import scan_queries
-from leafwork.llm.channel import misread_words, readings
+from leafwork.llm.channel import PRIOR, learn_confusions, likelihood, misread_words, suspects
 from leafwork.llm.scan import cut_stem, cuts_of, edge_keys, fit_numbers, from_roman, head_key, lines_of, to_roman, tokens_of
 
 HEADS = frozenset({"lalangue", "etudessurrondec"})
@@ -40,19 +40,47 @@ def test_numbers_of_leaves():
     assert all(from_roman(to_roman(n)) == n for n in range(1, 400)) and from_roman("iiii") == 0 and from_roman("") == 0
 
 
+def test_ways_between_words():
+    odds = {("a", "@"): 0.01, ("o", "0"): 0.02, ("m", "rn"): 0.03, ("cl", "d"): 0.04}
+    assert likelihood("tradition", "tr@diti0n", odds) == pytest.approx(0.0002)
+    assert likelihood("rime", "rirne", odds) == 0.03 and likelihood("éclaire", "édaire", odds) == 0.04
+    assert likelihood("rime", "xyz", odds) == 0 and likelihood("rime", "rime", odds) == 0 and likelihood("", "", odds) == 0
+
+
 def test_channel(spark):
-    known = {"tradition": 900, "rime": 500, "canso": 90}
-    assert readings("tr@diti0n", known) == {"tradition": (("a", "@"), ("o", "0"))} or set(readings("tr@diti0n", known)) == {"tradition"}
-    assert set(readings("rirne", known)) == {"rime"} and readings("xyz", known) == {}
     text = ["la rime suit la tradition du vers", "le vers suit la rime"] * 40
     odd = ["la rirne suit la tr@dition du vcrs", "le vers5 suit"]
-    rows = [(f"l{i}", j, w) for i, t in enumerate(text + odd) for j, w in enumerate(t.split())]
-    df = spark.createDataFrame([*rows, *rows[:5], ("x", 0, None)], "line string, pos long, word string")
-    got = {(r.word, r.right) for r in misread_words(df).collect()}
-    assert got == {("rirne", "rime"), ("tr@dition", "tradition"), ("vcrs", "vers")}
+    rows = [(f"l{i}", t.split(), 7) for i, t in enumerate(text + odd)]
+    df = spark.createDataFrame([*rows, ("x", [None], 0), ("y", None, 0), ("z", [], 0), (None, ["vcrs"], 0)], "line string, words array<string>, n int")
+    got = {(r.line, r.pos, r.word, r.right) for r in misread_words(df).collect()}
+    assert got == {("l80", 1, "rirne", "rime"), ("l80", 4, "tr@dition", "tradition"), ("l80", 6, "vcrs", "vers")}
     assert misread_words(df.limit(0)).count() == 0
 
 
+def test_neighbouring_misread_words(spark):
+    """A run of suspects is decoded together, by the pairs of its candidates."""
+    text = ["il lit le fort vent du nord", "il lit le port vers du sud"] * 60
+    rows = [(f"l{i}", t.split()) for i, t in enumerate([*text, "il lit le f0rt v3nt du nord", "il lit le f0rt vcnt du nord"])]
+    got = {(r.line, r.word, r.right) for r in misread_words(spark.createDataFrame(rows, "line string, words array<string>")).collect()}
+    assert got == {("l120", "f0rt", "fort"), ("l121", "f0rt", "fort"), ("l121", "vcnt", "vent")}
+
+
+def test_rare_right_word_is_proposed(spark):
+    """What is known does not depend on the size of the corpus: five uses do among a billion words."""
+    df = spark.createDataFrame([("le", 10**9), ("traverse", 5), ("tr@ver5e", 1), ("navire", 45), ("navjre", 4)], "word string, n long")
+    got = {r.word: [(c.cand, c.cn) for c in r.cands] for r in suspects(df).collect()}
+    assert got == {"tr@ver5e": [("traverse", 5)]}
+
+
+def test_confusions_are_learned(spark):
+    """A corpus in which k is read lc, and two words that differ by a letter without being misread."""
+    right = ["tokamar", "blokin", "sukarel", "makolin", "perkut", "kolimar", "vestin"]
+    rows = [(w, 4000) for w in right] + [(w.replace("k", "lc"), 8) for w in right if "k" in w] + [("vestan", 10), ("tokamor", 30)]
+    odds = learn_confusions(spark.createDataFrame(rows, "word string, n long"), prior=())
+    assert set(odds) == {("k", "lc")} and 0.001 < odds["k", "lc"] < 0.004
+    assert set(learn_confusions(spark.createDataFrame(rows, "word string, n long"))) == {("k", "lc"), *PRIOR}
+
+
 @pytest.fixture
 def small(tmp_path):
     prose = "La rime suit la tradition du poème et le vers suit le navire.\n" * 40
