@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm.bktree import BKTree
 from leafwork.llm.canon import canonical
+from leafwork.session import cut, spread
 
 _MARKUP = re.compile(r"\{\.[a-z]+\}")
 _VOLUME = re.compile(r"(?:\s*[,;]\s*|\s+)(?:t\.|tome|vol\.|n°)?\s*[IVXLC]+\s*[.,;:]*$|(?:\s*[,;]\s*|\s+)(?:t\.|tome|vol\.|n°)\s*\d+\s*[.,;:]*$")
@@ -80,20 +81,38 @@ class Listing:
 
     def closest(self, typed: str) -> tuple[float, str] | None:
         """(cost, siglum) of the closest entry, or None if none is within the radius; ties go to the first siglum."""
-        found = []
-        for text in dict.fromkeys((_MARKUP.sub("", canonical(typed)).strip(_EDGE), undress(typed))):
+        by_letters = self.by_letters(typed)
+        return by_letters[:2] if by_letters and by_letters[2] == 1 else self.by_title(typed)
+
+    def by_letters(self, typed: str) -> tuple[float, str, int] | None:
+        """(cost, siglum, how many at that cost) of the sigla nearest by their letters.
+
+        A siglum may be one edit or one swap of neighbours away, whatever its
+        length. It counts if no other is as near: where several are, the letters
+        tell nothing. Sigla of the very letters typed are one entry, the first.
+        """
+        for text in self._dresses(typed):
             letters = _letters(text)
             if not letters:
                 continue
             # Letter case tells sigla of the same letters apart, and hardly weighs otherwise.
-            for d, (siglum, key) in self.sigla.within(letters, 2 if len(letters) > 4 else 0):
-                swapped = d == 2 and sorted(letters) == sorted(key)
-                if d == 0 or ((d == 1 or swapped) and not self._manuscripts(text)):
-                    found.append((min(d, 1) + 0.01 * (_case(text) != _case(siglum)), siglum))
-            if found:
-                return min(found)
-        long = _content(text)
-        if not found and len(long) > 1 and max(map(len, long)) > 2:
+            same, near = [], []
+            for d, (siglum, key) in self.sigla.within(letters, 2):
+                cost = 0.01 * (_case(text) != _case(siglum))
+                if d == 0:
+                    same.append((cost, siglum))
+                elif (d == 1 or sorted(letters) == sorted(key)) and not self._manuscripts(text):
+                    near.append((1 + cost, siglum))
+            if same or near:
+                best = min(same or near)
+                return (*best, 1 if same else sum(c == best[0] for c, _ in near))
+        return None
+
+    def by_title(self, typed: str) -> tuple[float, str] | None:
+        """(cost, siglum) of the title nearest by its words or their beginnings."""
+        found = []
+        long = _content(undress(typed))
+        if len(long) > 1 and max(map(len, long)) > 2:
             whole = " ".join(long)
             for d, (siglum, _) in self.titles.within(whole, max(1, len(whole) // 8)):
                 found.append((1 + d, siglum))
@@ -105,6 +124,10 @@ class Listing:
                         found.append((cost + d + miss, siglum))
         return min(found, default=None)
 
+    @staticmethod
+    def _dresses(typed: str) -> list[str]:
+        return list(dict.fromkeys((_MARKUP.sub("", canonical(typed)).strip(_EDGE), undress(typed))))
+
     @staticmethod
     def _manuscripts(text: str) -> bool:
         """A row of single capitals in order stands for manuscripts; one more or less is no slip."""
@@ -126,38 +149,64 @@ class Listing:
         return miss if miss <= 1 else None
 
 
-def map_to_list(values: DataFrame, entries: DataFrame, typed: str = "siglum", shard_rows: int = 20_000) -> DataFrame:
+def map_to_list(values: DataFrame, entries: DataFrame, typed: str = "siglum", shard_rows: int = 20_000, values_at_once: int = 200_000) -> DataFrame:
     """typed, listed: every distinct value and the siglum of the entry it stands for, ``''`` for none.
 
     ``entries`` has siglum and title. Values are made distinct first, so a value
-    that a third of all rows bears is looked up once. The list is cut into
-    shards of about ``shard_rows`` entries, each a set of BK-trees sent to the
-    executors; every value is held against every shard and the cheapest winner
-    of all shards stays, ties going to the first siglum. A null value is left
-    out; a null siglum or title in the list is skipped; an empty list maps all
-    to ``''``; repeated list rows change nothing.
+    that a third of all rows bears is looked up once. A list of up to
+    ``shard_rows`` entries is sent to the tasks; a longer one is cut into shards
+    of about as many, and each task brings one shard, from which it builds the
+    BK-trees, together with up to ``values_at_once`` of the values; no list
+    passes through the driver. Every value is held against every shard and the
+    cheapest winner of all shards stays; a siglum near by letters counts only
+    if it is the nearest of all shards, other ties go to the first siglum. A
+    null value is left out; a null siglum or title in the list is skipped; an
+    empty list maps all to ``''``; repeated list rows change nothing.
     """
-    spark = values.sparkSession
     # The values are few bytes and much work, so they are spread whatever their size.
     queries = values.select(F.col(typed).alias("typed")).where("typed IS NOT NULL").distinct()
-    queries = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("typed"))
-    listed = entries.select("siglum", "title").where("siglum IS NOT NULL").distinct()
+    listed = cut(entries.select("siglum", "title").where("siglum IS NOT NULL").distinct())
     shards = max(1, ceil(listed.count() / shard_rows))
-    out = None
-    for shard in range(shards):
-        rows = [tuple(r) for r in listed.where(F.pmod(F.xxhash64("siglum"), F.lit(shards)) == shard).collect()]
-        won = queries.mapInPandas(_lookup(spark.sparkContext.broadcast(sorted(rows, key=str))), "typed string, cost double, listed string")
-        out = won if out is None else out.unionByName(won)
-    if shards > 1:
-        out = out.groupBy("typed").agg(F.min(F.struct("cost", "listed")).alias("best")).select("typed", "best.cost", "best.listed")
-    return out.select("typed", F.coalesce("listed", F.lit("")).alias("listed"))
+    if shards == 1:
+        rows = values.sparkSession.sparkContext.broadcast(sorted(map(tuple, listed.collect()), key=str))
+        won = spread(queries, "typed").mapInPandas(_lookup(rows), _WON)
+    else:
+        queries = cut(queries)
+        parts = max(1, ceil(queries.count() / values_at_once))
+        shard, part = F.pmod(F.xxhash64("siglum"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("typed"), F.lit(parts)).alias("part")
+        left = queries.select("typed", part, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        right = listed.select("siglum", "title", shard, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        by = lambda df: df.withColumns({c: F.col(c).cast("long") for c in ("shard", "part")}).groupBy("shard", "part")
+        won = by(left).cogroup(by(right)).applyInPandas(_held, "typed string, stage int, cost double, listed string, ties long")
+        least = won.groupBy("typed", "stage").agg(F.min("cost").alias("cost"))
+        best = won.join(least, ["typed", "stage", "cost"]).groupBy("typed", "stage").agg(F.min("listed").alias("listed"), F.sum("ties").alias("ties"), F.min("cost").alias("cost"))
+        sure = F.when((F.col("stage") == 1) | (F.col("ties") == 1) | (F.col("cost") < 1), F.col("listed"))
+        won = best.groupBy("typed").agg(F.min_by(sure, F.when(sure.isNotNull(), F.col("stage"))).alias("listed"))
+        won = queries.select("typed").join(won, "typed", "left")
+    return won.select("typed", F.coalesce("listed", F.lit("")).alias("listed"))
+
+
+_WON = "typed string, listed string"
+
+
+def _held(values: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """What one shard has for each value: by letters, and by title unless the letters are the very same."""
+    listing, rows = Listing(sorted(zip(entries["siglum"], entries["title"], strict=True), key=str)), []
+    for t in values["typed"]:
+        by_letters = listing.by_letters(t)
+        if by_letters:
+            rows.append((t, 0, *by_letters))
+        if not by_letters or by_letters[0] >= 1:
+            by_title = listing.by_title(t)
+            if by_title:
+                rows.append((t, 1, *by_title, 1))
+    return pd.DataFrame(rows, columns=["typed", "stage", "cost", "listed", "ties"])
 
 
 def _lookup(rows):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         listing = Listing(rows.value)
-        for batch in batches:
-            best = [listing.closest(t) or (float("inf"), None) for t in batch["typed"]]
-            yield pd.DataFrame({"typed": batch["typed"], "cost": [b[0] for b in best], "listed": [b[1] for b in best]})
+        for x in batches:
+            yield pd.DataFrame({"typed": x["typed"], "listed": [(listing.closest(t) or (0, None))[1] for t in x["typed"]]})
 
     return run

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,3 +42,20 @@ def test_shards_nulls_and_clashing_columns(spark):
         assert {tuple(r) for r in map_to_list(typed, entries, shard_rows=rows).collect()} == {("aemu", "AEMU"), ("nobody", "")}
     assert {tuple(r) for r in map_to_list(typed, entries.limit(0)).collect()} == {("aemu", ""), ("nobody", "")}
     assert map_to_list(typed.limit(0), entries).count() == 0
+
+
+def test_short_sigla_by_the_rule_of_all():
+    """Length does not matter: one edit or swap counts where one siglum is as near, and says nothing where two are."""
+    listing = Listing([("ROMA", "Romania de Taldoc"), ("BN", "Bulletin de Rundec"), ("BL", "Blätter von Cessec"), ("Zt", "Zeitschrift")])
+    assert listing.closest("ROMB")[1] == listing.closest("RMOA")[1] == listing.closest("ROM")[1] == "ROMA"
+    assert listing.closest("bx") is None and listing.closest("zt")[1] == listing.closest("zta")[1] == "Zt"
+
+
+def test_shards_give_what_one_list_gives(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcdr") for _ in range(rng.randint(2, 5)))
+    entries = [(s, f"Revue de {name()} {name()}") for s in sorted({name() for _ in range(60)})]
+    typed = [(name(),) for _ in range(150)] + [(t.title(),) for _, t in entries[:20]] + [(t[:9] + t[10:],) for _, t in entries[20:40]]
+    values, listed = spark.createDataFrame(typed, "siglum string"), spark.createDataFrame(entries, "siglum string, title string")
+    one, many = ({tuple(r) for r in map_to_list(values, listed, shard_rows=n, values_at_once=40).collect()} for n in (20_000, 7))
+    assert one == many and len({x for _, x in one}) > 20
