@@ -25,9 +25,14 @@ _VOWELS = re.compile(r"[aeiouyàâäáãåæéèêëíìîïóòôöõœúùûü
 _NOTE = re.compile(r"\[\^\d+\]:?")
 _EDGES = ".,;:!?()«»*\"'“”‘’—–-[]#+…•|"
 _MARK = re.compile(r"\s*(?:[-•–*+·▪]|\(?\d+[.)]|[a-z]\))\s+\S")
-_ENTRY = re.compile(r"[^\d]{1,60}?\s\d+(?:,\s\d+)+\.?$|.{1,60}\(\d+\)$|\S+\s=\s\S|\S+(?:\s\S+)?\s+[IVXLC]+,\s\d+(?:;|$)")
+_ANY_MARK = re.compile(r"^" + _MARK.pattern, re.M)
+_STRUCTURE = re.compile(r"[0-9=(]|\b[IVXLC]+\b")
+_CORE = re.compile(r"[\W_]*([\w][\w.'’^²-]*)")
 _PAIRED = re.compile(r"Ã[\x80-\xbf]|Ã\s|Â[\xa0-\xbf]|â€|�")
 _DELIMITERS = {"tab": re.compile(r"\t"), "bar": re.compile(r"\s\|\s|(?<=-)\|(?=-)"), "semicolon": re.compile(r"[;¦](?=\S)"), "dots": re.compile(r"\s\.{2,}\s"), "gap": re.compile(r"(?<=\S) {2,}(?=\S)")}
+_ANY_DELIMITER = re.compile("|".join(d.pattern for d in _DELIMITERS.values()))
+#: Longest period looked for, and the autocorrelation that makes one.
+MOST_PERIOD, PERIODIC = 8, 0.6
 
 
 def _broken(text: str) -> float:
@@ -44,58 +49,136 @@ def _broken(text: str) -> float:
     return bad / n if n else float(bool(text.split()))
 
 
-def _autocorrelation(xs: list[int]) -> float:
-    """Lag-one autocorrelation; 0 for fewer than three values, 1 for equal ones."""
-    if len(xs) < 3:
+def autocorrelation(xs: list[int], lag: int = 1) -> float:
+    """Autocorrelation at a lag; 0 for too few values, 1 for equal ones."""
+    if len(xs) < lag + 2:
         return 0.0
     mean = sum(xs) / len(xs)
     var = sum((x - mean) ** 2 for x in xs)
-    return sum((a - mean) * (b - mean) for a, b in zip(xs, xs[1:], strict=False)) / var if var else 1.0
+    return sum((a - mean) * (b - mean) for a, b in zip(xs, xs[lag:], strict=False)) / var * len(xs) / (len(xs) - lag) if var else 1.0
+
+
+def period(xs: list[int]) -> int:
+    """The shortest lag of two or more at which a series that varies repeats itself, seen three times; 1 if it does not."""
+    if len(set(xs)) < 2:
+        return 1
+    lags = [(autocorrelation(xs, p), -p) for p in range(2, min(MOST_PERIOD, len(xs) // 3) + 1)]
+    best, p = max(lags, default=(0.0, -1))
+    return -p if best >= PERIODIC else 1
+
+
+def _columns(line: str, delimiter: re.Pattern, ordinal: bool) -> list[int]:
+    """Where the cells of a line begin: by character, or by count for delimiters that themselves keep cells apart."""
+    ends = [m.end() for m in delimiter.finditer(line)]
+    return list(range(1, len(ends) + 1)) if ordinal else ends
+
+
+def _aligned(a: list[int], b: list[int]) -> bool:
+    """Whether most cells of two lines begin in the same columns, or a letter beside."""
+    return bool(a) and bool(b) and 2 * sum(any(abs(x - y) <= 1 for y in b) for x in a) > len(a) and 2 * sum(any(abs(x - y) <= 1 for x in a) for y in b) > len(b)
 
 
 def _table_rows(lines: list[str]) -> list[bool]:
-    """Lines whose delimiters are aligned with those of a neighbour: as many, between short cells."""
+    """Lines of short cells whose delimiters are aligned with those of a line beside.
+
+    Runs of blanks are aligned if the cells behind them begin in the same
+    columns of characters. Tabs, bars, semicolons and leaders are aligned if
+    there are as many; a line by itself needs three.
+    """
     out = [False] * len(lines)
     for name, delimiter in _DELIMITERS.items():
-        counts = []
-        if not any(map(delimiter.search, lines)):
-            continue
+        rows: list[list[int]] = []
         for line in lines:
-            inner = line.strip(" |") if name == "bar" else line.strip()
-            cells = delimiter.split(inner)
-            short = sum(len(c.split()) <= 3 and len(c.strip()) <= 24 for c in cells)
-            counts.append(len(cells) - 1 if len(cells) > 1 and short >= 0.75 * len(cells) else 0)
-        for i, k in enumerate(counts):
-            lone = name == "bar" and k >= 2 and lines[i].strip()[:1] == "|"
-            beside = [counts[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-            if k and (lone or k in beside or (len(lines) == 1 and k >= 3)):
+            text = line.strip(" |") if name == "bar" else line.rstrip()
+            columns = _columns(text, delimiter, name != "gap")
+            if columns:
+                cells = delimiter.split(text.strip())
+                short = sum(len(c.split()) <= 3 and len(c.strip()) <= 24 for c in cells)
+                columns = columns if short >= 0.75 * len(cells) else []
+            rows.append(columns)
+        if not any(rows):
+            continue
+        for i, row in enumerate(rows):
+            lone = name == "bar" and len(row) >= 2 and lines[i].strip()[:1] == "|"
+            same = _aligned if name == "gap" else lambda a, b: len(a) == len(b)
+            if row and (lone or any(same(row, rows[j]) for j in (i - 1, i + 1) if 0 <= j < len(lines)) or (len(lines) == 1 and len(row) >= 3)):
                 out[i] = True
     return out
 
 
-def _list_rows(lines: list[str], prose: float) -> list[bool]:
-    """Lines that are entries: marked, or short and ending in a reference, or bare ones between such.
+def skeleton(line: str) -> str:
+    """What a line is made of: ``a`` for words, ``9`` for a number, ``R`` for a numeral, with the delimiters beside them."""
+    out: list[str] = []
+    for token in line.split():
+        m = _CORE.match(token)
+        if not m:
+            out.append("=" if token == "=" else "")
+            continue
+        core = m[1].rstrip(".")
+        kind = "9" if core[0].isdigit() else "R" if core.strip("IVXLC") == "" else "a"
+        rest = token[m.end() :]
+        part = "(" * (token[0] == "(") + kind + "".join(c for c in rest if c in ",;:)=")
+        if part == "a" and out and out[-1] == "a":
+            continue
+        if out and out[-1] == "a" and part[0] == "a":
+            out[-1] = part
+        else:
+            out.append(part)
+    return "".join(out)
+
+
+def _alike(a: str, b: str) -> bool:
+    """Whether the delimiters of two lines agree as far as the shorter goes: a list of references may be longer beside."""
+    short, long = sorted((a, b), key=len)
+    return len(short) >= 2 and long.startswith(short) and any(c in short for c in "9R=(")
 
-    Lines indented under a marked line go on with its entry. Lines of about equal
-    length (length autocorrelation above zero, or full words to the margin) are
-    wrapped prose and no bare entries.
+
+def _list_rows(lines: list[str], prose: float, marked: bool, structured: bool) -> list[bool]:
+    """Lines that are entries, or go on with one.
+
+    An entry begins with a mark, or is a line of few common words made like the
+    line beside it: the same words, numbers and delimiters in the same order.
+    Where entries run over several lines, the period of the indents or of the
+    line lengths tells which line is beside. Indents that repeat themselves make
+    entries without any mark; lines indented under an entry go on with it. Bare
+    lines are entries among entries, or if nearly all are bare and their lengths
+    do not hang together as those of wrapped prose do.
     """
-    marks = [bool(_MARK.match(x)) for x in lines]
-    entries = [m or (len(x) < 90 and bool(_ENTRY.search(x.strip()))) for m, x in zip(marks, lines, strict=True)]
-    out = list(entries)
-    if any(marks):
-        indent = [len(x) - len(x.lstrip()) for x in lines]
-        for i in range(1, len(lines)):
+    n = len(lines)
+    out = [bool(_MARK.match(x)) for x in lines] if marked else [False] * n
+    indent = [len(x) - len(x.lstrip()) for x in lines]
+    hanging = period(indent) if any(indent) else 1
+    if hanging > 1 and prose < 0.9:
+        out = [True] * n
+    if structured:
+        step = hanging if hanging > 1 else period([len(x.rstrip()) for x in lines])
+        made = [skeleton(x.strip()) if _STRUCTURE.search(x) and not x.lstrip().startswith("[^") else "" for x in lines]
+        for i in range(n):
+            near = {i - 1, i + 1, i - step, i + step}
+            if not out[i] and made[i] and _thin(lines[i]) and any(0 <= j < n and j != i and _alike(made[i], made[j]) for j in near):
+                out[i] = True
+                # The lines up to the next entry belong to it, if the period says so.
+                for k in range(i + 1, min(i + step, n)):
+                    out[k] = True
+    entries = list(out)
+    if any(indent):
+        for i in range(1, n):
             if out[i - 1] and not out[i] and indent[i] > 0 and indent[i] >= indent[i - 1]:
                 out[i] = True
     bare = [len(x.split()) <= 4 and x.strip()[-1:] not in ".,;:!?…" for x in lines]
-    if sum(entries) and sum(e or b for e, b in zip(entries, bare, strict=True)) >= 0.8 * len(lines):
-        out = [e or b for e, b in zip(out, bare, strict=True)]
-    elif len(lines) >= 3 and sum(bare) >= 0.9 * len(lines) and prose < 0.5 and _autocorrelation([len(x) for x in lines]) < 0.5:
-        out = [e or b for e, b in zip(out, bare, strict=True)]
+    if any(entries) and sum(e or b for e, b in zip(entries, bare, strict=True)) >= 0.8 * n:
+        return [e or b for e, b in zip(out, bare, strict=True)]
+    if n >= 3 and sum(bare) >= 0.9 * n and prose < 0.5 and autocorrelation([len(x) for x in lines]) < 0.5:
+        return [e or b for e, b in zip(out, bare, strict=True)]
     return out
 
 
+def _thin(line: str) -> bool:
+    """Whether few of a line's words are common ones and none ends a sentence within it."""
+    words = _WORD.findall(line)
+    return sum(w.lower() in COMMON for w in words) <= max(1, 0.25 * len(words)) and not re.search(r"[^\W\d_]{3}[.!?…] +[^\W\d_]", line)
+
+
 def describe(text: str | None) -> tuple:
     """words, mean_word_length, symbol_ratio, ended_lines, common_words, form."""
     text = text or ""
@@ -120,9 +203,10 @@ def form_of(lines: list[str], words: list[str], ended: float, common: float) ->
         return "junk"
     if len(lines) >= 6 and Counter(lines).most_common(1)[0][1] > 0.6 * len(lines):
         return "junk"
-    table = _table_rows(lines)
-    entries = _list_rows(lines, ended)
     text = "\n".join(lines)
+    marked, structured = bool(_ANY_MARK.search(text)), bool(_STRUCTURE.search(text))
+    table = _table_rows(lines) if _ANY_DELIMITER.search(text) else [False] * len(lines)
+    entries = _list_rows(lines, ended, marked, structured)
     doubtful = _broken(text) > 0.1 or bool(_PAIRED.search(text))
     letters = sum(map(len, words))
     if not any(table) and not any(entries) and letters >= 20 and common < 0.1 and len(_VOWELS.findall(text)) < 0.3 * letters:
@@ -132,12 +216,10 @@ def form_of(lines: list[str], words: list[str], ended: float, common: float) ->
         kind = "natural"
         if doubtful and _junk(line, is_table, is_entry):
             kind = "junk"
-        elif is_table and not (is_entry and _ENTRY.search(line.strip())):
+        elif is_table:
             kind = "table"
         elif is_entry:
             kind = "list"
-        elif is_table:
-            kind = "table"
         of[kind] += len(line.strip())
     if of["natural"] * 2 >= total:
         return "natural"

@@ -1,4 +1,7 @@
-from leafwork.llm.quality import describe, quality
+import pytest
+
+from leafwork.llm import quality as q
+from leafwork.llm.quality import autocorrelation, describe, period, quality, skeleton
 
 FORMS = {
     "natural": [
@@ -28,3 +31,46 @@ def test_rows_of_all_kinds(spark):
     got = sorted((r.doc_id, r.form) for r in quality(df).collect())
     assert got == [(1, "natural"), (1, "natural"), (2, "junk"), (3, "natural")]
     assert quality(df.limit(0)).count() == 0
+
+
+def test_series():
+    assert autocorrelation([1, 2]) == 0 and autocorrelation([4, 4, 4]) == 1 and autocorrelation([1, 9, 1, 9, 1, 9]) < 0 < autocorrelation([1, 9, 1, 9, 1, 9], 2)
+    assert period([0, 2, 2] * 4) == 3 and period([0, 4] * 5) == 2 and period([3] * 9) == 1 and period([60, 61, 59, 60, 12, 61, 58, 60, 59, 61, 30]) == 1 and period([]) == 1
+
+
+def test_what_lines_are_made_of():
+    assert [skeleton(x) for x in ("Rondec 32, 447", "brir XI, 46; XIII, 13", "le jeu verbal (83)", "Me.Vol. = Mémoires de Taldoc", "")] == ["a9,9", "aR,9;R,9", "a(9)", "a=a", ""]
+
+
+COLUMNS = "mot      vers      rime\nun       trois     sept\ndeux     quatre    huit"
+RAGGED = "mot  vers suit la rime\nun deux  trois et sept\ndeux trois  quatre et huit\nla suite du vers  vient"
+HANGING = "\n".join(x for k in range(5) for x in (f"Taldoc{'a' * k}, voix du poème {'et des rimes ' * k}", "    à Rondec"))
+LONG_SHORT = "\n".join(x for k in range(6) for x in (f"Rondec {k}4, 9{k} voir encore la cobla seconde du recueil perdu", "de Taldoc"))
+WORDS = "rossinhol clar\nvers\nla plus haute tempesta\ndos\nmarvelhosa sazo"
+
+
+@pytest.mark.parametrize(
+    ("signal", "off", "text", "form"),
+    [
+        ("_aligned", lambda a, b: False, COLUMNS, "table"),
+        ("period", lambda xs: 1, HANGING, "list"),
+        ("period", lambda xs: 1, LONG_SHORT, "list"),
+        ("autocorrelation", lambda xs, lag=1: 1.0, WORDS, "list"),
+        ("_alike", lambda a, b: False, "Rondec Taldoc Vinhac Pulassac 32, 447\nTaldoc Vinhac Rostic 3, 84\nVinhac Cessec Rundec Rostic 7, 1", "list"),
+    ],
+)
+def test_every_signal_decides(monkeypatch, signal, off, text, form):
+    assert describe(text)[-1] == form
+    monkeypatch.setattr(q, signal, off)
+    assert describe(text)[-1] != form
+
+
+def test_gaps_that_are_not_in_columns():
+    assert describe(RAGGED)[-1] == "natural"
+    assert describe("La rime du poème suit\nla mesure du vers que\nle scribe donne dans le\nrecueil de la tradition")[-1] == "natural"
+
+
+def test_long_lines_are_read_whole():
+    tail = " de la cobla" * 20
+    assert describe(f"- Rondec{tail}, 3\n- Taldoc{tail}, 4")[-1] == "list"
+    assert describe("\n".join(f"Rondec Taldoc Vinhac Lossassac Pulassac Braulvamont Rundec Cessec Gaundeval Vinhac Rostic Taurmin {k}, {k}7" for k in range(3)))[-1] == "list"
