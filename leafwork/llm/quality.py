@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,26 +28,30 @@ _EDGES = ".,;:!?()«»*\"'“”‘’—–-[]#+…•|"
 _MARK = re.compile(r"\s*(?:[-•–*+·▪]|\(?\d+[.)]|[a-z]\))\s+\S")
 _ANY_MARK = re.compile(r"^" + _MARK.pattern, re.M)
 _STRUCTURE = re.compile(r"[0-9=(]|\b[IVXLC]+\b")
+_WORDS_TOGETHER = re.compile("a{2,}")
 _CORE = re.compile(r"[\W_]*([\w][\w.'’^²-]*)")
 _PAIRED = re.compile(r"Ã[\x80-\xbf]|Ã\s|Â[\xa0-\xbf]|â€|�")
 _DELIMITERS = {"tab": re.compile(r"\t"), "bar": re.compile(r"\s\|\s|(?<=-)\|(?=-)"), "semicolon": re.compile(r"[;¦](?=\S)"), "dots": re.compile(r"\s\.{2,}\s"), "gap": re.compile(r"(?<=\S) {2,}(?=\S)")}
-_ANY_DELIMITER = re.compile("|".join(d.pattern for d in _DELIMITERS.values()))
+# What a text must hold for a delimiter to be looked for.
+_HINTS = {"tab": "\t", "bar": "|", "semicolon": ";¦", "dots": "..", "gap": "  "}
 #: Longest period looked for, and the autocorrelation that makes one.
 MOST_PERIOD, PERIODIC = 8, 0.6
 
 
+@lru_cache(maxsize=100_000)
+def _word_kind(raw: str) -> int:
+    """0 for edges alone, 1 for a whole word or number, 2 for anything else."""
+    word = _NOTE.sub("", raw).strip(_EDGES)
+    if not word:
+        return 2 if raw.strip(_EDGES + "=") else 0
+    return 1 if _WHOLE.fullmatch(word) and len(word) <= 40 else 2
+
+
 def _broken(text: str) -> float:
     """Share of the words that are not whole words or numbers."""
-    bad = n = 0
-    for raw in text.split():
-        word = _NOTE.sub("", raw).strip(_EDGES)
-        if not word:
-            n += bool(raw.strip(_EDGES + "="))
-            bad += bool(raw.strip(_EDGES + "="))
-            continue
-        n += 1
-        bad += not _WHOLE.fullmatch(word) or len(word) > 40
-    return bad / n if n else float(bool(text.split()))
+    kinds = list(map(_word_kind, text.split()))
+    n = len(kinds) - kinds.count(0)
+    return kinds.count(2) / n if n else float(bool(kinds))
 
 
 def autocorrelation(xs: list[int], lag: int = 1) -> float:
@@ -86,7 +91,11 @@ def _table_rows(lines: list[str]) -> list[bool]:
     there are as many; a line by itself needs three.
     """
     out = [False] * len(lines)
+    text = "\n".join(lines)
     for name, delimiter in _DELIMITERS.items():
+        hint = _HINTS[name]
+        if not (any(c in text for c in hint) if name == "semicolon" else hint in text):
+            continue
         rows: list[list[int]] = []
         for line in lines:
             text = line.strip(" |") if name == "bar" else line.rstrip()
@@ -106,25 +115,19 @@ def _table_rows(lines: list[str]) -> list[bool]:
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _part(token: str) -> str:
+    m = _CORE.match(token)
+    if not m:
+        return "=" if token == "=" else ""
+    core = m[1].rstrip(".")
+    kind = "9" if core[0].isdigit() else "R" if core.strip("IVXLC") == "" else "a"
+    return "(" * (token[0] == "(") + kind + "".join(c for c in token[m.end() :] if c in ",;:)=")
+
+
 def skeleton(line: str) -> str:
     """What a line is made of: ``a`` for words, ``9`` for a number, ``R`` for a numeral, with the delimiters beside them."""
-    out: list[str] = []
-    for token in line.split():
-        m = _CORE.match(token)
-        if not m:
-            out.append("=" if token == "=" else "")
-            continue
-        core = m[1].rstrip(".")
-        kind = "9" if core[0].isdigit() else "R" if core.strip("IVXLC") == "" else "a"
-        rest = token[m.end() :]
-        part = "(" * (token[0] == "(") + kind + "".join(c for c in rest if c in ",;:)=")
-        if part == "a" and out and out[-1] == "a":
-            continue
-        if out and out[-1] == "a" and part[0] == "a":
-            out[-1] = part
-        else:
-            out.append(part)
-    return "".join(out)
+    return _WORDS_TOGETHER.sub("a", "".join(map(_part, line.split())))
 
 
 def _alike(a: str, b: str) -> bool:
@@ -176,7 +179,7 @@ def _list_rows(lines: list[str], prose: float, marked: bool, structured: bool) -
 def _thin(line: str) -> bool:
     """Whether few of a line's words are common ones and none ends a sentence within it."""
     words = _WORD.findall(line)
-    return sum(w.lower() in COMMON for w in words) <= max(1, 0.25 * len(words)) and not re.search(r"[^\W\d_]{3}[.!?…] +[^\W\d_]", line)
+    return sum(map(COMMON.__contains__, map(str.lower, words))) <= max(1, 0.25 * len(words)) and not re.search(r"[^\W\d_]{3}[.!?…] +[^\W\d_]", line)
 
 
 def describe(text: str | None) -> tuple:
@@ -189,7 +192,7 @@ def describe(text: str | None) -> tuple:
     symbols = size - len(_NOT_ALNUM.sub("", text))
     mean = sum(map(len, words)) / n if n else 0.0
     ended = sum(x.rstrip()[-1] in ".!?…:;,»\"" for x in lines) / len(lines) if lines else 0.0
-    common = sum(w.lower() in COMMON for w in words) / n if n else 0.0
+    common = sum(map(COMMON.__contains__, map(str.lower, words))) / n if n else 0.0
     stats = (n, round(mean, 6), round(symbols / size, 6) if size else 0.0, round(ended, 6), round(common, 6))
     return (*stats, form_of(lines, words, ended, common))
 
@@ -205,9 +208,9 @@ def form_of(lines: list[str], words: list[str], ended: float, common: float) ->
         return "junk"
     text = "\n".join(lines)
     marked, structured = bool(_ANY_MARK.search(text)), bool(_STRUCTURE.search(text))
-    table = _table_rows(lines) if _ANY_DELIMITER.search(text) else [False] * len(lines)
+    table = _table_rows(lines)
     entries = _list_rows(lines, ended, marked, structured)
-    doubtful = _broken(text) > 0.1 or bool(_PAIRED.search(text))
+    doubtful = _broken(text) > 0.1 or (any(c in text for c in "ÃÂâ�") and bool(_PAIRED.search(text)))
     letters = sum(map(len, words))
     if not any(table) and not any(entries) and letters >= 20 and common < 0.1 and len(_VOWELS.findall(text)) < 0.3 * letters:
         return "junk"
