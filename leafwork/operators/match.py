@@ -41,6 +41,19 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, lo: str, hi: str, w
     return left.join(right, keys).where((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi))).drop("_bucket")
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], rows: int = 2000) -> DataFrame:
+    """Inner join in which a key with more than ``rows`` left rows is cut into parts of about as many, each with all right rows of the key.
+
+    What a hot key puts out is then spread over tasks, which a join that splits
+    by the bytes it reads does not do. ``left`` is read twice: cut it before.
+    """
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select(*on, F.ceil(F.col("_n") / rows).cast("int").alias("_salts"))
+    one = F.coalesce("_salts", F.lit(1))
+    a = left.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), one).cast("int")).drop("_salts")
+    b = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    return a.join(b, [*on, "_salt"]).drop("_salt")
+
+
 def outside_spans(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str) -> DataFrame:
     """Points of a group in none of its spans, ends excluded."""
     other = spans.select(*[F.col(c).alias(f"_{c}") for c in on], F.col(start).alias("_start"), F.col(end).alias("_end"))

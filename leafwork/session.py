@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,7 +45,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
+def spread(df: DataFrame, *by: str | Column) -> DataFrame:
     """Rows of few bytes and much work, kept in as many tasks as the session shuffles to: adaptive execution would put them in one."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
