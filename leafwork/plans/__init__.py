@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafwork.plans import events, index, layout, pages, records, references
+from leafwork.plans import citing, events, index, layout, pages, records, references
 
-_PARTS = (references, pages, layout, records, index, events)
+_PARTS = (references, pages, layout, records, citing, index, events)
 
 
 def all_queries() -> dict:
