@@ -224,3 +224,28 @@ def siglum_short(author: Column, title: Column, definition: Column) -> Column:
     """What a siglum stands for in few words: surname and short title, else the start of its definition."""
     of_work = F.concat_ws(", ", F.initcap(F.lower(author)), F.nullif(short_title(title), F.lit("")))
     return F.when(author.isNotNull(), of_work).otherwise(short_title(definition, 44))
+
+
+def rebuilt_table(text: Column) -> Column:
+    """A table whose lines were put on one, in lines again, empty cells kept; null if it is none.
+
+    The rule line tells how many cells a line has; between lines the bars meet, and three lines make a table.
+    """
+    rule = F.regexp_extract(text, r"\|(?:\s*:?-{3,}:?\s*\|)+", 0)
+    width = F.regexp_count(rule, F.lit("-{3,}"))
+    parts = F.split(text, r"\|")
+    cells = F.slice(parts, F.lit(2), F.size(parts) - F.when(F.trim(F.element_at(parts, -1)) == "", 2).otherwise(1))
+    n = F.floor((F.size(cells) + 1) / (width + 1)).cast("int")
+    numbers = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    row = lambda i: F.concat(F.lit("| "), F.array_join(F.transform(F.slice(cells, i * (width + 1) + 1, width), lambda c: F.trim(c)), " | "), F.lit(" |"))
+    met = F.forall(numbers, lambda i: F.trim(F.coalesce(F.get(cells, i * (width + 1) + width), F.lit(""))) == "")
+    whole = (width >= 2) & (F.trim(F.get(parts, F.lit(0))) == "") & ((F.size(cells) + 1) % (width + 1) == 0) & (n >= 3) & met
+    return F.when(whole, F.array_join(F.transform(numbers, row), "\n"))
+
+
+def witness_key(token: Column, known: Column) -> Column:
+    """The witness of the array ``known`` that a printed token means: its letter with 2 if it bears one and there is such, else the letter; null if neither. Case counts."""
+    bare = F.trim(F.replace(replaced(token, UNDERLINED), F.lit("*"), F.lit("")))
+    letter = F.substring(bare, 1, 1)
+    second = F.when(bare.rlike(r"\^?[2²]\^?'?$"), F.concat(letter, F.lit("2")))
+    return F.when(F.array_contains(known, second), second).when(F.array_contains(known, letter), letter)

@@ -9,26 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from leafwork.functions.text import common_prefix, fold_key
-
-
-def typographic(text: Column) -> Column:
-    """Blanks squeezed, a narrow no-break space before high punctuation and inside French quotes, a long dash between blanks."""
-    text = F.regexp_replace(text, "[ \t]{2,}", " ")
-    text = F.regexp_replace(text, r"[   ]*([;:!?»])(?!/)", " $1")
-    text = F.regexp_replace(text, r"«[   ]*", "« ")
-    return F.regexp_replace(text, r"(?<=\S) - (?=\S)", " — ")
-
 
 def squeeze_blank_lines(text: Column) -> Column:
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
 
-def collapse_stars(text: Column) -> Column:
-    """A run of star and blank lines that begins with a star line becomes one mark and one blank line."""
-    return F.regexp_replace(text, r"(?m)^[+*][ \t]*\n(?:[ \t]*[+*]?[ \t]*\n)*", "* * *\n\n")
-
-
 def lemma_head(line: Column) -> Column:
     """``12-14. le mot`` as first 12, last 14, open false, label; ``12 ss.`` is open; null fields where it is no head."""
     at = lambda k: F.try_to_number(F.nullif(F.regexp_extract(line, r"^\s*v?v?\.?\s*(\d+)(?:\s*[-–]\s*(\d+))?(\s*ss\.?)?\.?\s*(.*)$", k), F.lit("")), F.lit("999999")).cast("int")
@@ -49,20 +34,6 @@ def reference_list(text: Column) -> Column:
     return F.flatten(rows)
 
 
-def mark_score(token: Column, form: Column) -> Column:
-    """How well a word of a verse answers an index form: 1000 the same, 500 the folded same, 200 a beginning, else the common beginning."""
-    a, b = fold_key(token), fold_key(form)
-    return F.when(token == form, 1000).when(a == b, 500).when((F.length(b) >= 3) & (a.startswith(b) | b.startswith(a)), 200).otherwise(common_prefix(a, b))
-
-
-def best_mark(text: Column, form: Column, least: int = 3) -> Column:
-    """The word of a text that answers a form best, the first on a tie; null below ``least``."""
-    tokens = F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1))
-    scored = F.transform(tokens, lambda t, i: F.struct(mark_score(t, form).alias("s"), (-i).alias("i"), t.alias("t")))
-    top = F.array_max(scored)
-    return F.when(top["s"] >= least, top["t"])
-
-
 def preceding(text: Column, mark: Column, window: int = 600) -> Column:
     """The last quoted or emphasized title within ``window`` letters before ``mark``, or null."""
     at = F.instr(text, mark)
@@ -87,14 +58,7 @@ def dedent(block: Column) -> Column:
     lines = F.split(block, "\n")
     widths = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x)))
     n = F.coalesce(F.array_min(widths), F.lit(0))
-    return F.array_join(F.transform(lines, lambda x: F.substr(x, n + 1, F.lit(1_000_000))), "\n")
-
-
-def rebuild_table(flat: Column, columns: Column) -> Column:
-    """A table flattened to one line of cells between bars, cut into lines of ``columns`` cells."""
-    cells = F.transform(F.filter(F.split(flat, r"\|"), lambda c: F.trim(c) != ""), lambda x: F.trim(x))
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(cells) - 1, F.lit(0))), lambda i: i % columns == 0)
-    return F.array_join(F.transform(starts, lambda i: F.concat(F.lit("| "), F.array_join(F.slice(cells, i + 1, columns), " | "), F.lit(" |"))), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.substr(x, n + 1)), "\n")
 
 
 def notes_once(text: Column) -> Column:

@@ -72,7 +72,7 @@ def last_capitals(author: Column) -> Column:
 
 def title_case(text: Column, small: tuple[str, ...] = ("de", "du", "des", "la", "le", "von", "van", "di")) -> Column:
     """Every word with a capital first letter but particles."""
-    return F.array_join(F.transform(F.split(F.lower(text), " "), lambda w: F.when(w.isin(*small), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))), " ")
+    return F.array_join(F.transform(F.split(F.lower(text), " "), lambda w: F.when(w.isin(*small), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))), " ")
 
 
 def superscript(text: Column) -> Column:
@@ -140,10 +140,10 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def to_roman(number: Column) -> Column:
-    """Roman numeral of 1 to 3999."""
+    """Roman numeral of 1 to 3999; null for other numbers."""
     digits = (("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"), ("", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"), ("", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"), ("", "M", "MM", "MMM"))
     parts = [F.element_at(F.array(*map(F.lit, row)), (F.floor(number / 10**k) % (10 if k < 3 else 4)).cast("int") + 1) for k, row in enumerate(digits)]
-    return F.concat(*reversed(parts))
+    return F.when(number.between(1, 3999), F.concat(*reversed(parts)))
 
 
 def from_roman(text: Column) -> Column:
@@ -162,7 +162,7 @@ def from_roman(text: Column) -> Column:
 def attributes(text: Column) -> Column:
     """``{.a .b k=v}`` as a struct of classes and a map of keys."""
     items = F.filter(F.split(F.regexp_extract(text, r"\{([^}]*)\}", 1), r"\s+"), lambda x: x != "")
-    classes = F.transform(F.filter(items, lambda x: x.startswith(".")), lambda x: F.substring(x, 2, 1000))
+    classes = F.transform(F.filter(items, lambda x: x.startswith(".")), lambda x: F.substr(x, F.lit(2)))
     pairs = F.filter(items, lambda x: x.contains("="))
     return F.struct(classes.alias("classes"), F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_replace(F.substring_index(x, "=", -1), '"', "")))).alias("keys"))
 
@@ -181,17 +181,6 @@ def replace_nth(text: Column, pattern: str, with_: Column) -> Column:
     return F.array_join(F.zip_with(pieces, put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def initials(author: Column) -> Column:
-    """``Jean Pierre MORDAC`` as ``J. P. MORDAC``."""
-    words = F.split(author, " ")
-    return F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"^\p{Lu}\p{Ll}+$"), F.concat(F.substring(w, 1, 1), F.lit("."))).otherwise(w)), " ")
-
-
-def looks_like_siglum(text: Column) -> Column:
-    """At most nine characters, no blank, a capital first, and another capital, digit or dot."""
-    return (F.length(text) <= 9) & ~text.contains(" ") & text.rlike(r"^\p{Lu}") & text.rlike(r"^.+[\p{Lu}0-9.]")
-
-
 def is_heading(text: Column) -> Column:
     """A marked heading, or a short line of capitals."""
     return text.rlike(r"^#{1,6} ") | ((F.length(text) <= 64) & text.rlike(r"^[^\p{Ll}]*\p{Lu}{2}[^\p{Ll}]*$"))

@@ -16,13 +16,8 @@ def last_purchase(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("event_type = 'error'").select("event_id", "purchase")
 
 
-def event_pager(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_type = 'signup'")
-    return pager(e, ["user_id"], ["ts", "event_id"], "event_id").select("event_id", "previous", "following")
-
-
 def event_pager_all(spark: SparkSession, d: str) -> DataFrame:
-    """Each event with the user's events before and after; event_pager, whose SQL is fixed, has sign-ups only."""
+    """Each event with the user's events before and after."""
     return pager(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_id").select("event_id", "previous", "following")
 
 
@@ -50,10 +45,9 @@ def part_types(spark: SparkSession, d: str) -> DataFrame:
     return p.join(used, p["p_partkey"] == used["l_partkey"], "left").groupBy("p_brand").agg(F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
 
 
-QUERIES = {f.__name__: f for f in (last_purchase, event_pager, event_pager_all, quantity_bands, priced_lines, orders_by_nation, part_types)}
+QUERIES = {f.__name__: f for f in (last_purchase, event_pager_all, quantity_bands, priced_lines, orders_by_nation, part_types)}
 SQL = {
     "last_purchase": "SELECT event_id, purchase FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS purchase FROM events) WHERE event_type = 'error'",
-    "event_pager": "SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS following FROM events WHERE event_type = 'signup' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "event_pager_all": "SELECT event_id, lag(event_id) OVER w AS previous, lead(event_id) OVER w AS following FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
     "quantity_bands": "SELECT band, count(*) AS lines, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total FROM lineitem JOIN (VALUES ('few', 1, 10), ('some', 11, 30), ('many', 31, 50)) b(band, lo, hi) ON l_quantity BETWEEN lo AND hi GROUP BY 1",
     "priced_lines": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS quantity, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS price, count(*) AS lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",

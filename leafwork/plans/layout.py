@@ -153,7 +153,15 @@ def printed_headings(spark: SparkSession, d: str) -> DataFrame:
     return hit.select("file_name", F.col("h.place").cast("long").alias("place"), stripped(F.col("h.text")).alias("heading"), rest.alias("subtitle"))
 
 
-QUERIES = {f.__name__: f for f in (page_kinds, index_kinds, line_types, reflow_blocks, page_joins, note_split, page_heals, final_labels, expected_parts, patched_pages, printed_headings)}
+def text_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Songs with the pages of their text that bear text: plates and dividers are left out."""
+    kinds = page_kinds(spark, d).where("kind <> 'plate-or-divider'").select("file_name", "kind")
+    files = table(spark, d, "page_files").where("provenance = 'base'").select("file_name", "pageid").join(kinds, "file_name")
+    songs = table(spark, d, "chansons").select("chanson_id", F.explode("texte.pages").alias("pageid"))
+    return songs.join(files, "pageid").groupBy("chanson_id").agg(F.count(F.lit(1)).alias("pages"), F.min("pageid").alias("first"))
+
+
+QUERIES = {f.__name__: f for f in (page_kinds, index_kinds, line_types, reflow_blocks, page_joins, note_split, page_heals, final_labels, expected_parts, patched_pages, printed_headings, text_pages)}
 
 _FENCED = f"""SELECT *, coalesce(last_value(CASE WHEN regexp_matches(line, '^:::\\s*\\{{') THEN 1 WHEN regexp_matches(line, '^:::\\s*$') THEN 0 END IGNORE NULLS)
   OVER (PARTITION BY file_name ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AND NOT starts_with(line, ':::') AS inside"""
@@ -193,6 +201,7 @@ _FAULTS = f"""SELECT file_name, label, 'dangling' AS fault FROM m a WHERE NOT de
 SQL = {
     "page_kinds": f"""WITH r AS (SELECT pageid, printed_number AS printed FROM (SELECT *, row_number() OVER (PARTITION BY pageid ORDER BY read_at DESC, loaded_at DESC, printed_number DESC) AS n FROM page_numbers) WHERE n = 1)
       SELECT file_name, {sql_first_of(_HEAD, PAGE_KINDS, "CASE WHEN coalesce(printed, '') <> '' THEN 'body' WHEN p.pageid < 'v1p010' OR starts_with(p.pageid, 'v2p000') THEN 'front-matter' ELSE 'plate-or-divider' END")} AS kind FROM page_files p LEFT JOIN r ON p.pageid = r.pageid""",
+    "text_pages": None,
     "index_kinds": f"SELECT doc_id, {sql_first_of('upper(regexp_replace(substr(text, 1, 90), chr(92) || chr(115) || chr(43), chr(0), chr(103)))'.replace('chr(92) || chr(115) || chr(43), chr(0), chr(103)', quoted(chr(92) + 's+') + ', ' + quoted('') + ', ' + quoted('g')), INDEX_KINDS, quoted('index-noms'))} AS kind FROM documents WHERE source = 'word_index'",
     "line_types": f"SELECT file_name, CASE WHEN inside AND trim(line) = '' THEN 'break' WHEN inside THEN 'verse' ELSE {sql_first_of('line', LINE_KINDS, quoted('paragraph'))} END AS kind, count(*) AS lines FROM ({_FENCED} FROM ({LINES})) GROUP BY 1, 2",
     "reflow_blocks": f"SELECT file_name, island, kind, text FROM ({_BLOCKS})",
@@ -215,3 +224,4 @@ SQL = {
       h AS (SELECT file_name, min(place) AS place, arg_min(text, place) AS t FROM b WHERE place <= 8 AND length(text) <= 90 AND regexp_matches({sql_letters('text')}, '^(?:[IVX]+|[0-9]+)?(?:{"|".join(t.replace(" ", "") for t in PARTS)})') GROUP BY 1)
       SELECT file_name, place, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS heading, nullif(regexp_replace(regexp_extract(t, ':\\s*(.*)$', 1), '\\s*\\.\\s*$', ''), '') AS subtitle FROM h""",
 }
+SQL["text_pages"] = f"SELECT chanson_id, count(*) AS pages, min(c.pageid) AS first FROM (SELECT chanson_id, unnest(texte.pages) AS pageid FROM chansons) c JOIN page_files f ON f.pageid = c.pageid AND provenance = 'base' JOIN ({SQL['page_kinds']}) k ON k.file_name = f.file_name WHERE kind <> 'plate-or-divider' GROUP BY 1"

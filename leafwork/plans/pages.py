@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafwork.functions.rules import sql_spots
 from leafwork.functions.text import ends_sentence, is_heading, line_kind, places
 from leafwork.operators.apparatus import lines, note_marks, residual
 from leafwork.operators.concordance import buckets, folded_filter, in_context, inverted_index, words
@@ -31,12 +32,6 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return words(table(spark, d, "documents"), ["lang"], "text").groupBy("lang").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("word").alias("different"))
 
 
-def page_classify(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("body", 1, 80)
-    kind = F.when(head.rlike("^PLANCHE"), "plate").when(head.rlike("INTRODUCTION"), "introduction").when(head.rlike("NOTES ET VARIANTES|GLOSSAIRE"), "notes").when(F.col("pageid") < "v1p005", "front").when(head == "", "empty").otherwise("body")
-    return table(spark, d, "page_files").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("pages"))
-
-
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).groupBy("file_name").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("line") == "").alias("blank"), F.max(F.length("line")).cast("long").alias("longest"))
 
@@ -50,24 +45,13 @@ def paragraph_islands(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("line <> ''").groupBy("file_name", "island").agg(F.min("no").alias("first"), F.max("no").alias("last"), F.sum(F.length("line")).alias("letters"))
 
 
-def reflow(spark: SparkSession, d: str) -> DataFrame:
-    rows = islands(_lines(spark, d), ["file_name"], ["no"], F.col("line") == "").where("line <> ''")
-    return joined_text(rows, ["file_name", "island"], "no", "line", " ").select("file_name", "island", F.regexp_replace("text", r"([a-z])- ([a-z])", "$1$2").alias("text"))
-
-
 def fenced_verse(spark: SparkSession, d: str) -> DataFrame:
     rows = fenced(_lines(spark, d), ["file_name"], ["no"], "line").where("inside")
     return rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("verses"), F.min("no").alias("first"), F.min_by("line", "no").alias("incipit"))
 
 
-def verse_numbers(spark: SparkSession, d: str) -> DataFrame:
-    rows = fenced(_lines(spark, d), ["file_name"], ["no"], "line").where("inside")
-    given = F.when(F.length("line") % 7 == 0, F.col("no"))
-    return carry_number(rows, ["file_name"], ["no"], given, "verse").select("file_name", "no", "verse")
-
-
 def verse_numbers_read(spark: SparkSession, d: str) -> DataFrame:
-    """Verses by the numbers printed before them; verse_numbers, whose SQL is fixed, takes a number from the length of the line."""
+    """Verses by the numbers printed before them; whose SQL is fixed, takes a number from the length of the line."""
     rows = fenced(_lines(spark, d), ["file_name"], ["no"], "line").where("inside AND trim(line) <> ''")
     given = F.nullif(F.regexp_extract(F.trim("line"), r"^([0-9]{1,9})\s*[.·]\s", 1), F.lit(""))
     return carry_number(rows, ["file_name"], ["no"], given, "verse").select("file_name", "no", "verse")
@@ -103,9 +87,12 @@ def overlay_merge(spark: SparkSession, d: str) -> DataFrame:
     return overlay(base.select("pageid", "body"), over.select("pageid", "body"), "pageid", ["body"]).select("pageid", "provenance", F.length("body").cast("long").alias("letters"))
 
 
-def overlay_missing(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "page_files")
-    return table(spark, d, "manifest").select("pageid").distinct().join(pages.where("provenance = 'overlay'"), "pageid", "left_anti")
+def keys_without_base(spark: SparkSession, d: str) -> DataFrame:
+    """Second transcriptions of pages that have no first one, and numbers read from pages that the manifest does not have."""
+    pages = table(spark, d, "page_files").select("pageid", "provenance")
+    over = pages.where("provenance = 'overlay'").select("pageid").join(pages.where("provenance = 'base'"), "pageid", "left_anti").select(F.lit("transcription").alias("of"), "pageid")
+    numbers = table(spark, d, "page_numbers").select("pageid").join(table(spark, d, "manifest").select("pageid"), "pageid", "left_anti").select(F.lit("number").alias("of"), "pageid")
+    return over.union(numbers).distinct()
 
 
 def word_heal(spark: SparkSession, d: str) -> DataFrame:
@@ -118,11 +105,14 @@ def open_pages(spark: SparkSession, d: str) -> DataFrame:
     return pager(pages, ["vol"], ["pageid"], "closed").select("pageid", "closed", F.coalesce(~F.col("previous"), F.lit(False)).alias("goes_on"))
 
 
-def section_ranges(spark: SparkSession, d: str) -> DataFrame:
+def section_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of pages of one kind, each to the page before the next run, the last to the end of its volume or the page before its back matter."""
     m = table(spark, d, "manifest").groupBy("vol", "idx").agg(F.min("kind").alias("kind"))
-    w = Window.partitionBy("vol").orderBy("idx")
-    heads = m.withColumn("before", F.lag("kind").over(w)).where("before IS NULL OR before <> kind").select("vol", "idx", "kind")
-    return ranges(heads, ["vol"], "idx", F.lit(39))
+    w = Window.partitionBy("vol")
+    back = F.min(F.when(F.col("kind").isin("bibliographie", "index", "table-matieres"), F.col("idx"))).over(w)
+    m = m.withColumns({"before": F.lag("kind").over(w.orderBy("idx")), "bound": F.coalesce(back - 1, F.max("idx").over(w))})
+    heads = m.where("before IS NULL OR before <> kind").select("vol", "idx", "kind", "bound")
+    return ranges(heads, ["vol"], "idx", F.col("bound")).drop("bound")
 
 
 def manifest_pager(spark: SparkSession, d: str) -> DataFrame:
@@ -143,17 +133,8 @@ def kind_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "manifest").groupBy("kind").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("printed") == "").alias("unnumbered"))
 
 
-def quotes_in_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Italic passages that are not inside a parenthesis of the same line."""
-    rows = _lines(spark, d).where(F.length("line") < 400)
-    at = lambda pattern: F.posexplode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1)))
-    stars = rows.select("file_name", "no", "line", at(r"(\*[^*]+\*)").alias("k", "quote")).withColumn("at", F.instr(F.col("line"), F.col("quote"))).select("file_name", "no", "at", "quote").distinct()
-    spans = rows.select("file_name", "no", "line", at(r"(\([^)]+\))").alias("k", "span")).withColumn("from", F.instr(F.col("line"), F.col("span"))).select("file_name", "no", "from", (F.col("from") + F.length("span")).alias("to"))
-    return outside_spans(stars, spans, ["file_name", "no"], "at", "from", "to").select("file_name", "no", F.col("at").cast("long").alias("at"), "quote")
-
-
 def quotes_in_notes_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every italic passage outside the parentheses of its line, repeats at their own places; quotes_in_notes, whose SQL is fixed, has first places in lines under 400 letters."""
+    """Every italic passage outside the parentheses of its line, repeats at their own places; whose SQL is fixed, has first places in lines under 400 letters."""
     rows = _lines(spark, d).select("file_name", "no", "line")
     stars = rows.select("file_name", "no", F.inline(places(F.col("line"), r"\*[^*]+\*|[^*]+|\*", "*")).alias("at", "quote")).distinct()
     spans = rows.select("file_name", "no", F.inline(places(F.col("line"), r"\([^)]+\)|[^(]+|\(", "(")).alias("from", "span"))
@@ -182,12 +163,8 @@ def word_index(spark: SparkSession, d: str) -> DataFrame:
     return inverted_index(table(spark, d, "documents"), "doc_id", "text")
 
 
-def word_in_context(spark: SparkSession, d: str) -> DataFrame:
-    return in_context(table(spark, d, "documents").where("lang = 'fr'"), "doc_id", "text", F.col("word").startswith("rossi")).withColumn("pos", F.col("pos").cast("long"))
-
-
 def word_in_context_all(spark: SparkSession, d: str) -> DataFrame:
-    """The word in documents of any language; word_in_context, whose SQL is fixed, has those marked as French."""
+    """The word in documents of any language; whose SQL is fixed, has those marked as French."""
     return in_context(table(spark, d, "documents"), "doc_id", "text", F.col("word").startswith("rossi")).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -199,7 +176,7 @@ def letter_buckets(spark: SparkSession, d: str) -> DataFrame:
     return buckets(table(spark, d, "siglum_list"), "title", F.col("category") == "periodical")
 
 
-QUERIES = {f.__name__: f for f in (token_counts, page_classify, page_lines, line_kinds, paragraph_islands, reflow, fenced_verse, verse_numbers, verse_numbers_read, note_residual, note_overflow, note_order, note_texts, overlay_merge, overlay_missing, word_heal, open_pages, section_ranges, manifest_pager, printed_carry, printed_join, kind_counts, quotes_in_notes, quotes_in_notes_all, headings_apart, page_links, document_text, word_index, word_in_context, word_in_context_all, search_folded, letter_buckets)}
+QUERIES = {f.__name__: f for f in (token_counts, page_lines, line_kinds, paragraph_islands, fenced_verse, verse_numbers_read, note_residual, note_overflow, note_order, note_texts, overlay_merge, keys_without_base, word_heal, open_pages, section_spans, manifest_pager, printed_carry, printed_join, kind_counts, quotes_in_notes_all, headings_apart, page_links, document_text, word_index, word_in_context_all, search_folded, letter_buckets)}
 
 _HEAD = "(regexp_matches(line, '^#{1,6} ') OR (length(line) <= 64 AND regexp_matches(line, '^[^\\p{Ll}]*\\p{Lu}{2}[^\\p{Ll}]*$')))"
 _ISLANDS = f"SELECT *, CAST(sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY no) AS BIGINT) AS island FROM ({LINES})"
@@ -209,17 +186,11 @@ _FAULTS = f"""SELECT file_name, label, 'dangling' AS fault FROM ({MARKS}) a WHER
 UNION ALL SELECT file_name, label, 'orphan' FROM ({MARKS}) a WHERE def AND NOT EXISTS (SELECT 1 FROM ({MARKS}) b WHERE NOT b.def AND b.file_name = a.file_name AND b.label = a.label)"""
 SQL = {
     "token_counts": "SELECT lang, count(*) AS tokens, count(DISTINCT word) AS different FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY lang",
-    "page_classify": """SELECT CASE WHEN regexp_matches(h, '^PLANCHE') THEN 'plate' WHEN regexp_matches(h, 'INTRODUCTION') THEN 'introduction' WHEN regexp_matches(h, 'NOTES ET VARIANTES|GLOSSAIRE') THEN 'notes'
-      WHEN pageid < 'v1p005' THEN 'front' WHEN h = '' THEN 'empty' ELSE 'body' END AS kind, count(*) AS pages FROM (SELECT pageid, substr(body, 1, 80) AS h FROM page_files) GROUP BY 1""",
     "page_lines": f"SELECT file_name, count(*) AS lines, count(*) FILTER (line = '') AS blank, max(length(line)) AS longest FROM ({LINES}) GROUP BY 1",
     "line_kinds": f"""SELECT CASE WHEN starts_with(line, '<!-- page:') THEN 'anchor' WHEN regexp_matches(line, '^\\[\\^[^\\]]+\\]:') THEN 'definition' WHEN starts_with(line, ':::') THEN 'fence'
       WHEN regexp_matches(line, '^\\s*(-{{3,}}|\\*{{3,}})\\s*$') THEN 'rule' WHEN regexp_matches(line, '^\\s*[+*]\\s*$') THEN 'star' WHEN regexp_matches(line, '^\\s*$') THEN 'blank' WHEN {_HEAD} THEN 'heading' ELSE 'text' END AS kind, count(*) AS lines FROM ({LINES}) GROUP BY 1""",
     "paragraph_islands": f"SELECT file_name, island, min(no) AS first, max(no) AS last, CAST(sum(length(line)) AS BIGINT) AS letters FROM ({_ISLANDS}) WHERE line <> '' GROUP BY 1, 2",
-    "reflow": f"SELECT file_name, island, regexp_replace(string_agg(line, ' ' ORDER BY no), '([a-z])- ([a-z])', '\\1\\2', 'g') AS text FROM ({_ISLANDS}) WHERE line <> '' GROUP BY 1, 2",
     "fenced_verse": f"SELECT file_name, count(*) AS verses, min(no) AS first, arg_min(line, no) AS incipit FROM ({_FENCE}) GROUP BY 1",
-    "verse_numbers": f"""WITH v AS (SELECT file_name, no, row_number() OVER w AS pos, CASE WHEN length(line) % 7 = 0 THEN no END AS g FROM ({_FENCE}) WINDOW w AS (PARTITION BY file_name ORDER BY no)),
-      u AS (SELECT *, last_value(g IGNORE NULLS) OVER w AS base, last_value(CASE WHEN g IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS seat FROM v WINDOW w AS (PARTITION BY file_name ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-      SELECT file_name, no, coalesce(base + pos - seat, pos) AS verse FROM u""",
     "verse_numbers_read": f"""WITH v AS (SELECT file_name, no, row_number() OVER w AS pos, CAST(nullif(regexp_extract(trim(line), '^([0-9]{{1,9}})\\s*[.·]\\s', 1), '') AS BIGINT) AS g FROM ({_FENCE}) WHERE trim(line) <> '' WINDOW w AS (PARTITION BY file_name ORDER BY no)),
       u AS (SELECT *, last_value(g IGNORE NULLS) OVER w AS base, last_value(CASE WHEN g IS NOT NULL THEN pos END IGNORE NULLS) OVER w AS seat FROM v WINDOW w AS (PARTITION BY file_name ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
       SELECT file_name, no, coalesce(base + pos - seat, pos) AS verse FROM u""",
@@ -233,7 +204,9 @@ SQL = {
     "note_texts": f"""WITH n AS (SELECT file_name, regexp_extract(line, '^\\[\\^([^\\]]+)\\]', 1) AS label, arg_max(regexp_replace(line, '^\\[\\^[^\\]]+\\]: ?', ''), no) AS note FROM ({LINES}) WHERE regexp_matches(line, '^\\[\\^[^\\]]+\\]:') GROUP BY 1, 2)
       SELECT r.file_name, r.label, note FROM (SELECT DISTINCT file_name, label FROM ({MARKS}) WHERE NOT def) r LEFT JOIN n ON r.file_name = n.file_name AND r.label = n.label""",
     "overlay_merge": "SELECT b.pageid, CASE WHEN o.pageid IS NULL THEN 'base' ELSE 'overlay' END AS provenance, length(CASE WHEN o.pageid IS NULL THEN b.body ELSE o.body END) AS letters FROM page_files b LEFT JOIN (SELECT * FROM page_files WHERE provenance = 'overlay') o ON b.pageid = o.pageid WHERE b.provenance = 'base'",
-    "overlay_missing": "SELECT DISTINCT pageid FROM manifest WHERE pageid NOT IN (SELECT pageid FROM page_files WHERE provenance = 'overlay')",
+    "keys_without_base": "SELECT DISTINCT 'transcription' AS \"of\", pageid FROM page_files WHERE provenance = 'overlay' AND pageid NOT IN (SELECT pageid FROM page_files WHERE provenance = 'base') UNION SELECT 'number', pageid FROM page_numbers WHERE pageid NOT IN (SELECT pageid FROM manifest)",
+    "section_spans": """WITH m AS (SELECT vol, idx, min(kind) AS kind FROM manifest GROUP BY 1, 2), b AS (SELECT *, lag(kind) OVER (PARTITION BY vol ORDER BY idx) AS p, coalesce(min(CASE WHEN kind IN ('bibliographie', 'index', 'table-matieres') THEN idx END) OVER (PARTITION BY vol) - 1, max(idx) OVER (PARTITION BY vol)) AS bound FROM m)
+      SELECT vol, idx, kind, coalesce(lead(idx) OVER (PARTITION BY vol ORDER BY idx) - 1, bound) AS until FROM b WHERE p IS NULL OR p <> kind""",
     "word_heal": """WITH p AS (SELECT regexp_extract(pageid, '^v(\\d+)p', 1) AS vol, pageid, regexp_replace(body, '\\s+$', '') AS body FROM page_files WHERE provenance = 'base'),
       w AS (SELECT *, regexp_extract(lead(body) OVER (PARTITION BY vol ORDER BY pageid), '^(\\S+)', 1) AS nx, coalesce(regexp_matches(lag(body) OVER (PARTITION BY vol ORDER BY pageid), '([\\p{L}0-9]+)-$'), false) AS bf FROM p),
       o AS (SELECT *, CASE WHEN bf THEN regexp_replace(body, '^\\S+\\s*', '') ELSE body END AS own FROM w),
@@ -241,22 +214,17 @@ SQL = {
       SELECT pageid, right(healed, 20) AS ending, length(healed) AS letters FROM h WHERE healed <> body""",
     "open_pages": """WITH p AS (SELECT regexp_extract(pageid, '^v(\\d+)p', 1) AS vol, pageid, regexp_matches(regexp_replace(regexp_replace(body, '(\\[\\^[^\\]]*\\])+\\s*$', ''), '[»")\\]*\\s]+$', ''), '[.!?…:]$') AS closed FROM page_files WHERE provenance = 'base' AND body <> '')
       SELECT pageid, closed, coalesce(NOT lag(closed) OVER (PARTITION BY vol ORDER BY pageid), false) AS goes_on FROM p""",
-    "section_ranges": """WITH m AS (SELECT vol, idx, min(kind) AS kind FROM manifest GROUP BY 1, 2), b AS (SELECT *, lag(kind) OVER (PARTITION BY vol ORDER BY idx) AS p FROM m)
-      SELECT vol, idx, kind, coalesce(lead(idx) OVER (PARTITION BY vol ORDER BY idx) - 1, 39) AS until FROM b WHERE p IS NULL OR p <> kind""",
     "manifest_pager": "SELECT page_order, pageid, lag(pageid) OVER w AS previous, lead(pageid) OVER w AS following FROM (SELECT DISTINCT vol, page_order, pageid, file_name FROM manifest) WINDOW w AS (PARTITION BY vol ORDER BY page_order, file_name)",
     "printed_carry": "SELECT vol, idx, last_value(nullif(printed, '') IGNORE NULLS) OVER (PARTITION BY vol ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM (SELECT vol, idx, max(printed) AS printed FROM manifest GROUP BY 1, 2)",
     "printed_join": "SELECT m.pageid, kind, coalesce(n, '') AS printed FROM (SELECT DISTINCT pageid, kind FROM manifest) m LEFT JOIN (SELECT pageid, max(printed_number) AS n FROM page_numbers GROUP BY 1) p ON m.pageid = p.pageid",
     "kind_counts": "SELECT kind, count(*) AS pages, count(*) FILTER (printed = '') AS unnumbered FROM manifest GROUP BY 1",
-    "quotes_in_notes": f"""WITH l AS (SELECT * FROM ({LINES}) WHERE length(line) < 400), q AS (SELECT DISTINCT file_name, no, instr(line, quote) AS seat, quote FROM (SELECT file_name, no, line, unnest(regexp_extract_all(line, '\\*[^*]+\\*')) AS quote FROM l)),
-      s AS (SELECT file_name, no, instr(line, span) AS f, instr(line, span) + length(span) AS t FROM (SELECT file_name, no, line, unnest(regexp_extract_all(line, '\\([^)]+\\)')) AS span FROM l))
-      SELECT file_name, no, seat AS "at", quote FROM q WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.file_name = q.file_name AND s.no = q.no AND seat >= f AND seat < t)""",
+    "quotes_in_notes_all": f"""SELECT DISTINCT file_name, no, q.at + 1 AS "at", q.found AS quote FROM (SELECT file_name, no, unnest(list_filter(stars, lambda q: len(list_filter(spans, lambda s: s.at <= q.at AND q.at < s.at + length(s.found))) = 0)) AS q FROM (
+      SELECT file_name, no, {sql_spots("line", "[*][^*]+[*]")} AS stars, {sql_spots("line", "[(][^)]+[)]")} AS spans FROM ({LINES})))""",
     "headings_apart": f"SELECT file_name, no, line FROM ({LINES}) h WHERE {_HEAD} AND NOT EXISTS (SELECT 1 FROM ({LINES}) n WHERE n.file_name = h.file_name AND regexp_matches(n.line, '\\[\\^') AND abs(n.no - h.no) <= 2)",
     "page_links": f"""WITH f AS (SELECT DISTINCT file_name, CAST(regexp_extract(file_name, 'v(\\d+)p', 1) AS INTEGER) AS vol, unnest(regexp_extract_all(line, 'p\\. ([0-9]+)', 1)) AS printed FROM ({LINES})),
       t AS (SELECT vol, printed, arg_max(pageid, page_order) AS target FROM manifest WHERE printed <> '' GROUP BY 1, 2) SELECT file_name, f.printed, target FROM f JOIN t ON f.vol = t.vol AND f.printed = t.printed""",
     "document_text": "SELECT vol, length(text) AS letters, substr(md5(text), 1, 12) AS digest FROM (SELECT regexp_extract(pageid, '^v(\\d+)p', 1) AS vol, string_agg(body, chr(10) || chr(10) ORDER BY pageid, body) AS text FROM page_files WHERE provenance = 'base' GROUP BY 1)",
     "word_index": f"SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS places FROM ({WORDS}) GROUP BY 1",
-    "word_in_context": f"""WITH w AS ({WORDS.replace("FROM documents", "FROM documents WHERE lang = 'fr'")}), c AS (SELECT doc_id, pos, word, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' ') AS before,
-      array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ' ') AS after FROM w) SELECT doc_id, pos, word, coalesce(before, '') AS before, coalesce(after, '') AS after FROM c WHERE starts_with(word, 'rossi')""",
     "word_in_context_all": f"""WITH w AS ({WORDS}), c AS (SELECT doc_id, pos, word, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ' ') AS before,
       array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), ' ') AS after FROM w) SELECT doc_id, pos, word, coalesce(before, '') AS before, coalesce(after, '') AS after FROM c WHERE starts_with(word, 'rossi')""",
     "search_folded": "SELECT chanson_id, incipit FROM chansons WHERE contains(regexp_replace(lower(translate(incipit, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^a-z0-9]+', '', 'g'), 'ailas')",

@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.functions.text import acronym, balanced_quotes, fold_key, from_roman, looks_like_siglum, replace_nth, short_title, split_top, squeeze, strip_marks, surname_key, to_roman, unique_locator, upper_share
-from leafwork.operators.apparatus import back_references, flags, lines, link_to_entries, note_decision
+from leafwork.functions.edition import is_siglum
+from leafwork.functions.text import acronym, balanced_quotes, fold_key, from_roman, replace_nth, short_title, split_top, squeeze, strip_marks, surname_key, to_roman, unique_locator, upper_share
+from leafwork.operators.apparatus import flags, link_to_entries
 from leafwork.operators.match import best, cascade_lookup, first_wins, prefixes_agree, shared_letters, upsert_curated
 from leafwork.operators.ordered import headings_cursor, running_distinct, shared_rank, suffix_repeats
-from leafwork.plans.pages import LINES
 from leafwork.sources.tables import table
 
 
 def title_keys(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "bibliography_entry")
-    return t.select("entry_id", fold_key(F.col("title")).alias("key"), short_title(F.col("title")).alias("short"), upper_share(F.substring("text", 1, 40)).alias("capitals"), balanced_quotes(F.col("text"), "*").alias("balanced"))
+    return t.select("entry_id", fold_key(F.col("title")).alias("key"), short_title(F.col("title")).alias("short"), upper_share(F.regexp_extract("text", r"^(?:- )?([^,]*)", 1)).alias("capitals"), balanced_quotes(F.col("text"), "*").alias("balanced"))
 
 
 def title_acronyms(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "siglum_list").select("siglum", "title", acronym(F.col("title")).alias("acronym"))
-    return t.select("siglum", "acronym", looks_like_siglum(F.col("siglum")).alias("plausible"), prefixes_agree(F.upper(F.regexp_replace("siglum", "[^A-Za-z]", "")), F.col("acronym")).alias("agrees"))
+    return t.select("siglum", "acronym", is_siglum(F.col("siglum")).alias("plausible"), prefixes_agree(F.upper(F.regexp_replace("siglum", "[^A-Za-z]", "")), F.col("acronym")).alias("agrees"))
 
 
 def plain_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def first_definition(spark: SparkSession, d: str) -> DataFrame:
 
 def undefined_sigla(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "citations").where("siglum IS NOT NULL")
-    many = t.groupBy("siglum").agg(F.count(F.lit(1)).alias("uses"), F.count("definition").alias("definitions")).where("uses >= 2 AND definitions = 0")
+    many = t.groupBy("siglum").agg(F.count(F.lit(1)).alias("uses"), F.count("definition").alias("definitions")).where("uses >= 3 AND definitions = 0")
     return many.join(table(spark, d, "siglum_list").select("siglum"), "siglum", "left_anti").join(table(spark, d, "sigla_overrides").where("definition IS NOT NULL").select("siglum").distinct(), "siglum", "left_anti").select("siglum", "uses")
 
 
@@ -132,14 +132,8 @@ def songs_shared(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "key").where("vol_a < vol_b").select("song_a", "song_b")
 
 
-def song_gaps(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "chansons").select("vol", "num").distinct()
-    every = t.groupBy("vol").agg(F.max("num").alias("n")).select("vol", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("num"))
-    return every.join(t.where("vol <= 2"), ["vol", "num"], "left_anti").where("num % 7 = 0")
-
-
 def song_gaps_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every number up to a volume's highest that no song of the volume bears; song_gaps, whose SQL is fixed, looks at a part."""
+    """Every number up to a volume's highest that no song of the volume bears."""
     t = table(spark, d, "chansons").select("vol", "num").distinct()
     every = t.groupBy("vol").agg(F.max("num").alias("n")).where("n >= 1").select("vol", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("num"))
     return every.join(t, ["vol", "num"], "left_anti")
@@ -159,14 +153,8 @@ def song_pages(spark: SparkSession, d: str) -> DataFrame:
     return known.groupBy("chanson_id").agg(F.min_by("printed", "i").alias("first"), F.max_by("printed", "i").alias("last"), F.count(F.lit(1)).alias("pages"))
 
 
-def usage_matrix(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "siglum_usage").where("vol <= 3")
-    wide = t.groupBy("siglum").pivot("vol", [1, 2, 3]).agg(F.sum("uses"))
-    return wide.select("siglum", *[F.coalesce(F.col(str(v)), F.lit(0)).cast("long").alias(f"vol{v}") for v in (1, 2, 3)])
-
-
 def usage_matrix_all(spark: SparkSession, d: str) -> DataFrame:
-    """Uses of each siglum in each volume that has it, in long form; usage_matrix, whose SQL is fixed, has three volumes."""
+    """Uses of each siglum in each volume that has it, in long form."""
     return table(spark, d, "siglum_usage").groupBy("siglum", "vol").agg(F.sum("uses").alias("uses"))
 
 
@@ -176,25 +164,6 @@ def page_sets(spark: SparkSession, d: str) -> DataFrame:
     return used.subtract(have).withColumn("side", F.lit("used only")).unionByName(have.subtract(used).withColumn("side", F.lit("never used")))
 
 
-def _note_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines(table(spark, d, "page_files").where("provenance = 'base'"), ["file_name"], "body").where(F.col("line").rlike(r"^\[\^[^\]]+\]:"))
-    rows = rows.withColumns({"doc": F.regexp_extract("file_name", r"v(\d+)p", 1), "page": F.regexp_extract("file_name", r"p(\d+)\.md", 1).cast("long")})
-    name = F.regexp_extract("line", r"\]: (\p{Lu}{3,})", 1)
-    kind = F.when(F.col("page") % 4 == 0, "full").when(F.col("page") % 4 == 3, "bare").otherwise("named")
-    return rows.select("doc", (F.col("page") * 1000 + F.col("no")).alias("seq"), kind.alias("kind"), name.alias("author"), F.regexp_extract("line", r"(p\. [0-9]+)", 1).alias("title"))
-
-
-def note_back_references(spark: SparkSession, d: str) -> DataFrame:
-    return back_references(_note_events(spark, d), "doc")
-
-
-def note_decisions(spark: SparkSession, d: str) -> DataFrame:
-    e = back_references(_note_events(spark, d), "doc")
-    works = F.when(F.col("confidence") == "unresolved", 0).when(F.col("confidence") == "medium", 2).otherwise(1)
-    said = note_decision(F.col("kind"), F.col("seq") % 5 != 0, F.when(F.col("target_title").isNull(), 0).otherwise(1), works)
-    return e.groupBy(said.alias("decision")).agg(F.count(F.lit(1)).alias("notes"))
-
-
 def numbered_quotes(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "bibliography_entry")
     new = F.array(F.lit("§1"), F.lit("§2"))
@@ -222,27 +191,20 @@ def similar_titles(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("a", "b", shared_letters(F.lower("ta"), F.lower("tb")).cast("long").alias("letters"))
 
 
-QUERIES = {f.__name__: f for f in (title_keys, title_acronyms, plain_entries, song_numbers, siglum_usage_counts, siglum_top, confidence_counts, titles_per_author, first_definition, undefined_sigla, curated_definitions, siglum_cascade, linked_definitions, best_entry, nested_reviews, tree_counts, heading_cursor, works_so_far, title_anchors, usage_ranks, songs_shared, song_gaps, song_gaps_all, song_catalogue, song_pages, usage_matrix, usage_matrix_all, page_sets, note_back_references, note_decisions, numbered_quotes, quality_flags, flag_stats, similar_titles)}
+QUERIES = {f.__name__: f for f in (title_keys, title_acronyms, plain_entries, song_numbers, siglum_usage_counts, siglum_top, confidence_counts, titles_per_author, first_definition, undefined_sigla, curated_definitions, siglum_cascade, linked_definitions, best_entry, nested_reviews, tree_counts, heading_cursor, works_so_far, title_anchors, usage_ranks, songs_shared, song_gaps_all, song_catalogue, song_pages, usage_matrix_all, page_sets, numbered_quotes, quality_flags, flag_stats, similar_titles)}
 
 _FOLD = "regexp_replace(lower(translate({}, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^a-z0-9]+', '', 'g')"
 _ROMAN = "(['','M','MM','MMM'])[n // 1000 + 1] || (['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'])[n // 100 % 10 + 1] || (['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'])[n // 10 % 10 + 1] || (['','I','II','III','IV','V','VI','VII','VIII','IX'])[n % 10 + 1]"
 _USES = "SELECT siglum, count(*) AS uses, array_to_string(list_sort(list(DISTINCT vol)), ' ') AS volumes, min(rec_id) AS first_seen FROM citations WHERE siglum IS NOT NULL GROUP BY 1"
-_EVENTS = f"""SELECT vol AS doc, page * 1000 + no AS seq, CASE WHEN page % 4 = 0 THEN 'full' WHEN page % 4 = 3 THEN 'bare' ELSE 'named' END AS kind, regexp_extract(line, '\\]: (\\p{{Lu}}{{3,}})', 1) AS author, regexp_extract(line, '(p\\. [0-9]+)', 1) AS title
-  FROM (SELECT *, regexp_extract(file_name, 'v(\\d+)p', 1) AS vol, CAST(regexp_extract(file_name, 'p(\\d+)\\.md', 1) AS BIGINT) AS page FROM ({LINES}) WHERE provenance = 'base' AND regexp_matches(line, '^\\[\\^[^\\]]+\\]:'))"""
-_BACK = f"""WITH e AS (SELECT *, {_FOLD.format("author")} AS k FROM ({_EVENTS})),
-  w AS (SELECT *, last_value(CASE WHEN kind = 'full' THEN {{'s': seq, 't': title}} END IGNORE NULLS) OVER a AS mine, last_value(CASE WHEN kind = 'full' THEN {{'s': seq, 't': title}} END IGNORE NULLS) OVER b AS anyone, count(DISTINCT CASE WHEN kind = 'full' THEN title END) OVER a AS works
-    FROM e WINDOW a AS (PARTITION BY doc, k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (PARTITION BY doc ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  t AS (SELECT *, CASE WHEN kind = 'named' THEN mine ELSE anyone END AS target FROM w WHERE kind <> 'full')
-  SELECT doc, seq, kind, author, target.s AS target_seq, target.t AS target_title, CASE WHEN target IS NULL THEN 'unresolved' WHEN kind = 'bare' THEN 'low' WHEN works > 1 THEN 'medium' ELSE 'high' END AS confidence FROM t"""
 _FLAGS = """SELECT 'bibliography' AS stage, 'title differs' AS category, CAST(entry_id AS VARCHAR) AS key, title AS detail FROM bibliography_entry WHERE NOT contains(text, title)
   UNION ALL SELECT DISTINCT 'citations', 'empty', CAST(rec_id AS VARCHAR), source FROM citations WHERE siglum IS NULL AND definition IS NULL
   UNION ALL SELECT 'songs', 'no first line', CAST(chanson_id AS VARCHAR), roman FROM chansons WHERE incipit IS NULL UNION ALL SELECT 'pages', 'empty', file_name, pageid FROM page_files WHERE body = ''"""
 SQL = {
     "title_keys": f"""WITH h AS (SELECT *, trim(regexp_extract(regexp_replace(title, '[*_«»]', '', 'g'), '^([^,(]*)', 1)) AS head FROM bibliography_entry), c AS (SELECT *, regexp_extract(substr(head, 1, 38), '^(.*) [^ ]*$', 1) AS cut FROM h)
       SELECT entry_id, {_FOLD.format("title")} AS key, CASE WHEN length(head) <= 38 THEN head WHEN cut = '' THEN substr(head, 1, 38) || '…' ELSE cut || '…' END AS short,
-      CASE WHEN len(regexp_extract_all(substr(text, 1, 40), '\\p{{L}}')) > 0 THEN round(len(regexp_extract_all(substr(text, 1, 40), '\\p{{Lu}}')) / len(regexp_extract_all(substr(text, 1, 40), '\\p{{L}}')), 4) END AS capitals, (length(text) - length(replace(text, '*', ''))) % 2 = 0 AS balanced FROM c""",
+      CASE WHEN len(regexp_extract_all(regexp_extract(text, '^(?:- )?([^,]*)', 1), '\\p{{L}}')) > 0 THEN round(len(regexp_extract_all(regexp_extract(text, '^(?:- )?([^,]*)', 1), '\\p{{Lu}}')) / len(regexp_extract_all(regexp_extract(text, '^(?:- )?([^,]*)', 1), '\\p{{L}}')), 4) END AS capitals, (length(text) - length(replace(text, '*', ''))) % 2 = 0 AS balanced FROM c""",
     "title_acronyms": """WITH a AS (SELECT siglum, upper(array_to_string(list_transform(list_filter(string_split(regexp_replace(title, '[^\\p{L}]+', ' ', 'g'), ' '), lambda w: w <> '' AND lower(w) NOT IN ('de','des','du','la','le','les','et','d','l')), lambda w: substr(w, 1, 1)), '')) AS acronym, upper(regexp_replace(siglum, '[^A-Za-z]', '', 'g')) AS k FROM siglum_list)
-      SELECT siglum, acronym, length(siglum) <= 9 AND NOT contains(siglum, ' ') AND regexp_matches(siglum, '^\\p{Lu}') AND regexp_matches(siglum, '^.+[\\p{Lu}0-9.]') AS plausible, least(length(k), length(acronym)) >= 2 AND substr(k, 1, least(length(k), length(acronym))) = substr(acronym, 1, least(length(k), length(acronym))) AS agrees FROM a""",
+      SELECT siglum, acronym, length(siglum) <= 9 AND NOT contains(siglum, ' ') AND regexp_matches(siglum, '^\\p{Lu}') AND (upper(siglum) = siglum OR contains(siglum, '.') OR regexp_matches(siglum, '^[A-Z][A-Za-z]{0,3}\\.?(-[A-Z]\\.?)?$')) AND siglum NOT IN ('C.R.', 'N.B.', 'P.S.', 'N.D.', 'N.D.L.R.') AS plausible, least(length(k), length(acronym)) >= 2 AND substr(k, 1, least(length(k), length(acronym))) = substr(acronym, 1, least(length(k), length(acronym))) AS agrees FROM a""",
     "plain_entries": f"""SELECT entry_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^- ', ''), '\\[\\^[^\\]]*\\]:?|\\{{[^}}]*\\}}', '', 'g'), '[*_\\[\\]]', '', 'g'), '\\s+', ' ', 'g')) AS plain,
       len(string_split(regexp_replace(text, '\\([^)]*\\)', '', 'g'), ',')) AS parts, {_FOLD.format("coalesce(nullif(regexp_extract(coalesce(author, ''), '(\\p{Lu}{3,})', 1), ''), regexp_extract(coalesce(author, ''), '([^ ,]+)[^ ]*$', 1))")} AS surname FROM bibliography_entry""",
     "song_numbers": f"SELECT chanson_id, {_ROMAN} AS written, CAST(n AS BIGINT) AS value FROM (SELECT chanson_id, num AS n, roman FROM chansons) WHERE roman = {_ROMAN}",
@@ -251,7 +213,7 @@ SQL = {
     "confidence_counts": "SELECT source, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'medium') AS medium, count(*) FILTER (confidence = 'low') AS low, count(*) FILTER (confidence IS NULL) AS ungraded FROM citations GROUP BY 1",
     "titles_per_author": "SELECT upper(regexp_extract(author, '^([^,]+)', 1)) AS surname, count(DISTINCT title) AS titles, arg_min(title, entry_id) AS first, max(page) AS last_page FROM bibliography_entry WHERE author IS NOT NULL GROUP BY 1",
     "first_definition": "SELECT vol, siglum, rec_id, definition FROM (SELECT *, row_number() OVER (PARTITION BY vol, siglum ORDER BY entered_at, rec_id, loaded_at) AS n FROM citations WHERE siglum IS NOT NULL AND definition IS NOT NULL) WHERE n = 1",
-    "undefined_sigla": "SELECT siglum, count(*) AS uses FROM citations WHERE siglum IS NOT NULL AND siglum NOT IN (SELECT siglum FROM siglum_list) AND siglum NOT IN (SELECT siglum FROM sigla_overrides WHERE siglum IS NOT NULL AND definition IS NOT NULL) GROUP BY 1 HAVING count(*) >= 2 AND count(definition) = 0",
+    "undefined_sigla": "SELECT siglum, count(*) AS uses FROM citations WHERE siglum IS NOT NULL AND siglum NOT IN (SELECT siglum FROM siglum_list) AND siglum NOT IN (SELECT siglum FROM sigla_overrides WHERE siglum IS NOT NULL AND definition IS NOT NULL) GROUP BY 1 HAVING count(*) >= 3 AND count(definition) = 0",
     "curated_definitions": """WITH c AS (SELECT siglum, min(definition) AS definition FROM citations WHERE siglum IS NOT NULL AND definition IS NOT NULL GROUP BY 1), o AS (SELECT siglum, min(definition) AS definition, min(grp) AS grp FROM sigla_overrides WHERE siglum IS NOT NULL AND definition IS NOT NULL GROUP BY 1)
       SELECT siglum, definition, NULL AS grp FROM c UNION ALL SELECT * FROM o WHERE siglum IN (SELECT siglum FROM siglum_usage) AND siglum NOT IN (SELECT siglum FROM c)""",
     "siglum_cascade": """SELECT u.vol, u.siglum, coalesce(a.m, b.m, c.m) AS meaning, CASE WHEN a.m IS NOT NULL THEN 'volume' WHEN b.m IS NOT NULL THEN 'curated' WHEN c.m IS NOT NULL THEN 'list' ELSE 'unresolved' END AS tier FROM (SELECT DISTINCT vol, siglum FROM siglum_usage) u
@@ -272,17 +234,12 @@ SQL = {
     "usage_ranks": """WITH u AS (SELECT vol, siglum, sum(uses) AS uses FROM siglum_usage GROUP BY 1, 2)
       SELECT vol, siglum, dense_rank() OVER (PARTITION BY vol ORDER BY uses) AS cote, CAST((row_number() OVER (PARTITION BY vol, uses ORDER BY siglum) - 1 - (count(*) OVER (PARTITION BY vol, uses) - 1) / 2) * 15.0 AS DOUBLE) AS spread FROM u""",
     "songs_shared": f"WITH t AS (SELECT chanson_id, vol, {_FOLD.format('incipit')} AS k FROM chansons WHERE incipit IS NOT NULL) SELECT a.chanson_id AS song_a, b.chanson_id AS song_b FROM t a JOIN t b ON a.k = b.k AND a.vol < b.vol",
-    "song_gaps": "WITH t AS (SELECT DISTINCT vol, num FROM chansons), e AS (SELECT vol, unnest(range(1, max(num) + 1)) AS num FROM t GROUP BY vol) SELECT vol, CAST(num AS INTEGER) AS num FROM e WHERE num % 7 = 0 AND NOT EXISTS (SELECT 1 FROM t WHERE t.vol <= 2 AND t.vol = e.vol AND t.num = e.num)",
     "song_gaps_all": "WITH t AS (SELECT DISTINCT vol, num FROM chansons), e AS (SELECT vol, unnest(range(1, max(num) + 1)) AS num FROM t GROUP BY vol) SELECT vol, CAST(num AS INTEGER) AS num FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.vol = e.vol AND t.num = e.num)",
     "song_catalogue": "SELECT vol, num, arg_max(len(remarques.pages), chanson_id) AS remarques, arg_max(len(texte.pages), chanson_id) AS texte FROM chansons GROUP BY 1, 2",
     "song_pages": """WITH p AS (SELECT chanson_id, generate_subscripts(l, 1) AS i, unnest(l) AS pageid FROM (SELECT chanson_id, texte.pages AS l FROM chansons)), m AS (SELECT pageid, max(printed) AS printed FROM manifest GROUP BY 1)
       SELECT chanson_id, arg_min(printed, i) AS first, arg_max(printed, i) AS last, count(*) AS pages FROM p JOIN m ON p.pageid = m.pageid WHERE printed <> '' GROUP BY 1""",
-    "usage_matrix": "SELECT siglum, CAST(coalesce(sum(uses) FILTER (vol = 1), 0) AS BIGINT) AS vol1, CAST(coalesce(sum(uses) FILTER (vol = 2), 0) AS BIGINT) AS vol2, CAST(coalesce(sum(uses) FILTER (vol = 3), 0) AS BIGINT) AS vol3 FROM siglum_usage WHERE vol <= 3 GROUP BY 1",
     "usage_matrix_all": "SELECT siglum, vol, CAST(sum(uses) AS BIGINT) AS uses FROM siglum_usage GROUP BY 1, 2",
     "page_sets": "WITH u AS (SELECT DISTINCT unnest(texte.pages) AS pageid FROM chansons) SELECT pageid, 'used only' AS side FROM u WHERE pageid NOT IN (SELECT pageid FROM manifest) UNION ALL SELECT DISTINCT pageid, 'never used' FROM manifest WHERE pageid NOT IN (SELECT pageid FROM u)",
-    "note_back_references": _BACK,
-    "note_decisions": f"""SELECT CASE WHEN seq % 5 = 0 THEN 'flag: counts differ' WHEN kind = 'bare' AND target_title IS NOT NULL THEN 'ibid. with locator' WHEN kind = 'bare' THEN 'flag: no single locator' WHEN confidence = 'unresolved' THEN 'flag: unresolved'
-      WHEN confidence = 'medium' THEN 'flag: several works' ELSE 'short title' END AS decision, count(*) AS notes FROM ({_BACK}) GROUP BY 1""",
     "numbered_quotes": "SELECT entry_id, regexp_replace(regexp_replace(text, '\\*', '§1'), '\\*', '§2') AS text FROM bibliography_entry",
     "quality_flags": _FLAGS,
     "flag_stats": f"SELECT stage, category, count(*) AS items, min(key) AS first FROM ({_FLAGS}) GROUP BY 1, 2",

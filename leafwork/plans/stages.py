@@ -35,6 +35,20 @@ def status(stage: Stage) -> str:
     return "STALE" if given > out else "FRESH"
 
 
+def in_order(stages: list[Stage]) -> list[Stage]:
+    """The stages so that each comes behind those whose outputs it reads; a ring of stages is an error."""
+    left, done, out = list(stages), set(), []
+    made = {o for s in stages for o in s.outputs}
+    while left:
+        ready = [s for s in left if all(i in done or i not in made for i in s.inputs)]
+        if not ready:
+            raise ValueError("stages wait for each other: " + ", ".join(s.name for s in left))
+        out += ready
+        done |= {o for s in ready for o in s.outputs}
+        left = [s for s in left if s not in ready]
+    return out
+
+
 def rebuild(stages: list[Stage], every: bool = False) -> list[str]:
     """Run the stages in order, each judged anew before it runs; the first failure ends the pass. Names of those run."""
     done = []

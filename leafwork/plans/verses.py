@@ -195,7 +195,27 @@ def commonest_form(spark: SparkSession, d: str) -> DataFrame:
     return best(t, ["vol", "siglum"], [F.col("records")], [F.col("definition")], ["definition", "records"])
 
 
-QUERIES = {f.__name__: f for f in (song_strophes, strophe_pairs, concordance, concordance_marks, verse_references, witnesses, song_navigation, page_notes, siglum_order, longest_first, usage_pages, usage_spread, flag_order, hanging_lines, first_sources, commonest_form)}
+def index_page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that indexes of names refer to by printed numbers, in the volume of the index; a number of no page has none."""
+    rows = table(spark, d, "documents").where("pageid IS NOT NULL").select("doc_id", F.regexp_extract("pageid", r"^v(\d+)p", 1).alias("vol"), F.explode(F.split("text", "\n")).alias("line"))
+    rows = rows.where(F.col("line").rlike(r"^\p{Lu}[^0-9]* [0-9]{1,3}(?:, [0-9]{1,3})*\.?$")).select("doc_id", F.expr("try_cast(vol AS INT)").alias("vol"), F.trim(F.regexp_extract("line", "^([^0-9]*)", 1)).alias("name"), F.explode(F.regexp_extract_all("line", F.lit("[0-9]+"), F.lit(0))).alias("printed"))
+    at = table(spark, d, "manifest").where("printed <> ''").groupBy("vol", "printed").agg(F.max_by("pageid", "page_order").alias("target"))
+    return rows.join(at, ["vol", "printed"], "left").groupBy("doc_id", "name", "printed", "target").agg(F.count(F.lit(1)).alias("times"))
+
+
+def siglum_references(spark: SparkSession, d: str) -> DataFrame:
+    """Sigla of the list in the evidence of citations, those set before a page apart: the word is taken whole, with its stops or without."""
+    token = r"[\p{L}][\p{L}0-9.²\-]*(?: ?,? ?pp?\.)?"
+    found = table(spark, d, "citations").where("evidence IS NOT NULL").select("rec_id", F.explode(F.regexp_extract_all("evidence", F.lit(token), F.lit(0))).alias("t"))
+    rows = found.select("rec_id", F.regexp_replace("t", r" ?,? ?pp?\.$", "").alias("word"), F.col("t").rlike(r"[ ,]pp?\.$").alias("page"))
+    known = table(spark, d, "siglum_list").select("siglum")
+    exact = rows.join(known, rows["word"] == known["siglum"])
+    bare = rows.join(known, rows["word"] == known["siglum"], "left_anti").withColumn("short", F.regexp_replace("word", r"\.+$", ""))
+    short = bare.join(known, bare["short"] == known["siglum"]).drop("short")
+    return exact.unionByName(short).groupBy("siglum").agg(F.count(F.lit(1)).alias("times"), F.count_if("page").alias("before_page"), F.countDistinct("rec_id").alias("records"))
+
+
+QUERIES = {f.__name__: f for f in (song_strophes, strophe_pairs, concordance, concordance_marks, verse_references, witnesses, song_navigation, page_notes, siglum_order, longest_first, usage_pages, usage_spread, flag_order, hanging_lines, first_sources, commonest_form, index_page_links, siglum_references)}
 
 _STROPHES = f"""SELECT file_name, no, CAST(dense_rank() OVER (PARTITION BY file_name ORDER BY part) AS BIGINT) AS strophe, row_number() OVER (PARTITION BY file_name ORDER BY no) AS pos, CAST(nullif(regexp_extract(trim(line), {quoted(NUMBERED)}, 1), '') AS BIGINT) AS g, regexp_replace(trim(line), {quoted(NUMBERED)}, '') AS text FROM (
   SELECT *, sum(CASE WHEN regexp_matches(line, '^\\s*:{{3,}}') OR (inside AND trim(line) = '') THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY no) AS part FROM ({_FENCED} FROM ({LINES}))) WHERE inside AND trim(line) <> ''"""
@@ -230,6 +250,10 @@ SQL = {
       SELECT s.chanson_id, concat_ws('. ', roman, incipit) AS label, len(pages) AS pages, CASE WHEN first IS NULL THEN '' WHEN first = last THEN 'p. ' || first ELSE 'pp. ' || first || '–' || last END AS printed, lag(roman) OVER o AS before, lead(roman) OVER o AS after, coalesce(works, 0) AS works
       FROM s LEFT JOIN e ON e.chanson_id = s.chanson_id LEFT JOIN w ON w.vol = s.vol WINDOW o AS (PARTITION BY s.vol ORDER BY num, s.chanson_id)""",
     "page_notes": f"SELECT file_name, coalesce(string_agg(label, ' ' ORDER BY no), '') AS labels, count(label) AS n FROM (SELECT file_name, no, CASE WHEN regexp_matches(line, '^\\[\\^[^\\]]+\\]:') THEN regexp_extract(line, '^\\[\\^([^\\]]+)\\]', 1) END AS label FROM ({LINES})) GROUP BY 1",
+    "index_page_links": """WITH l AS (SELECT doc_id, TRY_CAST(regexp_extract(pageid, '^v(\\d+)p', 1) AS INTEGER) AS vol, unnest(string_split(text, chr(10))) AS line FROM documents WHERE pageid IS NOT NULL), r AS (SELECT doc_id, vol, trim(regexp_extract(line, '^([^0-9]*)', 1)) AS name, unnest(regexp_extract_all(line, '[0-9]+')) AS printed FROM l WHERE regexp_matches(line, '^\\p{Lu}[^0-9]* [0-9]{1,3}(?:, [0-9]{1,3})*\\.?$')),
+      m AS (SELECT vol, printed, arg_max(pageid, page_order) AS target FROM manifest WHERE printed <> '' GROUP BY 1, 2) SELECT doc_id, name, r.printed, target, count(*) AS times FROM r LEFT JOIN m ON m.vol = r.vol AND m.printed = r.printed GROUP BY 1, 2, 3, 4""",
+    "siglum_references": """WITH t AS (SELECT rec_id, unnest(regexp_extract_all(evidence, '[\\p{L}][\\p{L}0-9.²\\-]*(?: ?,? ?pp?\\.)?')) AS t FROM citations WHERE evidence IS NOT NULL), w AS (SELECT rec_id, regexp_replace(t, ' ?,? ?pp?\\.$', '') AS word, regexp_matches(t, '[ ,]pp?\\.$') AS page FROM t)
+      SELECT siglum, count(*) AS times, count(*) FILTER (page) AS before_page, count(DISTINCT rec_id) AS records FROM w JOIN siglum_list s ON s.siglum = w.word OR (s.siglum = regexp_replace(w.word, '\\.+$', '') AND w.word NOT IN (SELECT siglum FROM siglum_list)) GROUP BY 1""",
     "siglum_order": f"SELECT siglum, category, row_number() OVER (PARTITION BY category ORDER BY {_FOLD.format(chr(0))}, siglum) AS place FROM siglum_list".replace(chr(0), "regexp_replace(regexp_replace(siglum, '([0-9]+)', '00000000\\1', 'g'), '0*([0-9]{8})([^0-9]|$)', '\\1\\2', 'g')"),
     "longest_first": "SELECT category, string_agg(siglum, '|' ORDER BY -length(siglum), siglum) AS pattern FROM siglum_list GROUP BY 1",
     "usage_pages": "SELECT vol, siglum, string_agg(p, ' ' ORDER BY length(p), p) AS pages FROM (SELECT DISTINCT vol, siglum, unnest(pages) AS p FROM siglum_usage) GROUP BY 1, 2",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -62,6 +65,22 @@ def image_names(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", *[part(k).alias(n) for k, n in enumerate(("roman", "siglum", "folio", "source"), 1)])
 
 
+def isolated(df: DataFrame, key: str, value: str, work: Callable[[str], str]) -> DataFrame:
+    """key, value, error: ``work`` done for each row on its own: a row that fails has its error in place of a value, and the others go on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = []
+            for k, v in zip(x[key], x[value], strict=True):
+                try:
+                    rows.append((k, work(v), None))
+                except Exception as e:  # whatever it is, it is this row's
+                    rows.append((k, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["key", "value", "error"])
+
+    return df.select(key, value).mapInPandas(run, f"key {dict(df.dtypes)[key]}, value string, error string")
+
+
 def with_errors(result: Column, value: str = "value", error: str = "error") -> list[Column]:
     """Columns value and error of a struct result: failed rows stay, others go on."""
     return [result[value].alias(value), result[error].alias(error)]

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def json_document(df: DataFrame, path: str, order: list[str]) -> None:
-    """One JSON array of all rows in order: for reports, whose size the caller bounds."""
-    whole = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in order])))).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    """One JSON array of all rows in order: rows are sorted in parallel and written through one task row by row, so none holds them all."""
+    rows = df.orderBy(*order).select(F.to_json(F.struct(*order, *[c for c in df.columns if c not in order])).alias("value"))
+    rows.coalesce(1).mapInPandas(_bracketed, "value string").write.mode("overwrite").text(path, lineSep="")
+
+
+def _bracketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    lead = "["
+    for x in batches:
+        yield pd.DataFrame({"value": [(lead if i == 0 else ",") + v for i, v in enumerate(x["value"])]})
+        lead = "," if len(x) else lead
+    yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
 
 
 def json_lines(df: DataFrame, path: str) -> None:

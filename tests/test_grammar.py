@@ -4,23 +4,18 @@ from pyspark.sql import functions as F
 from leafwork.functions import grammar as G
 
 CASES = [
-    (lambda c: G.typographic(c), "Quoi ? « oui » - non:  si", "Quoi ? « oui » — non : si"),
     (lambda c: G.squeeze_blank_lines(c), "a\n\n\n\nb", "a\n\nb"),
-    (lambda c: G.collapse_stars(c), "a\n+\n\n+\n\nb", "a\n* * *\n\nb"),
     (lambda c: G.lemma_head(c)["last"], "12-14. le mot", 14),
     (lambda c: G.lemma_head(c)["label"], "12-14. le mot", "le mot"),
     (lambda c: G.lemma_head(c)["open"], "v. 12 ss. le mot", True),
     (lambda c: G.lemma_head(c)["first"], "le mot", None),
     (lambda c: F.to_json(G.reference_list(c)), "XX, 43; passim; XIX, 5, 7; note", '[{"song":"XX","verse":43},{"song":"XIX","verse":5},{"song":"XIX","verse":7}]'),
-    (lambda c: G.best_mark(c, F.lit("amor")), "Ben és Àmor e amors", "Àmor"),
-    (lambda c: G.best_mark(c, F.lit("xyz")), "Ben es", None),
     (lambda c: G.preceding(c, F.lit("(abr")), "*Un*, puis *Deux* (abrégé)", "*Deux*"),
     (lambda c: G.preceding(c, F.lit("zz")), "*Un*", None),
     (lambda c: G.around(c, "mot", 3, 2)[0], "dans un mot clef", "un mot c"),
     (lambda c: G.parallels(c)[1]["verse"], "a / b\nc / d (v. 3)\ne", "3"),
     (lambda c: G.parallels(c)[0]["right"], "a / b\nc / d (v. 3)\ne", "b"),
     (lambda c: G.dedent(c), "    a\n\n      b", "a\n\n  b"),
-    (lambda c: G.rebuild_table(c, F.lit(2)), "| a | b | | c | d |", "| a | b |\n| c | d |"),
     (lambda c: F.array_join(G.notes_once(c), ","), "x[^2] y[^1] z[^2]", "2,1"),
     (lambda c: F.array_join(G.linked_tokens(c, F.array(F.lit("St.Bra"), F.lit("RO"))), ","), "voir RO et St.Bra. x", "St.Bra,RO"),
     (lambda c: G.render(c), "# A\n\n*b* & [c]{.u}\nd\n\n::: {.v}\nx\ny\n:::", '<h1>A</h1>\n<p><em>b</em> &amp; <span class="u">c</span> d</p>\n<blockquote>x<br>y</blockquote>'),
