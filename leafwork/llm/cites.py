@@ -3,26 +3,30 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from leafwork.llm.canon import canonical
 from leafwork.llm.listing import plain
 
-# Given names and the short forms used for them.
+# Short forms of given names in common use. Others are learned, see people.learned_forms.
 NICKNAMES = {
-    "nanard": "bernard", "charlot": "charles", "bill": "william", "willy": "wilhelm", "jo": "joseph", "titou": "jean-baptiste", "baptiste": "jean-baptiste",
-    "resi": "therese", "suzette": "suzanne", "toinette": "antoinette", "cathy": "catherine", "gaby": "gabrielle", "betty": "elizabeth", "lise": "elisabeth",
-    "peggy": "margaret", "margot": "marguerite", "bob": "robert", "dick": "richard", "fred": "frederic", "fritz": "friedrich", "hans": "johannes",
-    "heinz": "heinrich", "kalle": "karl-heinz", "beppe": "giuseppe", "cecco": "francesco", "nanni": "giovanni", "gigi": "luigi", "mimmo": "domenico",
-    "guilhem": "guillaume", "colas": "nicolas", "tintin": "augustin", "sacha": "alexandre", "momon": "edmond", "doudou": "edouard", "vince": "vincent",
-    "phil": "philippe", "chris": "christophe",
-}
-GIVEN = {
-    "ulrich", "charles", "mathilde", "nicolas", "zenon", "edmond", "albert", "guillaume", "xavier", "edouard", "antoinette", "vincent", "yvonne", "catherine",
-    "suzanne", "giovanni", "margaret", "richard", "augustin", "elizabeth", "ida", "bernard", "william", "francesco", "robert", "christophe", "kurt",
-    "jean-baptiste", "gabrielle", "quentin", "philippe", "lucien", "karl-heinz", "therese", "marguerite", "giuseppe", "heinrich", "alexandre", "pascal",
-    "luigi", "helene", "oscar", "frederic", "joseph", "johannes", "domenico", "wilhelm", "rita", "friedrich", "elisabeth",
+    "nanard": "bernard", "charlot": "charles", "titou": "jean-baptiste", "baptiste": "jean-baptiste", "suzette": "suzanne", "toinette": "antoinette", "gaby": "gabrielle", "lise": "elisabeth",
+    "babette": "elisabeth", "margot": "marguerite", "guilhem": "guillaume", "colas": "nicolas", "tintin": "augustin", "sacha": "alexandre", "momon": "edmond", "doudou": "edouard",
+    "jeannot": "jean", "pierrot": "pierre", "loulou": "louis", "manon": "marie", "ninon": "anne", "fanchon": "francoise", "dede": "andre", "totor": "victor", "mado": "madeleine",
+    "bill": "william", "bob": "robert", "dick": "richard", "jo": "joseph", "joe": "joseph", "jim": "james", "jack": "john", "harry": "henry", "tom": "thomas", "mike": "michael", "ned": "edward",
+    "ted": "edward", "betty": "elizabeth", "liz": "elizabeth", "peggy": "margaret", "meg": "margaret", "kate": "katherine", "cathy": "catherine", "molly": "mary", "nell": "helen",
+    "fred": "frederic", "vince": "vincent", "phil": "philippe", "chris": "christophe", "alec": "alexander", "andy": "andrew", "ben": "benjamin", "dan": "daniel", "sam": "samuel", "tim": "timothy",
+    "fritz": "friedrich", "hans": "johannes", "heinz": "heinrich", "willy": "wilhelm", "kalle": "karl-heinz", "resi": "therese", "sepp": "josef", "gretel": "margarete", "lotte": "charlotte", "toni": "anton",
+    "beppe": "giuseppe", "peppe": "giuseppe", "cecco": "francesco", "nanni": "giovanni", "gianni": "giovanni", "gigi": "luigi", "mimmo": "domenico", "pippo": "filippo", "tonio": "antonio", "lella": "raffaella",
 }
+# Common given names. They help where a name's order is open; elsewhere the order is learned, see people.settled.
+GIVEN = frozenset(
+    "adam agnes albert alexandre alfred alice andre anna anne antoine antonio arthur august barbara benoit bernard bruno camille carl caroline catherine cecile charles charlotte "
+    "christian claire claude clara daniel david denis dominique edmond edouard elisabeth elizabeth emile emma ernst etienne eugene eva felix fernand francesco francois francoise frank "
+    "frederic friedrich gabriel georg georges gerard giovanni giulia giuseppe guillaume guy hans heinrich helene henri henry hermann hugo isabelle jacques james jean jeanne johann johannes john "
+    "joseph julia jules karl klara laura laurent leon louis louise lucien ludwig luigi luisa madeleine marc marcel margaret marguerite maria marie marta martin mary mathilde maurice max michel "
+    "nicolas olivier oscar otto paolo pascal paul peter philippe pierre rachel raymond rene richard robert roger rosa rudolf sara sophie stefan suzanne theodor thomas ulrich vincent walter wilhelm william xavier yves".split()
+)
 _PARTICLES = {"de", "di", "von", "van", "du", "della", "d"}
 _HONOURS = re.compile(r"^(?:(?:l'abbé|le chanoine|le p\.|mgr|dr|prof\.?|abbé|chanoine)\s+)+", re.I)
 _INITIAL = re.compile(r"(?:[^\W\d_]\.-?)+|[^\W\d_]")
@@ -32,10 +36,11 @@ _PAGES = re.compile(r"(\d+)\s*p\.")
 
 @dataclass(frozen=True)
 class Name:
-    """``given`` is a full given name, an abbreviation or initials with ``.``, or empty."""
+    """``given`` is a full given name, an abbreviation or initials with ``.``, or empty; ``other`` is the reading in the other order, where both may be meant."""
 
     surname: str
     given: str
+    other: Name | None = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)
@@ -50,7 +55,7 @@ class Work:
 
 def _is_given(token: str) -> bool:
     low = plain(token)
-    return low in GIVEN or low in NICKNAMES or (low.endswith(".") and len(low) > 2 and any(g.startswith(low[:-1]) for g in GIVEN))
+    return low in GIVEN or low in NICKNAMES or (low.endswith(".") and len(low) > 2)
 
 
 def _first(initials: str) -> str:
@@ -81,6 +86,7 @@ def parse_name(text: str | None) -> Name | None:
     rest = [(t, after) for t, after in tokens if not _INITIAL.fullmatch(t)]
     if not rest:
         return None
+    other = None
     known = [t for t, after in rest if after or (_is_given(t) and len(rest) > 1)]
     capitals = [t for t, after in rest if not after and len(t) > 2 and t.isupper()]
     if capitals:
@@ -92,13 +98,20 @@ def parse_name(text: str | None) -> Name | None:
         surname = left[-1]
     elif len(rest) > 1 and not initials:
         given, surname = rest[0][0], rest[-1][0]
+        if given != surname:
+            turned = Name(_letters_of(given), given_form(surname))
+            other = turned if turned.surname else None
     else:
         given, surname = "", rest[-1][0]
     if surname == given:
         given = ""
-    surname = re.sub(r"[^a-z]", "", plain(surname))
+    surname = _letters_of(surname)
     given = given_form(given) if given else (_first(plain(initials[0])) if initials else "")
-    return Name(surname, given) if surname else None
+    return Name(surname, given, other) if surname else None
+
+
+def _letters_of(token: str) -> str:
+    return re.sub(r"[^a-z]", "", plain(token))
 
 
 def _publication(text: str) -> tuple[str | None, str | None, str | None, str | None]:

@@ -169,7 +169,7 @@ def map_to_list(values: DataFrame, entries: DataFrame, typed: str = "siglum", sh
     shards = max(1, ceil(listed.count() / shard_rows))
     if shards == 1:
         rows = values.sparkSession.sparkContext.broadcast(sorted(map(tuple, listed.collect()), key=str))
-        won = spread(queries, "typed").mapInPandas(_lookup(rows), _WON)
+        won = spread(queries, F.xxhash64("typed")).mapInPandas(_lookup(rows), _WON)
     else:
         queries = cut(queries)
         parts = max(1, ceil(queries.count() / values_at_once))

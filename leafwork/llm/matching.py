@@ -14,18 +14,19 @@ from pyspark.sql import functions as F
 from leafwork.llm.bktree import levenshtein
 from leafwork.llm.listing import plain
 from leafwork.llm.people import compatible, jaro_winkler
-from leafwork.session import cut
+from leafwork.session import cut, small, spread
 
 _CUT_OFF = re.compile(r"(?:\(?\.{3}\)?|…|,)\s*$|\(\.\.\.\)")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Attributes that must be equal. ``keys`` are arrays of the values of each on either side, ``checks`` what is left to label by."""
+    """Attributes that must be equal. ``keys`` are arrays of the values of each, ``theirs`` those of targets where they differ, ``checks`` what is left to label by."""
 
     name: str
     keys: tuple[Column, ...]
     checks: tuple[str, ...]
+    theirs: tuple[Column, ...] | None = None
 
 
 def title_words(title: str) -> list[str]:
@@ -59,13 +60,46 @@ def titles_agree(a: str, b: str) -> bool:
     return len(x) == len(y) or cut_off or len(x) >= 4
 
 
+#: Targets that are broadcast to the pairs, at most; more are joined by a shuffle.
+SENT = 200_000
+_KEPT = ("title", "surname", "author", "given", "year")
+
+
 def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
         keep = []
         for ta, tb, sa, sb, ca, cb, ga, gb, ya, yb in zip(x["title"], x["to_title"], x["surname"], x["to_surname"], x["author"], x["to_author"], x["given"], x["to_given"], x["year"], x["to_year"], strict=True):
             years = pd.isna(ya) or pd.isna(yb) or abs(int(ya) - int(yb)) <= 1
             keep.append(years and compatible(ga or "", gb or "") and (ca == cb or jaro_winkler(sa or "", sb or "") >= 0.8) and titles_agree(ta, tb))
-        yield x[keep][["id", "to"]]
+        yield x[keep][["a", "b", "rules"]]
+
+
+def _judged(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, rules: pairs of shapes that share a key and agree; rules are the bits of those whose key they share.
+
+    Both sides have shape, keys (rule and hash of the key) and what pairs are
+    judged by. The join on keys carries numbers only; what is judged comes to
+    the pairs that are left, each once, however many keys it shares. A false
+    hit of two hashes is judged like any pair.
+    """
+    side = lambda df: df.select("shape", F.explode("keys").alias("k")).select("shape", "k.rule", "k.key")
+    a, b = side(left).withColumnRenamed("shape", "a"), side(right).withColumnRenamed("shape", "b")
+    pairs = a.join(b, ["rule", "key"]).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
+    theirs = cut(right.select(F.col("shape").alias("b"), *[F.col(c).alias(f"to_{c}") for c in _KEPT]))
+    pairs = pairs.join(small(theirs, SENT), "b").join(left.select(F.col("shape").alias("a"), *_KEPT), "a")
+    kind = dict(left.dtypes)["shape"]
+    return spread(pairs).mapInPandas(_agree, f"a {kind}, b {kind}, rules int")
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys that spellings of one title share: its first letters, its last, the beginnings of its first words."""
+    for x in batches:
+        keys = []
+        for author, title in zip(x["author"], x["title"], strict=True):
+            words = title_words(title or "")
+            letters = "".join(words)
+            keys.append([{"rule": k, "key": f"{author}|{key}"} for k, key in enumerate((letters[:10], letters[-10:], " ".join(w[:3] for w in words[:3]))) if author and key])
+        yield x.assign(keys=keys)
 
 
 def same_works(works: DataFrame) -> DataFrame:
@@ -73,43 +107,78 @@ def same_works(works: DataFrame) -> DataFrame:
 
     Spellings belong together if each agrees with each and none of them agrees
     with another: a title cut so short that it agrees with two different ones
-    joins neither, nor them to each other.
+    joins neither, nor them to each other. Titles of an author that share their
+    first ten letters, last ten or the beginnings of three words are compared.
     """
-    kept = ["title", "surname", "author", "given", "year"]
-    a, b = works.select("id", *kept), works.select(F.col("id").alias("to"), *[F.col(c).alias(f"to_{c}") for c in kept])
-    pairs = cut(a.join(b, F.col("author") == F.col("to_author")).where("id < to").mapInPandas(_agree, "id string, to string"))
+    types = dict(works.dtypes)
+    rows = works.select("id", *_KEPT).mapInPandas(_blocks, ", ".join(f"{c} {types[c]}" for c in ("id", *_KEPT)) + ", keys array<struct<rule int, key string>>")
+    hashed = F.transform("keys", lambda k: F.struct(k["rule"].alias("rule"), F.xxhash64(k["key"]).alias("key")))
+    rows = cut(rows.withColumn("keys", hashed).withColumn("shape", F.monotonically_increasing_id()))
+    named = lambda c: rows.select(F.col("shape").alias(c), F.col("id").alias(f"id_{c}"))
+    pairs = _judged(rows, rows).where("a < b").join(named("a"), "a").join(named("b"), "b")
+    pairs = cut(pairs.select(F.least("id_a", "id_b").alias("id"), F.greatest("id_a", "id_b").alias("to")).where("id <> to").distinct())
     both = pairs.unionByName(pairs.select(F.col("to").alias("id"), F.col("id").alias("to"))).unionByName(works.select("id", F.col("id").alias("to")))
     near = both.groupBy("id").agg(F.array_sort(F.collect_set("to")).alias("near"))
     edges = near.select("id", "near", F.explode("near").alias("to")).join(near.select(F.col("id").alias("to"), F.col("near").alias("theirs")), "to")
     return edges.groupBy("id").agg(F.bool_and(F.col("near") == F.col("theirs")).alias("closed"), F.first("near").alias("near")).select("id", F.when(F.col("closed"), F.array_min("near")).otherwise(F.col("id")).alias("work"))
 
 
-def cascade(records: DataFrame, targets: DataFrame, rules: list[Rule]) -> DataFrame:
-    """id, to, rule, step: the target each record matches and the first rule that finds exactly one.
+def cascade(records: DataFrame, targets: DataFrame, rules: list[Rule], strong: int = 3) -> DataFrame:
+    """id, to, rule, step: the target each record matches and the first rule that finds exactly one; see :func:`cascade_with_ties`."""
+    return cascade_with_ties(records, targets, rules, strong)[0]
+
+
+def cascade_with_ties(records: DataFrame, targets: DataFrame, rules: list[Rule], strong: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(id, to, rule, step; id of records that only ties are left of).
 
     Both sides have id, author, surname, given, title and year, and what the
     rules read; other columns are ignored. Targets may repeat an id with
     other spellings, of which one is enough. Rules run from the strongest to the
-    weakest. Each joins the open records to the targets on equal keys, holds
-    the pairs against the whole titles, names and years, resolves the records
-    that are left with one target, and takes them out by an anti-join. A rule
-    with a null or missing key part finds nothing for that row. Repeated rows
-    and ties leave a record to the next rule; what no rule resolves is not
-    returned; empty tables give no rows.
+    weakest: each joins records to targets on equal keys, holds the pairs
+    against the whole titles, names and years and resolves the records that are
+    left with one target; those it resolves are out for the rules after it. A
+    rule with a null or missing key part finds nothing for that row. Repeated
+    rows and ties leave a record to the next rule; what no rule resolves is not
+    matched, and has ties or nothing; empty tables give no rows.
+
+    The ``strong`` rules are joined at once and what they resolve is taken out
+    by an anti-join, then the others are. Within such a pass the rules find
+    their pairs together: of each record the first rule with one target counts,
+    which is what anti-joins between them would leave. Records and targets that
+    look alike are judged once.
     """
-    kept = ["title", "surname", "author", "given", "year"]
-    todo = cut(records)
+    def shaped(df: DataFrame, keys: Column) -> tuple[DataFrame, DataFrame]:
+        """(id and shape; the shapes): rows that look alike, keys included, are one shape."""
+        rows = df.select("id", *_KEPT, F.filter(keys, lambda k: k["key"].isNotNull()).alias("keys"))
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in _KEPT]
+        rows = cut(rows.withColumn("shape", F.unhex(F.md5(F.concat_ws("\x1f", *parts, F.xxhash64("keys").cast("string"))))))
+        return rows.select("id", "shape"), cut(rows.select("shape", *_KEPT, "keys").dropDuplicates(["shape"]))
+
+    todo, left = shaped(records, F.flatten(F.array(*[_of_rule(n, r.keys) for n, r in enumerate(rules)])))
+    known, right = shaped(targets, F.flatten(F.array(*[_of_rule(n, r.theirs or r.keys) for n, r in enumerate(rules)])))
     found: list[DataFrame] = []
-    for step, rule in enumerate(rules):
-        key = F.explode(F.array_distinct(_keys(rule.keys)))
-        left = todo.select("id", *kept, key.alias("key")).where("key IS NOT NULL")
-        right = targets.select(F.col("id").alias("to"), *[F.col(c).alias(f"to_{c}") for c in kept], key.alias("key")).where("key IS NOT NULL")
-        pairs = left.join(right, "key").drop("key").dropDuplicates(["id", "to", "to_title"]).mapInPandas(_agree, "id string, to string")
-        one = pairs.groupBy("id").agg(F.min("to").alias("to"), F.max("to").alias("other")).where("to = other").select("id", "to")
-        one = cut(one.withColumns({"rule": F.lit(rule.name), "step": F.lit(step)}))
-        found.append(one)
-        todo = cut(todo.join(one.select("id"), "id", "left_anti"))
-    return reduce(DataFrame.unionByName, found)
+    ties = None
+    for lo, hi in ((0, strong), (strong, len(rules))):
+        within = lambda df: df.withColumn("keys", F.filter("keys", lambda k: k["rule"].between(lo, hi - 1))).where(F.size("keys") > 0)  # noqa: B023, E731
+        open_ = left if lo == 0 else left.join(todo.select("shape").distinct(), "shape", "left_semi")
+        pairs = _judged(within(open_), within(right)).withColumnsRenamed({"a": "shape", "b": "other"})
+        met = pairs.join(todo, "shape").join(known.select(F.col("id").alias("to"), F.col("shape").alias("other")), "other")
+        met = met.select("id", "to", F.explode(F.array(*[F.when(F.col("rules").bitwiseAND(1 << n) != 0, F.lit(n)) for n in range(lo, hi)])).alias("step")).where("step IS NOT NULL")
+        sole = cut(met.groupBy("id", "step").agg(F.min("to").alias("to"), (F.min("to") == F.max("to")).alias("one")))
+        one = sole.where("one").groupBy("id").agg(F.min_by("to", "step").alias("to"), F.min("step").alias("step"))
+        one = cut(one.withColumn("rule", F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("step") + 1)))
+        found.append(one.select("id", "to", "rule", "step"))
+        tied = sole.where("NOT one").select("id")
+        ties = tied if ties is None else ties.union(tied)
+        todo = cut(todo.join(one.select("id"), "id", "left_anti")) if hi < len(rules) else todo
+    matched = reduce(DataFrame.unionByName, found)
+    return matched, ties.distinct().join(matched.select("id"), "id", "left_anti")
+
+
+def _of_rule(number: int, parts: tuple[Column, ...]) -> Column:
+    """Hashes of a rule's keys of a row, with its number; none if a part is null."""
+    tagged = F.transform(F.array_distinct(_keys(parts)), lambda k: F.struct(F.lit(number).alias("rule"), F.when(k.isNotNull(), F.xxhash64(k)).alias("key")))
+    return F.coalesce(tagged, F.array().cast("array<struct<rule:int,key:bigint>>"))
 
 
 def _keys(parts: tuple[Column, ...]) -> Column:

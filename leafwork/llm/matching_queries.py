@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from leafwork.llm.canon import canonical
 from leafwork.llm.cites import Work, parse_card, parse_definition, parse_entry, parse_name
 from leafwork.llm.listing import plain
-from leafwork.llm.matching import Rule, cascade, rule_precision, same_works, title_words
-from leafwork.llm.people import surname_clusters
-from leafwork.session import cut
+from leafwork.llm.matching import Rule, cascade_with_ties, rule_precision, same_works, title_words
+from leafwork.llm.people import NAMES_SENT, formal, learned_forms, settled, surname_clusters, turned_names
+from leafwork.operators.match import salted_join
+from leafwork.session import cut, small
 from leafwork.sources.tables import table
 
-_SCHEMA = "id string, surname string, given string, title string, letters string, words array<string>, year int, pages string, place string, publisher string, clean boolean"
+_SCHEMA = "id string, surname string, given string, other_surname string, other_given string, title string, letters string, words array<string>, year int, pages string, place string, publisher string, clean boolean"
 
 
 def _row(key: str, work: Work, title: str | None, clean: bool) -> tuple | None:
@@ -25,7 +26,8 @@ def _row(key: str, work: Work, title: str | None, clean: bool) -> tuple | None:
     title = canonical(title)
     words = title_words(title)
     low = [plain(x) if x else None for x in (work.place, work.publisher)]
-    return (key, work.author.surname, work.author.given, title, "".join(words), words, int(work.year) if work.year else None, work.pages, *low, clean)
+    other = work.author.other
+    return (key, work.author.surname, work.author.given, other and other.surname, other and other.given, title, "".join(words), words, int(work.year) if work.year else None, work.pages, *low, clean)
 
 
 def _frame(rows: list) -> pd.DataFrame:
@@ -64,23 +66,27 @@ def _carded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _rules() -> list[Rule]:
     col = F.col
     letters, author = F.array("letters"), F.array("author")
-    start = F.when(F.length("letters") >= 14, F.array(F.substring("letters", 1, 14)))
-    end = F.when(F.length("letters") >= 14, F.array(F.substring("letters", -14, 14)))
+    start = F.array(F.substring("letters", 1, 14))
+    end = F.array(F.right("letters", F.lit(14)))
     begun = F.array(F.array_join(F.transform(F.slice("words", 1, 3), lambda w: F.substring(w, 1, 3)), " "))
+    # One side stands for three years, so that years one apart meet and no others.
+    year = F.when(col("year").isNotNull(), F.array("year"))
     years = F.when(col("year").isNotNull(), F.array(col("year") - 1, col("year"), col("year") + 1))
     place = F.when(col("place").isNotNull(), F.array("place"))
+    checks = ("pages", "place", "publisher")
+    rule = lambda name, *parts, use=checks: Rule(name, tuple(year if p is years else p for p in parts), use, parts)
     return [
-        Rule("title author year", (letters, author, years), ("pages", "place", "publisher")),
-        Rule("title author", (letters, author), ("pages", "place", "publisher")),
-        Rule("title year", (letters, years), ("pages", "place", "publisher")),
-        Rule("start author year", (start, author, years), ("pages", "place", "publisher")),
-        Rule("end author year", (end, author, years), ("pages", "place", "publisher")),
-        Rule("words author year", (begun, author, years), ("pages", "place", "publisher")),
-        Rule("author year", (author, years), ("pages", "place", "publisher")),
-        Rule("start author", (start, author), ("pages", "place", "publisher")),
-        Rule("words author", (begun, author), ("pages", "place", "publisher")),
-        Rule("end author", (end, author), ("pages", "place", "publisher")),
-        Rule("start year place", (start, years, place), ("pages", "publisher")),
+        rule("title author year", letters, author, years),
+        rule("title author", letters, author),
+        rule("title year", letters, years),
+        rule("start author year", start, author, years),
+        rule("end author year", end, author, years),
+        rule("words author year", begun, author, years),
+        rule("author year", author, years),
+        rule("start author", start, author),
+        rule("words author", begun, author),
+        rule("end author", end, author),
+        rule("start year place", start, years, place, use=("pages", "publisher")),
     ]
 
 
@@ -92,8 +98,8 @@ def _works(rows: DataFrame) -> DataFrame:
     return out.withColumn("id", F.concat_ws("|", "letters", "author"))
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, lib_id and confidence."""
+def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """rec_id, lib_id and confidence; side and id of the rows that every rule ties."""
     t = lambda n: table(spark, sf_dir, n)
     text = lambda c: F.col(c).cast("string").alias("id")
     cited = t("citations").select(text("rec_id"), "definition", F.col("bibliography.author").alias("author"), F.col("bibliography.title").alias("title"), "confidence")
@@ -106,14 +112,19 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     for side, part in parts[1:]:
         every = every.unionByName(part.withColumn("side", F.lit(side)))
     every = cut(every)
-    clusters = surname_clusters(every.select(F.concat("side", "id").alias("rec"), "surname", "given", F.substring("letters", 1, 40).alias("work")))
-    every = cut(every.join(clusters, "surname").withColumnRenamed("cluster", "author"))
+    # What is learned of names is learned from narrow rows; the wide ones are passed once, with what was learned sent to them.
+    mentions = cut(every.select(F.concat("side", "id").alias("rec"), "surname", "given", "other_surname", "other_given", F.col("letters").alias("work")))
+    turned = cut(turned_names(mentions))
+    mentions = cut(settled(mentions, turned))
+    clusters = small(cut(surname_clusters(mentions)), NAMES_SENT)
+    learned = cut(learned_forms(mentions.join(clusters, "surname")))
+    every = cut(formal(settled(every, turned).join(clusters, "surname"), learned).withColumnRenamed("cluster", "author"))
     ours, theirs = every.where("side = 'c'"), every.where("side = 'l'")
 
     rules = _rules()
     known = cut(_works(every.where("clean")))
-    ours_found = cascade(ours, known, rules)
-    rest = ours.join(ours_found.select("id"), "id", "left_anti")
+    ours_found, ours_tied = cascade_with_ties(ours, known, rules)
+    rest = cut(ours.join(small(ours_found.select("id"), NAMES_SENT), "id", "left_anti"))
     own = cut(_works(rest))
     same = cut(same_works(own))
     own = cut(own.join(same, "id").withColumn("id", F.col("work")).drop("work"))
@@ -123,7 +134,8 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = [F.mode(c, True).alias(c) for c in ("pages", "place", "publisher")]
     works = known.select("id", "pages", "place", "publisher").unionByName(own.groupBy("id").agg(*said))
     ours_found = cut(ours_found.unionByName(new))
-    theirs_found = cut(cascade(theirs, spellings, rules))
+    theirs_found, theirs_tied = cascade_with_ties(theirs, spellings, rules)
+    theirs_found = cut(theirs_found)
 
     graded = ours.join(grades, "id", "left")
     plus = [*rules, Rule("own title", (), ("pages", "place", "publisher"))]
@@ -131,17 +143,23 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     theirs_right = rule_precision(theirs_found, theirs.withColumn("grade", F.lit("")), works, rules, "grade")
     a = ours_found.join(grades.select("id", F.coalesce("grade", F.lit("")).alias("grade")), "id").join(ours_right, ["rule", "grade"]).select(F.col("id").alias("rec"), "to", F.col("precision").alias("p"))
     b = theirs_found.join(theirs_right.drop("grade"), "rule").select(F.col("id").alias("lib"), "to", F.col("precision").alias("q"))
-    pairs = a.join(b, "to").groupBy(F.col("rec").cast("long").alias("rec_id"), F.col("lib").cast("long").alias("lib_id"))
-    return pairs.agg(F.round(F.max(F.col("p") * F.col("q")), 4).alias("confidence"))
+    pairs = salted_join(cut(a), b, ["to"]).groupBy(F.col("rec").cast("long").alias("rec_id"), F.col("lib").cast("long").alias("lib_id"))
+    tied = ours_tied.withColumn("side", F.lit("record")).unionByName(theirs_tied.withColumn("side", F.lit("card")))
+    return pairs.agg(F.round(F.max(F.col("p") * F.col("q")), 4).alias("confidence")), tied
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spark, sf_dir).select("rec_id", "lib_id")
+    return _matched(spark, sf_dir)[0].select("rec_id", "lib_id")
 
 
 def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spark, sf_dir)
+    return _matched(spark, sf_dir)[0]
 
 
-QUERIES = {"p5_found": p5_found, "p5_confidence": p5_confidence}
+def p5_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and cards for which every rule that finds anything finds several: by side, how many. Records among them get a work of their own."""
+    return _matched(spark, sf_dir)[1].groupBy("side").agg(F.count(F.lit(1)).alias("tied"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_confidence": p5_confidence, "p5_ties": p5_ties}
 SQL: dict[str, str] = {}

@@ -11,12 +11,17 @@ from pyspark.sql import types as T
 
 from leafwork.llm.bktree import levenshtein
 from leafwork.operators.graph import components
-from leafwork.session import cut
+from leafwork.operators.match import salted_join
+from leafwork.session import cut, small
 
 # Letters that are heard or written for each other.
 _SOUND = {c: k for k, cs in {"b": "bp", "v": "fvw", "k": "ckq", "g": "gj", "s": "sxz", "d": "dt", "l": "l", "m": "m", "n": "n", "r": "r", "a": "a", "e": "e", "i": "iy", "o": "o", "u": "u"}.items() for c in cs}
 
 
+#: Different names that are broadcast, at most; more are joined by a shuffle.
+NAMES_SENT = 500_000
+
+
 def phonetic(name: str) -> str:
     """Sound classes of the letters of the name's sorted tokens; doubled sounds count once."""
     out, last = "", ""
@@ -29,14 +34,17 @@ def phonetic(name: str) -> str:
 
 
 def block_keys(name: str) -> list[str]:
-    """The phonetic code and the code with each symbol left out.
+    """The phonetic code and the code with each symbol left out, sounds that meet counted once; of a name of few sounds, the name with each letter left out.
 
     Codes that differ by a letter put in, left out, replaced or swapped with the
     next share a key, and few others do, so blocks stay small however many
-    names there are.
+    names there are. Codes of three symbols less one would be shared by most
+    short names, so these go by their letters.
     """
     code = phonetic(name)
-    return sorted({code, *(code[:i] + code[i + 1 :] for i in range(len(code)) if len(code) > 2)})
+    if len(code) > 3:
+        return sorted({code, *(code[:i] + code[i + 1 + (0 < i < len(code) - 1 and code[i - 1] == code[i + 1]) :] for i in range(len(code)))})
+    return sorted({code, f"={name}", *(f"={name[:i]}{name[i + 1 :]}" for i in range(len(name)))})
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -85,8 +93,61 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
         jw = [jaro_winkler(a, b) for a, b in zip(x["f"], x["g"], strict=True)]
         edits = [levenshtein(a, b) for a, b in zip(x["f"], x["g"], strict=True)]
-        fit = [any(compatible(a, b) for a in p for b in q) for p, q in zip(x["f_givens"], x["g_givens"], strict=True)]
-        yield x[["f", "g", "nf", "ng", "together", "works"]].assign(jw=jw, edits=edits, fit=fit)
+        yield x.assign(jw=jw, edits=edits)
+
+
+def _fitting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in batches:
+        yield x[[compatible(a, b) for a, b in zip(x["p"], x["q"], strict=True)]][["f", "g"]].drop_duplicates()
+
+
+def turned_names(rows: DataFrame) -> DataFrame:
+    """surname, given, other_surname, other_given, turned: names that can be read in two orders and are likelier in the other.
+
+    ``rows`` has surname, given, and other_surname and other_given where both
+    readings are open. Names of one order, by a comma, capitals or initials,
+    tell how often a word is a surname and how often a given name in this
+    corpus; what stands more often as the reading has it decides, and the first
+    reading is kept on a tie. The counts are joined to the different open names.
+    """
+    sure = rows.where("other_surname IS NULL")
+    as_given = sure.where("given <> '' AND NOT given LIKE '%.'").groupBy("given").agg(F.count(F.lit(1)).alias("n"))
+    as_surname = sure.groupBy("surname").agg(F.count(F.lit(1)).alias("n"))
+    open_ = rows.where("other_surname IS NOT NULL").select("surname", "given", "other_surname", "other_given").distinct()
+    for c, counts in (("given", as_given), ("other_given", as_given), ("surname", as_surname), ("other_surname", as_surname)):
+        open_ = open_.join(counts.toDF(c, f"n_{c}"), c, "left")
+    zero = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0))
+    return open_.where(zero("other_given") + zero("other_surname") > zero("given") + zero("surname")).select("surname", "given", "other_surname", "other_given", F.lit(True).alias("turned"))
+
+
+def settled(rows: DataFrame, turned: DataFrame | None = None) -> DataFrame:
+    """``rows`` with surname and given in the likelier order, by :func:`turned_names` of the rows or those given."""
+    turned = small(cut(turned_names(rows)) if turned is None else turned, NAMES_SENT)
+    out = rows.join(turned, ["surname", "given", "other_surname", "other_given"], "left")
+    names = {c: F.when(F.col("turned"), F.col(f"other_{c}")).otherwise(F.col(c)) for c in ("surname", "given")}
+    return out.withColumns(names).drop("turned", "other_surname", "other_given")
+
+
+def learned_forms(named: DataFrame, surnames: int = 3) -> DataFrame:
+    """given, formal: given names that stand for another: both are named for one work of one surname, with ``surnames`` different ones.
+
+    ``named`` has cluster, work, given. The rarer of a pair stands for the
+    commoner, if several for the one it goes with most. Of one work few given
+    names are known, so pairs within it are few.
+    """
+    full = named.where("work IS NOT NULL AND given <> '' AND NOT given LIKE '%.'").select("cluster", "work", "given").distinct()
+    several = full.groupBy("cluster", "work").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cluster", "work")
+    full = full.join(several, ["cluster", "work"])
+    pairs = full.join(full.withColumnRenamed("given", "formal"), ["cluster", "work"]).where("given <> formal").groupBy("given", "formal").agg(F.countDistinct("cluster").alias("k")).where(F.col("k") >= surnames)
+    often = named.groupBy("given").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.join(often, "given").join(often.toDF("formal", "m"), "formal").where("m > n OR (m = n AND formal < given)")
+    return pairs.groupBy("given").agg(F.max_by("formal", F.struct("k", "m", "formal")).alias("formal"))
+
+
+def formal(named: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+    """``named`` with each given name in the form it stands for in this corpus, by :func:`learned_forms` of it or those given."""
+    learned = small(cut(learned_forms(named)) if learned is None else learned, NAMES_SENT)
+    return named.join(learned, "given", "left").withColumn("given", F.coalesce("formal", "given")).drop("formal")
 
 
 def surname_clusters(mentions: DataFrame) -> DataFrame:
@@ -101,33 +162,30 @@ def surname_clusters(mentions: DataFrame) -> DataFrame:
     slip. Connected components make the clusters.
     """
     names = mentions.where("surname IS NOT NULL")
-    forms = names.groupBy("surname").agg(F.countDistinct("rec").alias("n"), F.collect_set("given").alias("givens"))
+    forms = names.groupBy("surname").agg(F.countDistinct("rec").alias("n"))
     keys = F.pandas_udf(_keys_of, T.ArrayType(T.StringType()))
-    blocked = cut(forms.select("surname", "n", "givens", F.explode(keys("surname")).alias("key")))
-    f = blocked.select("key", F.col("surname").alias("f"), F.col("n").alias("nf"), F.col("givens").alias("f_givens"))
-    g = blocked.select("key", F.col("surname").alias("g"), F.col("n").alias("ng"), F.col("givens").alias("g_givens"))
+    blocked = cut(forms.select("surname", "n", F.explode(keys("surname")).alias("key")))
+    f, g = blocked.toDF("f", "nf", "key"), blocked.toDF("g", "ng", "key")
     heavier = (F.col("ng") > F.col("nf")) | ((F.col("ng") == F.col("nf")) & (F.col("g") < F.col("f")))
     near = F.abs(F.length("f") - F.length("g")) <= 3
 
     in_rec = names.select("rec", "surname").distinct()
     together = in_rec.toDF("rec", "f").join(in_rec.toDF("rec", "g"), "rec").where("f <> g").select("f", "g").distinct().withColumn("together", F.lit(1))
-    of_f, of_g = forms.toDF("f", "nf", "f_givens"), forms.toDF("g", "ng", "g_givens")
     blocked_pairs = f.join(g, "key").where(near).drop("key")
-    pairs = blocked_pairs.unionByName(together.select("f", "g").join(of_f, "f").join(of_g, "g")).where(heavier).dropDuplicates(["f", "g"])
+    pairs = blocked_pairs.unionByName(together.select("f", "g").join(forms.toDF("f", "nf"), "f").join(forms.toDF("g", "ng"), "g")).where(heavier).distinct()
+    pairs = cut(pairs.mapInPandas(_judge, "f string, g string, nf long, ng long, jw double, edits long").where("jw >= 0.8").join(together, ["f", "g"], "left"))
     in_work = names.where("work IS NOT NULL").select("work", "surname").distinct()
     by_work = in_work.join(in_work.groupBy("work").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "work").select("work", "surname")
-    pairs = pairs.join(together, ["f", "g"], "left")
-    same_work = pairs.select("f", "g").join(by_work.toDF("work", "f"), "f").join(by_work.toDF("work", "g"), ["work", "g"]).groupBy("f", "g").agg(F.count(F.lit(1)).alias("works"))
-    pairs = pairs.join(same_work, ["f", "g"], "left").na.fill(0, ["together", "works"])
-    judged = pairs.mapInPandas(_judge, "f string, g string, nf long, ng long, together long, works long, jw double, edits long, fit boolean")
+    close = pairs.where("together IS NULL AND jw >= 0.85 AND edits <= 3").select("f", "g")
+    same_work = close.join(by_work.toDF("work", "f"), "f").join(by_work.toDF("work", "g"), ["work", "g"]).select("f", "g").distinct().withColumn("works", F.lit(1))
+    judged = pairs.join(same_work, ["f", "g"], "left").na.fill(0, ["together", "works"])
     slip = F.col("nf") <= F.greatest(F.lit(2), F.col("ng") / 4)
-    likely = (
-        ((F.col("together") > 0) & (F.col("jw") >= 0.8))
-        | ((F.col("works") > 0) & (F.col("jw") >= 0.85) & (F.col("edits") <= 3) & F.col("fit"))
-        | ((F.col("jw") >= 0.92) & (F.col("edits") <= 2) & F.col("fit") & slip)
-    )
-    weight = F.struct((F.col("works") > 0).cast("int").alias("known"), F.round("jw", 6).alias("jw"), F.col("ng"), F.col("g"))
-    accepted = cut(judged.where(likely).select("f", "g", "together", weight.alias("weight")))
+    likely = judged.where((F.col("together") > 0) | (F.col("works") > 0) | ((F.col("jw") >= 0.92) & (F.col("edits") <= 2) & slip))
+    # Given names are held together for the few pairs that are left, each name with each; no list of them is built.
+    given = names.select("surname", "given").distinct()
+    fits = likely.where("together = 0").select("f", "g").join(given.toDF("f", "p"), "f").join(given.toDF("g", "q"), "g").mapInPandas(_fitting, "f string, g string").distinct().withColumn("fit", F.lit(True))
+    weight = F.struct("works", F.round("jw", 6).alias("jw"), F.col("ng"), F.col("g"))
+    accepted = cut(likely.join(fits, ["f", "g"], "left").where("together > 0 OR fit").select("f", "g", "together", weight.alias("weight")))
     chosen = accepted.groupBy("f").agg(F.max_by("g", "weight").alias("g")).unionByName(accepted.where("together > 0").select("f", "g"))
     linked = components(chosen, "f", "g").toDF("surname", "cluster")
     return forms.select("surname").join(linked, "surname", "left").select("surname", F.coalesce("cluster", "surname").alias("cluster"))
@@ -154,7 +212,7 @@ def people(mentions: DataFrame) -> DataFrame:
     """
     rows = mentions.select("rec", "surname", F.coalesce("given", F.lit("")).alias("given"), "work").where("surname <> ''").distinct()
     rows = cut(rows)
-    named = rows.join(surname_clusters(rows), "surname")
+    named = formal(rows.join(small(cut(surname_clusters(rows)), NAMES_SENT), "surname"))
     exact = F.struct(~F.col("given").endswith("."), F.length("given"), F.col("given"))
     best = cut(named.groupBy("rec").agg(F.max_by(F.struct("cluster", "given"), exact).alias("b"), F.min("work").alias("work")).select("rec", "b.cluster", "b.given", "work"))
 
@@ -176,6 +234,6 @@ def people(mentions: DataFrame) -> DataFrame:
 
 
 def same_person_pairs(found: DataFrame) -> DataFrame:
-    """rec_a, rec_b: records of one person, smaller first. The pairs of a hot person are split by the skew join."""
+    """rec_a, rec_b: records of one person, smaller first. One side of a hot person is salted."""
     a, b = found.toDF("rec_a", "person"), found.toDF("rec_b", "person")
-    return a.join(b, "person").where("rec_a < rec_b").select("rec_a", "rec_b")
+    return salted_join(a, b, ["person"]).where("rec_a < rec_b").select("rec_a", "rec_b")
