@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def json_document(df: DataFrame, path: str, order: list[str]) -> None:
     """One JSON array of all rows in order: rows are sorted in parallel and written through one task row by row, so none holds them all."""
     rows = df.orderBy(*order).select(F.to_json(F.struct(*order, *[c for c in df.columns if c not in order])).alias("value"))
-    rows.coalesce(1).mapInPandas(_bracketed, "value string").write.mode("overwrite").text(path, lineSep="")
+    rows.coalesce(1).mapInPandas(_bracketed, "value string").write.mode("overwrite").text(path, lineSep=" ")
 
 
 def _bracketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
