@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from leafwork.operators.match import salted_join
+
 # Letters of other scripts that print like a Latin letter.
 _GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϲϳ"
 _GREEK_LATIN = "ABEZHIKMNOPTYXvocj"
@@ -129,6 +131,13 @@ def alike_pairs(prints: DataFrame) -> DataFrame:
     a, b = spellings.withColumnRenamed("raw", "raw_a"), spellings.withColumnRenamed("raw", "raw_b")
     pairs = a.join(b, ["tab", "canon"]).where("raw_a < raw_b").select("tab", "raw_a", "raw_b")
     rows = prints.select("tab", "key", "raw")
-    left, right = rows.toDF("tab", "ka", "raw_a"), rows.toDF("tab", "kb", "raw_b")
-    out = pairs.join(left, ["tab", "raw_a"]).join(right, ["tab", "raw_b"]).where("ka <> kb")
+    left = pairs.join(rows.toDF("tab", "ka", "raw_a"), ["tab", "raw_a"])
+    # What a spelling of many rows puts out is salted: each part of its rows meets all rows of the other spelling.
+    out = salted_join(rows.toDF("tab", "kb", "raw_b"), left, ["tab", "raw_b"]).where("ka <> kb")
     return out.select("tab", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+
+
+def alike_classes(prints: DataFrame) -> DataFrame:
+    """tab, key, class_id, spellings: the rows of texts that print like a differently spelled one, by class; a class is its canonical form's digest."""
+    several = prints.groupBy("tab", "canon").agg(F.countDistinct("raw").alias("spellings")).where("spellings > 1")
+    return prints.join(several, ["tab", "canon"]).select("tab", "key", F.hex("canon").alias("class_id"), "spellings").distinct()

@@ -4,7 +4,9 @@ from itertools import combinations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafwork.llm.canon import SUSPECT, _normal, alike_pairs, canonical, fingerprints
+from pyspark.sql import functions as F
+
+from leafwork.llm.canon import SUSPECT, _normal, alike_classes, alike_pairs, canonical, fingerprints
 
 ALPHABET = "aeoνοА̧́­​ﬁｅé—-   \nçщῳ가"
 
@@ -44,3 +46,11 @@ def test_pairs_against_brute_force(spark):
     want = {("t", *sorted((a, b))) for a, b in combinations(rows, 2) if rows[a] != rows[b] and _normal(rows[a]) == _normal(rows[b])}
     assert got == want and len(want) == 10
     assert alike_pairs(fingerprints(df.limit(0), "t", df["key"], df["text"])).count() == 0
+
+
+def test_classes_of_texts_that_print_alike(spark):
+    rows = [(1, "café", "x"), (2, "cafe\u0301", "x"), (3, "café", "x"), (3, "café", "x"), (4, "cafe", "x"), (5, None, "x"), (6, "", "x")]
+    prints = fingerprints(spark.createDataFrame(rows, "id long, text string, canon string"), "t", F.col("id"), F.col("text"))
+    got = [(r.key, r.spellings) for r in alike_classes(prints).orderBy("key").collect()]
+    assert got == [("1", 2), ("2", 2), ("3", 2)] and alike_classes(prints).select("class_id").distinct().count() == 1
+    assert alike_classes(prints.limit(0)).count() == 0
