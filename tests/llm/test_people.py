@@ -1,7 +1,8 @@
 from itertools import combinations
 
 from leafwork.llm.cites import Name, parse_card, parse_definition, parse_name
-from leafwork.llm.people import block_keys, jaro_winkler, people, phonetic, refines, same_person_pairs
+from leafwork.llm.people import block_keys, jaro_winkler, learned_forms, people, phonetic, refines, same_person_pairs, settled
+from leafwork.llm.people_queries import work_key
 
 
 def test_names_in_any_dress():
@@ -45,3 +46,29 @@ def test_linked_records(spark):
     assert sorted(map(sorted, groups.values())) == [["1", "2", "3"], ["4", "5", "7"], ["8", "9"]]
     assert {tuple(r) for r in same_person_pairs(found).collect()} == {p for g in groups.values() for p in combinations(sorted(g), 2)}
     assert people(df.limit(0)).count() == 0
+
+
+def test_long_titles_are_whole_keys():
+    begun = "Dictionnaire de la poésie lyrique des troubadours à Rondec"
+    assert work_key(begun + ", premier tome") != work_key(begun + ", second tome") and work_key(None) is None
+
+
+def test_short_names_have_their_own_keys():
+    assert set(block_keys("li")) & set(block_keys("lii")) and not set(block_keys("lo")) & set(block_keys("mu")) and not set(block_keys("noe")) & set(block_keys("tim"))
+
+
+def test_order_of_names_is_learned(spark):
+    """Given names that no list has: names of one order tell what the open ones mean."""
+    sure = [("r1", "brauldac", "zéphyrin"), ("r2", "tauberin", "quirin"), ("r3", "mordac", "quirin")]
+    rows = [(*r, None, None, "w") for r in sure] + [("r4", "zéphyrin", "brauldac", "brauldac", "zéphyrin", "w"), ("r5", "tauberin", "quirin", "quirin", "tauberin", "w"), ("r6", "un", "deux", "deux", "un", "w")]
+    df = spark.createDataFrame(rows, "rec string, surname string, given string, other_surname string, other_given string, work string")
+    got = {r.rec: (r.surname, r.given) for r in settled(df).collect()}
+    assert (got["r4"], got["r5"], got["r6"]) == (("brauldac", "zéphyrin"), ("tauberin", "quirin"), ("un", "deux"))
+    assert settled(df.limit(0)).count() == 0
+
+
+def test_short_forms_are_learned(spark):
+    """Two given names on one work of one surname, with three surnames, are one; with two they are not."""
+    rows = [(f"s{k}", f"w{k}", g) for k in range(3) for g in ("zéphyrin", "fifi")] + [(f"s{k}", f"w{k}", g) for k in range(2) for g in ("quirin", "titi")] + [("s9", "w9", "zéphyrin"), ("s7", "w7", "zéphyrin"), ("s8", None, "fifi")]
+    df = spark.createDataFrame(rows, "cluster string, work string, given string")
+    assert [tuple(r) for r in learned_forms(df).collect()] == [("fifi", "zéphyrin")]
