@@ -14,7 +14,7 @@ from leafwork.llm.listing import plain
 from leafwork.llm.matching import Rule, cascade_with_ties, rule_precision, same_works, title_words
 from leafwork.llm.people import NAMES_SENT, formal, learned_forms, settled, surname_clusters, turned_names
 from leafwork.operators.match import salted_join
-from leafwork.session import cut, small
+from leafwork.session import cut, forget, small
 from leafwork.sources.tables import table
 
 _SCHEMA = "id string, surname string, given string, other_surname string, other_given string, title string, letters string, words array<string>, year int, pages string, place string, publisher string, clean boolean"
@@ -118,7 +118,8 @@ def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     mentions = cut(settled(mentions, turned))
     clusters = small(cut(surname_clusters(mentions)), NAMES_SENT)
     learned = cut(learned_forms(mentions.join(clusters, "surname")))
-    every = cut(formal(settled(every, turned).join(clusters, "surname"), learned).withColumnRenamed("cluster", "author"))
+    raw, every = every, cut(formal(settled(every, turned).join(clusters, "surname"), learned).withColumnRenamed("cluster", "author"))
+    forget(raw)
     ours, theirs = every.where("side = 'c'"), every.where("side = 'l'")
 
     rules = _rules()
