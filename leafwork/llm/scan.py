@@ -160,7 +160,7 @@ def fit_numbers(leaves: list[tuple[int, str, bool]]) -> dict[int, str]:
         return {}
     # State: (kind of numerals, last number); each has its cost and the leaves' numbers, last first.
     states: dict[tuple[str, int], tuple[float, tuple]] = {("none", 0): (0.0, ())}
-    starts_a = sorted({int(s) - k for k, (_, s, _) in enumerate(leaves) if s.isdigit() and 0 < int(s) < 100_000})
+    starts_a = {int(s) - k for k, (_, s, _) in enumerate(leaves) if s.isdigit() and int(s) > 0}
     starts_r = sorted({n - k for k, (_, s, _) in enumerate(leaves) if (n := from_roman(s))})
     last = None
     for k, (i, s, plate) in enumerate(leaves):
@@ -172,6 +172,7 @@ def fit_numbers(leaves: list[tuple[int, str, bool]]) -> dict[int, str]:
             if state not in new or cost < new[state][0]:
                 new[state] = (cost, (number, path))
 
+        begins = s.isdigit() and int(s) > 0 and str(int(s)) == s and any(int(s) - k + d in starts_a for d in (-1, 0, 1))
         for (kind, n), (cost, path) in states.items():
             skips = range(gap + 1) if kind != "none" else range(1)
             for skip in skips:
@@ -191,9 +192,8 @@ def fit_numbers(leaves: list[tuple[int, str, bool]]) -> dict[int, str]:
                     if start + k > 0:
                         put(("roman", start + k), cost + _misfit(s, to_roman(start + k), plate) + 0.2, to_roman(start + k), path)
             if kind in ("none", "roman"):
-                for start in {x + d for x in starts_a for d in (-1, 0, 1)}:
-                    if start + k > 0 and str(start + k) == s:
-                        put(("arabic", start + k), cost + 0.3, s, path)
+                if begins:
+                    put(("arabic", int(s)), cost + 0.3, s, path)
         states = dict(sorted(new.items(), key=lambda e: (e[1][0], e[0])))
     _, path = next(iter(states.values()))
     out = {}
