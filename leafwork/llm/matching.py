@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leafwork.llm.bktree import levenshtein
 from leafwork.llm.listing import plain
 from leafwork.llm.people import compatible, jaro_winkler
+from leafwork.operators.match import salted_join
 from leafwork.session import cut, small, spread
 
 _CUT_OFF = re.compile(r"(?:\(?\.{3}\)?|…|,)\s*$|\(\.\.\.\)")
@@ -62,6 +63,8 @@ def titles_agree(a: str, b: str) -> bool:
 
 #: Targets that are broadcast to the pairs, at most; more are joined by a shuffle.
 SENT = 200_000
+#: Records that may share a key before it is cut into parts.
+HOT_ROWS = 20_000
 _KEPT = ("title", "surname", "author", "given", "year")
 
 
@@ -74,19 +77,25 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield x[keep][["a", "b", "rules"]]
 
 
-def _judged(left: DataFrame, right: DataFrame) -> DataFrame:
+def _sides(right: DataFrame) -> DataFrame:
+    """What pairs are judged by of the targets' shapes, to be sent to the pairs if it is little."""
+    return small(cut(right.select(F.col("shape").alias("b"), *[F.col(c).alias(f"to_{c}") for c in _KEPT])), SENT)
+
+
+def _judged(left: DataFrame, right: DataFrame, theirs: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """a, b, rules: pairs of shapes that share a key and agree; rules are the bits of those whose key they share.
 
     Both sides have shape, keys (rule and hash of the key) and what pairs are
-    judged by. The join on keys carries numbers only; what is judged comes to
-    the pairs that are left, each once, however many keys it shares. A false
-    hit of two hashes is judged like any pair.
+    judged by. The join on keys carries shapes only, and a key of more than
+    ``hot_rows`` left rows is salted; what is judged comes to the pairs that are
+    left, each once, however many keys it shares. A false hit of two hashes is
+    judged like any pair.
     """
     side = lambda df: df.select("shape", F.explode("keys").alias("k")).select("shape", "k.rule", "k.key")
     a, b = side(left).withColumnRenamed("shape", "a"), side(right).withColumnRenamed("shape", "b")
-    pairs = a.join(b, ["rule", "key"]).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
-    theirs = cut(right.select(F.col("shape").alias("b"), *[F.col(c).alias(f"to_{c}") for c in _KEPT]))
-    pairs = pairs.join(small(theirs, SENT), "b").join(left.select(F.col("shape").alias("a"), *_KEPT), "a")
+    met = salted_join(a, b, ["rule", "key"], hot_rows) if hot_rows else a.join(b, ["rule", "key"])
+    pairs = met.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
+    pairs = pairs.join(theirs, "b").join(left.select(F.col("shape").alias("a"), *_KEPT), "a")
     kind = dict(left.dtypes)["shape"]
     return spread(pairs).mapInPandas(_agree, f"a {kind}, b {kind}, rules int")
 
@@ -113,10 +122,8 @@ def same_works(works: DataFrame) -> DataFrame:
     types = dict(works.dtypes)
     rows = works.select("id", *_KEPT).mapInPandas(_blocks, ", ".join(f"{c} {types[c]}" for c in ("id", *_KEPT)) + ", keys array<struct<rule int, key string>>")
     hashed = F.transform("keys", lambda k: F.struct(k["rule"].alias("rule"), F.xxhash64(k["key"]).alias("key")))
-    rows = cut(rows.withColumn("keys", hashed).withColumn("shape", F.monotonically_increasing_id()))
-    named = lambda c: rows.select(F.col("shape").alias(c), F.col("id").alias(f"id_{c}"))
-    pairs = _judged(rows, rows).where("a < b").join(named("a"), "a").join(named("b"), "b")
-    pairs = cut(pairs.select(F.least("id_a", "id_b").alias("id"), F.greatest("id_a", "id_b").alias("to")).where("id <> to").distinct())
+    rows = cut(rows.withColumn("keys", hashed).withColumn("shape", F.col("id").cast("string")))
+    pairs = cut(_judged(rows, rows, _sides(rows)).where("a < b").select(F.col("a").alias("id"), F.col("b").alias("to")))
     both = pairs.unionByName(pairs.select(F.col("to").alias("id"), F.col("id").alias("to"))).unionByName(works.select("id", F.col("id").alias("to")))
     near = both.groupBy("id").agg(F.array_sort(F.collect_set("to")).alias("near"))
     edges = near.select("id", "near", F.explode("near").alias("to")).join(near.select(F.col("id").alias("to"), F.col("near").alias("theirs")), "to")
@@ -156,12 +163,13 @@ def cascade_with_ties(records: DataFrame, targets: DataFrame, rules: list[Rule],
 
     todo, left = shaped(records, F.flatten(F.array(*[_of_rule(n, r.keys) for n, r in enumerate(rules)])))
     known, right = shaped(targets, F.flatten(F.array(*[_of_rule(n, r.theirs or r.keys) for n, r in enumerate(rules)])))
+    sent = _sides(right)
     found: list[DataFrame] = []
     ties = None
     for lo, hi in ((0, strong), (strong, len(rules))):
         within = lambda df: df.withColumn("keys", F.filter("keys", lambda k: k["rule"].between(lo, hi - 1))).where(F.size("keys") > 0)  # noqa: B023, E731
         open_ = left if lo == 0 else left.join(todo.select("shape").distinct(), "shape", "left_semi")
-        pairs = _judged(within(open_), within(right)).withColumnsRenamed({"a": "shape", "b": "other"})
+        pairs = _judged(within(open_), within(right), sent, HOT_ROWS).withColumnsRenamed({"a": "shape", "b": "other"})
         met = pairs.join(todo, "shape").join(known.select(F.col("id").alias("to"), F.col("shape").alias("other")), "other")
         met = met.select("id", "to", F.explode(F.array(*[F.when(F.col("rules").bitwiseAND(1 << n) != 0, F.lit(n)) for n in range(lo, hi)])).alias("step")).where("step IS NOT NULL")
         sole = cut(met.groupBy("id", "step").agg(F.min("to").alias("to"), (F.min("to") == F.max("to")).alias("one")))

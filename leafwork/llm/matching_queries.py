@@ -98,8 +98,8 @@ def _works(rows: DataFrame) -> DataFrame:
     return out.withColumn("id", F.concat_ws("|", "letters", "author"))
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """rec_id, lib_id and confidence; side and id of the rows that every rule ties."""
+def _matched(spark: SparkSession, sf_dir: str, with_confidence: bool = False) -> tuple[DataFrame, DataFrame]:
+    """rec_id, lib_id and, if wanted, confidence; side and id of the rows that every rule ties."""
     t = lambda n: table(spark, sf_dir, n)
     text = lambda c: F.col(c).cast("string").alias("id")
     cited = t("citations").select(text("rec_id"), "definition", F.col("bibliography.author").alias("author"), F.col("bibliography.title").alias("title"), "confidence")
@@ -132,20 +132,24 @@ def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     new = rest.select("id", F.concat_ws("|", "letters", "author").alias("spelling")).join(same.select(F.col("id").alias("spelling"), F.col("work").alias("to")), "spelling")
     new = new.select("id", "to").distinct().withColumns({"rule": F.lit("own title"), "step": F.lit(0)})
     spellings = known.unionByName(own)
-    said = [F.mode(c, True).alias(c) for c in ("pages", "place", "publisher")]
-    works = known.select("id", "pages", "place", "publisher").unionByName(own.groupBy("id").agg(*said))
     ours_found = cut(ours_found.unionByName(new))
     theirs_found, theirs_tied = cascade_with_ties(theirs, spellings, rules)
     theirs_found = cut(theirs_found)
+    tied = ours_tied.withColumn("side", F.lit("record")).unionByName(theirs_tied.withColumn("side", F.lit("card")))
+    ids = [F.col("rec").cast("long").alias("rec_id"), F.col("lib").cast("long").alias("lib_id")]
+    if not with_confidence:
+        a, b = ours_found.select(F.col("id").alias("rec"), "to"), theirs_found.select(F.col("id").alias("lib"), "to")
+        return salted_join(a, b, ["to"]).select(*ids).distinct(), tied
 
+    said = [F.mode(c, True).alias(c) for c in ("pages", "place", "publisher")]
+    works = known.select("id", "pages", "place", "publisher").unionByName(own.groupBy("id").agg(*said))
     graded = ours.join(grades, "id", "left")
     plus = [*rules, Rule("own title", (), ("pages", "place", "publisher"))]
     ours_right = rule_precision(ours_found, graded, works, plus, "grade")
     theirs_right = rule_precision(theirs_found, theirs.withColumn("grade", F.lit("")), works, rules, "grade")
     a = ours_found.join(grades.select("id", F.coalesce("grade", F.lit("")).alias("grade")), "id").join(ours_right, ["rule", "grade"]).select(F.col("id").alias("rec"), "to", F.col("precision").alias("p"))
     b = theirs_found.join(theirs_right.drop("grade"), "rule").select(F.col("id").alias("lib"), "to", F.col("precision").alias("q"))
-    pairs = salted_join(cut(a), b, ["to"]).groupBy(F.col("rec").cast("long").alias("rec_id"), F.col("lib").cast("long").alias("lib_id"))
-    tied = ours_tied.withColumn("side", F.lit("record")).unionByName(theirs_tied.withColumn("side", F.lit("card")))
+    pairs = salted_join(cut(a), b, ["to"]).groupBy(*ids)
     return pairs.agg(F.round(F.max(F.col("p") * F.col("q")), 4).alias("confidence")), tied
 
 
@@ -154,7 +158,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spark, sf_dir)[0]
+    return _matched(spark, sf_dir, with_confidence=True)[0]
 
 
 def p5_ties(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,14 +110,16 @@ def turned_names(rows: DataFrame) -> DataFrame:
     corpus; what stands more often as the reading has it decides, and the first
     reading is kept on a tie. The counts are joined to the different open names.
     """
+    whole = "given <> '' AND NOT given LIKE '%.'"
+    said = lambda df, role, word: df.select(F.lit(role).alias("role"), F.col(word).alias("word"))
     sure = rows.where("other_surname IS NULL")
-    as_given = sure.where("given <> '' AND NOT given LIKE '%.'").groupBy("given").agg(F.count(F.lit(1)).alias("n"))
-    as_surname = sure.groupBy("surname").agg(F.count(F.lit(1)).alias("n"))
-    open_ = rows.where("other_surname IS NOT NULL").select("surname", "given", "other_surname", "other_given").distinct()
-    for c, counts in (("given", as_given), ("other_given", as_given), ("surname", as_surname), ("other_surname", as_surname)):
-        open_ = open_.join(counts.toDF(c, f"n_{c}"), c, "left")
-    zero = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0))
-    return open_.where(zero("other_given") + zero("other_surname") > zero("given") + zero("surname")).select("surname", "given", "other_surname", "other_given", F.lit(True).alias("turned"))
+    counts = said(sure.where(whole), "given", "given").union(said(sure, "surname", "surname")).groupBy("role", "word").agg(F.count(F.lit(1)).alias("n"))
+    names = ["surname", "given", "other_surname", "other_given"]
+    open_ = rows.where("other_surname IS NOT NULL").select(*names).distinct()
+    vote = lambda role, word, sign: F.struct(F.lit(role).alias("role"), F.col(word).alias("word"), F.lit(sign).alias("sign"))
+    votes = F.array(vote("given", "given", -1), vote("surname", "surname", -1), vote("given", "other_given", 1), vote("surname", "other_surname", 1))
+    votes = open_.select(*names, F.explode(votes).alias("v")).select(*names, "v.*")
+    return votes.join(counts, ["role", "word"]).groupBy(*names).agg(F.sum(F.col("sign") * F.col("n")).alias("more")).where("more > 0").select(*names, F.lit(True).alias("turned"))
 
 
 def settled(rows: DataFrame, turned: DataFrame | None = None) -> DataFrame:

@@ -99,7 +99,8 @@ def lines_of(body: str | None, heads: frozenset[str], expected: str) -> list[Lin
     if not body:
         return []
     raws = body.split("\n")
-    texts = [canonical(x).rstrip() for x in raws]
+    whole = canonical(body).split("\n")  # at once, unless that joins or parts lines
+    texts = [x.rstrip() for x in (whole if len(whole) == len(raws) else map(canonical, raws))]
     filled = [i for i, t in enumerate(texts) if t.strip()]
     rank = {i: k for k, i in enumerate(filled)}
     out, verse, note = [], False, False
