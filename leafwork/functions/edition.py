@@ -9,7 +9,7 @@ from leafwork.functions.rules import Rules, first_of, replaced
 from leafwork.functions.text import deaccent, short_title
 
 NNBSP = " "
-# Capital and small letters of names, particles, words that make no acronym, abbreviations that are no sigla, aliases of sigla.
+# Fixed values, here and below: the patterns of the texts' format, letters of names, particles, words that make no acronym, abbreviations that are no sigla, aliases.
 CAP, LOW = "[A-ZÀ-ÖØ-Þ]", "[a-zà-öø-ÿ]"
 GIVEN = rf"(?:{CAP}(?:{LOW}+|\.)\s+|{CAP}\.-?{CAP}?\.?\s+)*"
 SURNAME = rf"{CAP}{CAP}[A-ZÀ-ÖØ-Þ'’.\-]+"
@@ -21,7 +21,6 @@ LEAD = r"(?i)^(?:voir\s+aussi\s+|voir\s+|cfr\.?\s+|cf\.\s+|e\.a\.\s+|dans\s+|che
 ACRONYM_STOP = ("fur", "de", "des", "du", "della", "and", "the", "et", "zur", "im", "in", "a", "la", "le", "les", "of", "dei", "del")
 SIGLUM_STOP = ("C.R.", "N.B.", "P.S.", "N.D.", "N.D.L.R.")
 ALIASES = {"LPD": "PDL"}
-PARTICLES = ("de", "di", "del", "della", "van", "von", "le", "la", "du", "des", "i", "y")
 
 TYPOGRAPHY: Rules = (
     (r"\[\^(\d+)\^\]", r"[^\1]"), (r"([^\s\p{Lu}]) - (\S)", r"\1 — \2"), (r"(\p{Lu}) - ([^\s\p{Lu}])", r"\1 — \2"),

@@ -97,18 +97,6 @@ def _fold(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _FOLDED.split(", ")]).astype({"target_seq": "Int64"})
 
 
-def note_decision(kind: Column, aligned: Column, locators: Column, works: Column) -> Column:
-    """What is written for a reference back: an explicit short title, ``ibid.`` with a locator, or a flag for a reader."""
-    return (
-        F.when(~aligned, "flag: counts differ")
-        .when((kind == "bare") & (locators == 1), "ibid. with locator")
-        .when(kind == "bare", "flag: no single locator")
-        .when(works == 0, "flag: unresolved")
-        .when(works == 1, "short title")
-        .otherwise("flag: several works")
-    )
-
-
 def flags(*parts: DataFrame) -> DataFrame:
     """stage, category, key, detail of several reports in one."""
     out = parts[0]

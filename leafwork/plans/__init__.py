@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from leafwork.plans import citing, events, index, layout, pages, records, references, verses
+from leafwork.plans import citing, events, forms, index, layout, pages, records, references, verses
 
-_PARTS = (references, pages, layout, records, citing, verses, index, events)
+_PARTS = (references, pages, layout, records, citing, verses, forms, index, events)
 
 
 def all_queries() -> dict:

@@ -10,6 +10,7 @@ from leafwork.functions.edition import (
 )
 from leafwork.functions.rules import quoted, replaced, spots, sql_replaced, sql_spots
 from leafwork.functions.text import fold_key, short_title
+from leafwork.operators.apparatus import ascii_key
 from leafwork.operators.match import best
 from leafwork.operators.ordered import carry_forward, running_distinct
 from leafwork.plans.layout import _BLOCKS, SQL_PLACE, blocks, placed
@@ -245,11 +246,11 @@ def resolved_entries(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "citations").where("definition IS NOT NULL").groupBy("vol", "rec_id").agg(F.min("definition").alias("text"))
     number = lambda c: F.try_to_number(F.nullif(c, F.lit("")), F.lit("9999999")).cast("int")
     first_page = F.coalesce(number(F.regexp_extract("text", NUMERAL, 2)), number(F.regexp_extract("text", r",\s*p?\.?\s*(\d+)", 1)))
-    r = r.select("vol", "rec_id", fold_key(F.regexp_extract("text", LEADING, 1)).alias("lead"), F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[A-ZÀ-Þ][A-ZÀ-Þ'\-]{2,}"), F.lit(0)), lambda s: fold_key(s))).alias("names"), F.nullif(F.regexp_extract("text", NUMERAL, 1), F.lit("")).alias("volume"), first_page.alias("page"), match_title(F.regexp_extract("text", r"(\*[^*]+\*)", 1)).alias("ref"))
+    r = r.select("vol", "rec_id", ascii_key(F.regexp_extract("text", LEADING, 1)).alias("lead"), F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[A-ZÀ-Þ][A-ZÀ-Þ'\-]{2,}"), F.lit(0)), lambda s: fold_key(s))).alias("names"), F.nullif(F.regexp_extract("text", NUMERAL, 1), F.lit("")).alias("volume"), first_page.alias("page"), match_title(F.regexp_extract("text", r"(\*[^*]+\*)", 1)).alias("ref"))
     e = table(spark, d, "bibliography_entry")
     field = F.regexp_extract(F.coalesce("author", F.lit("")), "^([^,]*)", 1)
     keys = F.array_distinct(F.array(fold_key(field), fold_key(F.regexp_extract(field, r"([^ ]+)\s*$", 1))))
-    e = cut(e.select("vol", "entry_id", F.col("text").alias("entry"), fold_key(F.coalesce("siglum", F.lit(""))).alias("siglum"), keys.alias("keys"), match_title(F.col("text")).alias("title"), cited_points(F.col("text")).alias("points")))
+    e = cut(e.select("vol", "entry_id", F.col("text").alias("entry"), ascii_key(F.coalesce("siglum", F.lit(""))).alias("siglum"), keys.alias("keys"), match_title(F.col("text")).alias("title"), cited_points(F.col("text")).alias("points")))
     tagged = e.where("siglum <> ''").groupBy("vol", F.col("siglum").alias("lead")).agg(F.min("entry_id").alias("entry_id"))
     by_siglum = r.where("lead <> ''").join(tagged, ["vol", "lead"]).select("rec_id", "entry_id", F.lit(9).alias("score"))
     left = r.join(by_siglum.select("rec_id"), "rec_id", "left_anti")
@@ -348,6 +349,10 @@ def _sql_entry_title(text: str) -> str:
     return f"trim(coalesce(nullif(regexp_extract({text}, '''([^'']{{4,}})''', 1), ''), regexp_extract({text}, '\\*([^*]+)\\*', 1)))"
 
 
+def _sql_ascii(text: str) -> str:
+    return f"upper(regexp_replace(replace(translate({text}, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'), '0', 'O'), '[^A-Za-z]', '', 'g'))"
+
+
 def _sql_match(text: str) -> str:
     found = f"""coalesce(nullif(regexp_extract({text}, '\\*([^*]+)\\*', 1), ''), regexp_extract({text}, '["“'']([^"”'']{{5,}})["”'']', 1))"""
     return f"regexp_replace(lower(translate({found}, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '^[ .]+|[ .]+$', '', 'g')"
@@ -363,9 +368,9 @@ _CLEAN = "regexp_replace(regexp_replace(regexp_replace(title, '^[\\s*]+|[\\s*]+$
 _ALLTEXT = "concat_ws(' ', text, array_to_string(list_transform(reviews, lambda r: r.text), ' '))"
 _SHAPE = "length(s) <= 9 AND NOT contains(s, ' ') AND regexp_matches(s, '^\\p{Lu}') AND ((upper(s) = s AND regexp_matches(s, '\\p{L}')) OR contains(s, '.') OR regexp_matches(s, '^[A-Z][A-Za-z]{0,3}\\.?(-[A-Z]\\.?)?$'))"
 _RESOLVED = f"""WITH r0 AS (SELECT vol, rec_id, min(definition) AS text FROM citations WHERE definition IS NOT NULL GROUP BY 1, 2),
-  r AS MATERIALIZED (SELECT vol, rec_id, {_FOLD.format(f"regexp_extract(text, {quoted(LEADING)}, 1)")} AS lead, list_distinct(list_transform(regexp_extract_all(text, '[A-ZÀ-Þ][A-ZÀ-Þ''\\-]{{2,}}'), lambda s: {_FOLD.format("s")})) AS names, nullif(regexp_extract(text, {quoted(NUMERAL)}, 1), '') AS volume,
+  r AS MATERIALIZED (SELECT vol, rec_id, {_sql_ascii(f"regexp_extract(text, {quoted(LEADING)}, 1)")} AS lead, list_distinct(list_transform(regexp_extract_all(text, '[A-ZÀ-Þ][A-ZÀ-Þ''\\-]{{2,}}'), lambda s: {_FOLD.format("s")})) AS names, nullif(regexp_extract(text, {quoted(NUMERAL)}, 1), '') AS volume,
     coalesce(TRY_CAST(nullif(regexp_extract(text, {quoted(NUMERAL)}, 2), '') AS INTEGER), TRY_CAST(nullif(regexp_extract(text, ',\\s*p?\\.?\\s*(\\d+)', 1), '') AS INTEGER)) AS page, {_sql_match("regexp_extract(text, '(\\*[^*]+\\*)', 1)")} AS ref FROM r0),
-  e AS MATERIALIZED (SELECT vol, entry_id, text AS entry, {_FOLD.format("coalesce(siglum, '')")} AS siglum, list_distinct([{_FOLD.format("regexp_extract(coalesce(author, ''), '^([^,]*)', 1)")}, {_FOLD.format("regexp_extract(regexp_extract(coalesce(author, ''), '^([^,]*)', 1), '([^ ]+)\\s*$', 1)")}]) AS keys, {_sql_match("text")} AS title, {_sql_points("text")} AS points FROM bibliography_entry),
+  e AS MATERIALIZED (SELECT vol, entry_id, text AS entry, {_sql_ascii("coalesce(siglum, '')")} AS siglum, list_distinct([{_FOLD.format("regexp_extract(coalesce(author, ''), '^([^,]*)', 1)")}, {_FOLD.format("regexp_extract(regexp_extract(coalesce(author, ''), '^([^,]*)', 1), '([^ ]+)\\s*$', 1)")}]) AS keys, {_sql_match("text")} AS title, {_sql_points("text")} AS points FROM bibliography_entry),
   g AS (SELECT rec_id, min(entry_id) AS entry_id, 9 AS score FROM r JOIN e ON r.vol = e.vol AND r.lead = e.siglum WHERE lead <> '' GROUP BY 1),
   k AS (SELECT vol, entry_id, title, points, unnest(keys) AS key FROM e), o AS (SELECT *, count(*) OVER (PARTITION BY vol, key) = 1 AS sole FROM k WHERE key <> ''),
   p AS (SELECT rec_id, entry_id, ref, title, volume, page, points, sole FROM (SELECT *, unnest(names) AS key FROM r WHERE rec_id NOT IN (SELECT rec_id FROM g)) l JOIN o ON l.vol = o.vol AND l.key = o.key),

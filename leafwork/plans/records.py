@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.functions.edition import is_siglum
-from leafwork.functions.text import acronym, balanced_quotes, fold_key, from_roman, replace_nth, short_title, split_top, squeeze, strip_marks, surname_key, to_roman, unique_locator, upper_share
+from leafwork.functions.edition import ACRONYM_STOP, is_siglum
+from leafwork.functions.text import acronym, balanced_quotes, deaccent, fold_key, from_roman, replace_nth, short_title, split_top, squeeze, strip_marks, surname_key, to_roman, unique_locator, upper_share
 from leafwork.operators.apparatus import flags, link_to_entries
 from leafwork.operators.match import best, cascade_lookup, first_wins, prefixes_agree, shared_letters, upsert_curated
 from leafwork.operators.ordered import headings_cursor, running_distinct, shared_rank, suffix_repeats
@@ -19,7 +19,7 @@ def title_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def title_acronyms(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "siglum_list").select("siglum", "title", acronym(F.col("title")).alias("acronym"))
+    t = table(spark, d, "siglum_list").select("siglum", "title", acronym(deaccent(F.col("title")), ACRONYM_STOP).alias("acronym"))
     return t.select("siglum", "acronym", is_siglum(F.col("siglum")).alias("plausible"), prefixes_agree(F.upper(F.regexp_replace("siglum", "[^A-Za-z]", "")), F.col("acronym")).alias("agrees"))
 
 
@@ -203,7 +203,7 @@ SQL = {
     "title_keys": f"""WITH h AS (SELECT *, trim(regexp_extract(regexp_replace(title, '[*_«»]', '', 'g'), '^([^,(]*)', 1)) AS head FROM bibliography_entry), c AS (SELECT *, regexp_extract(substr(head, 1, 38), '^(.*) [^ ]*$', 1) AS cut FROM h)
       SELECT entry_id, {_FOLD.format("title")} AS key, CASE WHEN length(head) <= 38 THEN head WHEN cut = '' THEN substr(head, 1, 38) || '…' ELSE cut || '…' END AS short,
       CASE WHEN len(regexp_extract_all(regexp_extract(text, '^(?:- )?([^,]*)', 1), '\\p{{L}}')) > 0 THEN round(len(regexp_extract_all(regexp_extract(text, '^(?:- )?([^,]*)', 1), '\\p{{Lu}}')) / len(regexp_extract_all(regexp_extract(text, '^(?:- )?([^,]*)', 1), '\\p{{L}}')), 4) END AS capitals, (length(text) - length(replace(text, '*', ''))) % 2 = 0 AS balanced FROM c""",
-    "title_acronyms": """WITH a AS (SELECT siglum, upper(array_to_string(list_transform(list_filter(string_split(regexp_replace(title, '[^\\p{L}]+', ' ', 'g'), ' '), lambda w: w <> '' AND lower(w) NOT IN ('de','des','du','la','le','les','et','d','l')), lambda w: substr(w, 1, 1)), '')) AS acronym, upper(regexp_replace(siglum, '[^A-Za-z]', '', 'g')) AS k FROM siglum_list)
+    "title_acronyms": """WITH a AS (SELECT siglum, upper(array_to_string(list_transform(list_filter(string_split(regexp_replace(translate(title, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'), '[^\\p{L}]+', ' ', 'g'), ' '), lambda w: w <> '' AND lower(w) NOT IN ('fur','de','des','du','della','and','the','et','zur','im','in','a','la','le','les','of','dei','del')), lambda w: substr(w, 1, 1)), '')) AS acronym, upper(regexp_replace(siglum, '[^A-Za-z]', '', 'g')) AS k FROM siglum_list)
       SELECT siglum, acronym, length(siglum) <= 9 AND NOT contains(siglum, ' ') AND regexp_matches(siglum, '^\\p{Lu}') AND (upper(siglum) = siglum OR contains(siglum, '.') OR regexp_matches(siglum, '^[A-Z][A-Za-z]{0,3}\\.?(-[A-Z]\\.?)?$')) AND siglum NOT IN ('C.R.', 'N.B.', 'P.S.', 'N.D.', 'N.D.L.R.') AS plausible, least(length(k), length(acronym)) >= 2 AND substr(k, 1, least(length(k), length(acronym))) = substr(acronym, 1, least(length(k), length(acronym))) AS agrees FROM a""",
     "plain_entries": f"""SELECT entry_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^- ', ''), '\\[\\^[^\\]]*\\]:?|\\{{[^}}]*\\}}', '', 'g'), '[*_\\[\\]]', '', 'g'), '\\s+', ' ', 'g')) AS plain,
       len(string_split(regexp_replace(text, '\\([^)]*\\)', '', 'g'), ',')) AS parts, {_FOLD.format("coalesce(nullif(regexp_extract(coalesce(author, ''), '(\\p{Lu}{3,})', 1), ''), regexp_extract(coalesce(author, ''), '([^ ,]+)[^ ]*$', 1))")} AS surname FROM bibliography_entry""",

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from leafwork.plans.stages import Stage, rebuild, status
+from leafwork.plans.stages import Stage, in_order, rebuild, status
 from leafwork.sources import pages, sinks
 from leafwork.streaming.arrivals import drain, page_stream, words_per_day
 
@@ -83,3 +83,10 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     row(21, "quatre").write.mode("append").parquet(src)
     drain(words_per_day(page_stream(spark, src)), out, cp)
     assert (1, 2) in {(r.pages, r.words) for r in spark.read.parquet(out).collect()}
+
+
+def test_stages_in_order():
+    a, b, c = (Stage(n, lambda: None, (f"{n}.out",), given) for n, given in (("a", ("b.out", "x")), ("b", ()), ("c", ("a.out", "b.out"))))
+    assert [s.name for s in in_order([c, a, b])] == ["b", "a", "c"] and in_order([]) == []
+    with pytest.raises(ValueError, match="a, d"):
+        in_order([Stage("a", lambda: None, ("a.out",), ("d.out",)), Stage("d", lambda: None, ("d.out",), ("a.out",))])
