@@ -64,8 +64,8 @@ def note_events(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d, notes(spark, d)).select("doc", "note", F.col("at").cast("long").alias("at"), "kind", "author", "title")
 
 
-def linked(spark: SparkSession, d: str) -> DataFrame:
-    """Every reference back with what it means and how that was found.
+def linked(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """Every reference back of the notes ``rows`` with what it means and how that was found.
 
     A named one means the author's last work cited in full before, else the
     first of the author in the volume's bibliography, else the last note before
@@ -73,7 +73,6 @@ def linked(spark: SparkSession, d: str) -> DataFrame:
     a named reference resolved in the notes renews. ``Id.`` bears the author of
     the last full citation.
     """
-    rows = cut(notes(spark, d))
     e = events(spark, d, rows)
     order = ["note", "at", "kind"]
     same = F.lower(F.coalesce("author", F.lit(""))).isin("id.")
@@ -107,7 +106,7 @@ def linked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_links(spark: SparkSession, d: str) -> DataFrame:
-    return linked(spark, d).select("doc", "note", F.col("at").cast("long").alias("at"), "kind", "author", "source", "target_note", "target_title", "confidence")
+    return linked(spark, d, cut(notes(spark, d))).select("doc", "note", F.col("at").cast("long").alias("at"), "kind", "author", "source", "target_note", "target_title", "confidence")
 
 
 def note_choices(spark: SparkSession, d: str) -> DataFrame:
@@ -117,14 +116,15 @@ def note_choices(spark: SparkSession, d: str) -> DataFrame:
     there are not as many, none is. An ibid. gets the page of its antecedent if
     that gives one only.
     """
-    links = cut(linked(spark, d))
+    text = cut(notes(spark, d))
+    links = cut(linked(spark, d, text))
     refs = links.where("confidence <> 'unresolved'").withColumn("place", F.row_number().over(Window.partitionBy("doc", "note").orderBy("at", "kind")))
-    rows = notes(spark, d).select("doc", "note", "text", F.posexplode(spots(F.col("text"), PHRASE)).alias("place", "m")).withColumn("place", F.col("place") + 1)
+    rows = text.select("doc", "note", "text", F.posexplode(spots(F.col("text"), PHRASE)).alias("place", "m")).withColumn("place", F.col("place") + 1)
     in_note = Window.partitionBy("doc", "note")
     counts = refs.groupBy("doc", "note").agg(F.count(F.lit(1)).alias("refs"))
     rows = rows.withColumn("phrases", F.count(F.lit(1)).over(in_note)).join(counts, ["doc", "note"], "left").join(refs.drop("at", "vol"), ["doc", "note", "place"], "left")
     pages = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(LOCATOR), F.lit(1)), lambda p: F.regexp_replace(p, r"\s+", "")))
-    antecedent = notes(spark, d).select("doc", F.col("note").alias("target_note"), F.when(F.size(pages) == 1, pages[0]).alias("page"))
+    antecedent = text.select("doc", F.col("note").alias("target_note"), F.when(F.size(pages) == 1, pages[0]).alias("page"))
     rows = rows.join(antecedent, ["doc", "target_note"], "left")
     before = F.substr("text", F.greatest(F.col("m.at") - 39, F.lit(1)), F.least(F.col("m.at"), F.lit(40)))
     after = F.substr("text", F.col("m.at") + F.length("m.found") + 1, F.lit(24))
