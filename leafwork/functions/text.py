@@ -27,7 +27,7 @@ def squeeze(text: Column) -> Column:
 
 def short_title(text: Column, most: int = 38) -> Column:
     """Emphasis dropped, cut at the first comma or parenthesis, then at a word so that ``most`` letters suffice, with an ellipsis."""
-    head = F.trim(F.regexp_extract(F.regexp_replace(text, r"[*_«»]", ""), r"^([^,(]*)", 1))
+    head = F.regexp_replace(F.regexp_extract(F.regexp_replace(text, r"[*_«»]", ""), r"^([^,(]*)", 1), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     cut = F.regexp_extract(F.substring(head, 1, most), r"^(.*) [^ ]*$", 1)
     return F.when(F.length(head) <= most, head).otherwise(F.concat(F.when(cut == "", F.substring(head, 1, most)).otherwise(cut), F.lit("…")))
 

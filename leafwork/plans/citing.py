@@ -316,7 +316,7 @@ _LINKS = f"""WITH n AS MATERIALIZED ({_NOTES}), e0 AS MATERIALIZED ({_EVENTS.rep
 
 
 def _sql_short(title: str) -> str:
-    head = f"trim(regexp_extract(regexp_replace({title}, '[*_«»]', '', 'g'), '^([^,(]*)', 1))"
+    head = f"regexp_replace(regexp_extract(regexp_replace({title}, '[*_«»]', '', 'g'), '^([^,(]*)', 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
     end = f"regexp_extract(substr({head}, 1, 38), '^(.*) [^ ]*$', 1)"
     return f"CASE WHEN length({head}) <= 38 THEN {head} WHEN {end} = '' THEN substr({head}, 1, 38) || '…' ELSE {end} || '…' END"
 
