@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from leafwork.llm.bktree import levenshtein
 from leafwork.llm.listing import plain
 from leafwork.llm.people import compatible, jaro_winkler
-from leafwork.operators.match import salted_join
-from leafwork.session import cut, small, spread
+from leafwork.session import cut, forget, scratch, small
 
 _CUT_OFF = re.compile(r"(?:\(?\.{3}\)?|…|,)\s*$|\(\.\.\.\)")
 
@@ -77,27 +76,30 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield x[keep][["a", "b", "rules"]]
 
 
-def _sides(right: DataFrame) -> DataFrame:
-    """What pairs are judged by of the targets' shapes, to be sent to the pairs if it is little."""
-    return small(cut(right.select(F.col("shape").alias("b"), *[F.col(c).alias(f"to_{c}") for c in _KEPT])), SENT)
+def _met(a: DataFrame, b: DataFrame, hot_rows: int) -> DataFrame:
+    """a, b, rules: shapes that share a key, each pair once, with the bits of all the keys it shares, which ``a`` has. A key of more than ``hot_rows`` rows of ``a`` is cut into parts, each with all its rows of ``b``."""
+    hot = cut(a.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / hot_rows).cast("int").alias("salts")).where("salts > 1"))
+    on = ["key"]
+    if not hot.isEmpty():
+        # So few that they are sent: the rows cross no more often than they do without hot keys.
+        hot, on, one = small(hot, SENT), ["key", "salt"], F.coalesce("salts", F.lit(1))
+        a = a.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("a"), one).cast("int")).drop("salts")
+        b = b.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("salts")
+    return a.join(b, on).groupBy("a", "b").agg(F.bit_or("bit").alias("rules"))
 
 
-def _judged(left: DataFrame, right: DataFrame, theirs: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """a, b, rules: pairs of shapes that share a key and agree; rules are the bits of those whose key they share.
+def _agreed(pairs: DataFrame, left: DataFrame, right: DataFrame, rules: Column | None = None, parts: tuple[str, ...] = ()) -> DataFrame:
+    """a, b, rules: pairs of shapes that agree; ``rules`` reads those that met by and ``parts``, of targets as to_ those.
 
-    Both sides have shape, keys (rule and hash of the key) and what pairs are
-    judged by. The join on keys carries shapes only, and a key of more than
-    ``hot_rows`` left rows is salted; what is judged comes to the pairs that are
-    left, each once, however many keys it shares. A false hit of two hashes is
-    judged like any pair.
+    What pairs are judged by comes to them from the targets first, which are sent
+    if they are few, then from the records, and they are judged where they stand then.
     """
-    side = lambda df: df.select("shape", F.explode("keys").alias("k")).select("shape", "k.rule", "k.key")
-    a, b = side(left).withColumnRenamed("shape", "a"), side(right).withColumnRenamed("shape", "b")
-    met = salted_join(a, b, ["rule", "key"], hot_rows) if hot_rows else a.join(b, ["rule", "key"])
-    pairs = met.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
-    pairs = pairs.join(theirs, "b").join(left.select(F.col("shape").alias("a"), *_KEPT), "a")
+    theirs = right.select(F.col("shape").alias("b"), *[F.col(c).alias(f"to_{c}") for c in (*_KEPT, *parts)])
+    both = pairs.join(small(theirs, SENT), "b").join(left.select(F.col("shape").alias("a"), *_KEPT, *parts), "a")
+    if rules is not None:
+        both = both.withColumn("rules", rules).drop(*parts, *[f"to_{c}" for c in parts])
     kind = dict(left.dtypes)["shape"]
-    return spread(pairs).mapInPandas(_agree, f"a {kind}, b {kind}, rules int")
+    return both.mapInPandas(_agree, f"a {kind}, b {kind}, rules int")
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,9 +123,12 @@ def same_works(works: DataFrame) -> DataFrame:
     """
     types = dict(works.dtypes)
     rows = works.select("id", *_KEPT).mapInPandas(_blocks, ", ".join(f"{c} {types[c]}" for c in ("id", *_KEPT)) + ", keys array<struct<rule int, key string>>")
-    hashed = F.transform("keys", lambda k: F.struct(k["rule"].alias("rule"), F.xxhash64(k["key"]).alias("key")))
-    rows = cut(rows.withColumn("keys", hashed).withColumn("shape", F.col("id").cast("string")))
-    pairs = cut(_judged(rows, rows, _sides(rows)).where("a < b").select(F.col("a").alias("id"), F.col("b").alias("to")))
+    hashed = F.transform("keys", lambda k: F.xxhash64(k["rule"], k["key"]))
+    with scratch() as keep:
+        rows = keep(rows.withColumn("keys", hashed).withColumn("shape", F.col("id").cast("string")))
+        side = lambda name: rows.select(F.col("shape").alias(name), F.explode("keys").alias("key"))
+        near = keep(_met(side("a").withColumn("bit", F.lit(0)), side("b"), HOT_ROWS).where("a < b"))
+        pairs = cut(_agreed(near, rows, rows).select(F.col("a").alias("id"), F.col("b").alias("to")))
     both = pairs.unionByName(pairs.select(F.col("to").alias("id"), F.col("id").alias("to"))).unionByName(works.select("id", F.col("id").alias("to")))
     near = both.groupBy("id").agg(F.array_sort(F.collect_set("to")).alias("near"))
     edges = near.select("id", "near", F.explode("near").alias("to")).join(near.select(F.col("id").alias("to"), F.col("near").alias("theirs")), "to")
@@ -135,7 +140,7 @@ def cascade(records: DataFrame, targets: DataFrame, rules: list[Rule], strong: i
     return cascade_with_ties(records, targets, rules, strong)[0]
 
 
-def cascade_with_ties(records: DataFrame, targets: DataFrame, rules: list[Rule], strong: int = 3) -> tuple[DataFrame, DataFrame]:
+def cascade_with_ties(records: DataFrame, targets: DataFrame, rules: list[Rule], strong: int = 3, keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame]:
     """(id, to, rule, step; id of records that only ties are left of).
 
     Both sides have id, author, surname, given, title and year, and what the
@@ -152,50 +157,82 @@ def cascade_with_ties(records: DataFrame, targets: DataFrame, rules: list[Rule],
     by an anti-join, then the others are. Within such a pass the rules find
     their pairs together: of each record the first rule with one target counts,
     which is what anti-joins between them would leave. Records and targets that
-    look alike are judged once.
+    look alike are judged once. Pairs are joined as two hashes, what they are
+    judged by comes to those that met. Answers are written by ``keep``, all else
+    is deleted.
     """
-    def shaped(df: DataFrame, keys: Column) -> tuple[DataFrame, DataFrame]:
-        """(id and shape; the shapes): rows that look alike, keys included, are one shape."""
-        rows = df.select("id", *_KEPT, F.filter(keys, lambda k: k["key"].isNotNull()).alias("keys"))
-        parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in _KEPT]
-        rows = cut(rows.withColumn("shape", F.unhex(F.md5(F.concat_ws("\x1f", *parts, F.xxhash64("keys").cast("string"))))))
-        return rows.select("id", "shape"), cut(rows.select("shape", *_KEPT, "keys").dropDuplicates(["shape"]))
-
-    todo, left = shaped(records, F.flatten(F.array(*[_of_rule(n, r.keys) for n, r in enumerate(rules)])))
-    known, right = shaped(targets, F.flatten(F.array(*[_of_rule(n, r.theirs or r.keys) for n, r in enumerate(rules)])))
-    sent = _sides(right)
-    found: list[DataFrame] = []
-    ties = None
-    for lo, hi in ((0, strong), (strong, len(rules))):
-        within = lambda df: df.withColumn("keys", F.filter("keys", lambda k: k["rule"].between(lo, hi - 1))).where(F.size("keys") > 0)  # noqa: B023, E731
-        open_ = left if lo == 0 else left.join(todo.select("shape").distinct(), "shape", "left_semi")
-        pairs = _judged(within(open_), within(right), sent, HOT_ROWS).withColumnsRenamed({"a": "shape", "b": "other"})
-        met = pairs.join(todo, "shape").join(known.select(F.col("id").alias("to"), F.col("shape").alias("other")), "other")
-        met = met.select("id", "to", F.explode(F.array(*[F.when(F.col("rules").bitwiseAND(1 << n) != 0, F.lit(n)) for n in range(lo, hi)])).alias("step")).where("step IS NOT NULL")
-        sole = cut(met.groupBy("id", "step").agg(F.min("to").alias("to"), (F.min("to") == F.max("to")).alias("one")))
-        one = sole.where("one").groupBy("id").agg(F.min_by("to", "step").alias("to"), F.min("step").alias("step"))
-        one = cut(one.withColumn("rule", F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("step") + 1)))
-        found.append(one.select("id", "to", "rule", "step"))
-        tied = sole.where("NOT one").select("id")
-        ties = tied if ties is None else ties.union(tied)
-        todo = cut(todo.join(one.select("id"), "id", "left_anti")) if hi < len(rules) else todo
-    matched = reduce(DataFrame.unionByName, found)
-    return matched, ties.distinct().join(matched.select("id"), "id", "left_anti")
-
-
-def _of_rule(number: int, parts: tuple[Column, ...]) -> Column:
-    """Hashes of a rule's keys of a row, with its number; none if a part is null."""
-    tagged = F.transform(F.array_distinct(_keys(parts)), lambda k: F.struct(F.lit(number).alias("rule"), F.when(k.isNotNull(), F.xxhash64(k)).alias("key")))
-    return F.coalesce(tagged, F.array().cast("array<struct<rule:int,key:bigint>>"))
-
-
-def _keys(parts: tuple[Column, ...]) -> Column:
-    """Every combination of the values of the parts, each an array."""
-    return reduce(_combined, parts, F.array(F.lit("")))
-
-
-def _combined(begun: Column, part: Column) -> Column:
-    return F.flatten(F.transform(begun, lambda o: F.transform(part, lambda v: F.concat(o, F.lit("|"), v.cast("string")))))
+    parts, of = _parts(rules)
+    hashes = [f"p{n}" for n in range(len(parts))]
+    with scratch() as inside:
+        def shaped(df: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+            """(id and shape; the shapes): rows that look alike, keys included, are one shape."""
+            rows = df.select("id", *_KEPT, *[_hashed(p[side]).alias(h) for p, h in zip(parts, hashes, strict=True)])
+            looks = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in _KEPT]
+            rows = rows.withColumn("shape", F.unhex(F.md5(F.concat_ws("\x1f", *looks, F.xxhash64(*hashes).cast("string")))))
+            return inside(rows.select("id", "shape")), inside(rows.drop("id").dropDuplicates(["shape"]))
+
+        todo, left = shaped(records, 0)
+        known, right = shaped(targets, 1)
+        known = known.select(F.col("id").alias("to"), F.col("shape").alias("b"))
+        answers: list[DataFrame] = []
+        for lo, hi in ((0, min(strong, len(rules))), (strong, len(rules))):
+            if lo >= hi:
+                continue
+            # Rows that share a rule's key share that of each rule with less to it. These alone are joined by; for the others the rest is held together.
+            least = [n for n in range(lo, hi) if not any(of[m] < of[n] or (of[m] == of[n] and m < n) for m in range(lo, hi))]
+            by = {n: next(m for m in least if of[m] <= of[n]) for n in range(lo, hi)}
+            met_by = lambda n: F.col("rules").bitwiseAND(1 << by[n]) != 0  # noqa: B023, E731
+            more = lambda n: [F.arrays_overlap(F.col(hashes[p]), F.col(f"to_{hashes[p]}")) for p in sorted(of[n] - of[by[n]])]  # noqa: B023, E731
+            bits = reduce(Column.bitwiseOR, [F.when(reduce(Column.__and__, more(n), met_by(n)), F.lit(1 << n)).otherwise(F.lit(0)) for n in range(lo, hi)])
+            key = lambda n: _block(n, [F.col(hashes[p]) for p in sorted(of[n])])
+            bit = lambda n: F.transform(key(n), lambda k: F.struct(F.lit(1 << n).alias("bit"), k.alias("key")))  # noqa: B023, E731
+            open_ = left if lo == 0 else left.join(todo.select("shape").distinct(), "shape", "left_semi")
+            a = open_.select(F.col("shape").alias("a"), F.explode(F.flatten(F.array(*map(bit, least)))).alias("k")).select("a", "k.bit", "k.key")
+            b = right.select(F.col("shape").alias("b"), F.explode(F.flatten(F.array(*map(key, least)))).alias("key"))
+            pairs = inside(_met(a, b, HOT_ROWS))
+            held = tuple(hashes[p] for p in sorted(set().union(*(of[n] - of[by[n]] for n in range(lo, hi)))))
+            # Pairs that outnumber the rows are judged in turns, by their records: with their texts, no more than about as many as there are rows are on disk at once.
+            turns = max(1, -(-pairs.count() // max(1, left.count() + right.count())))
+            turn = lambda df, c, k: df if turns == 1 else df.where(F.pmod(F.xxhash64(c), F.lit(turns)) == k)  # noqa: B023, E731
+            agreed = [inside(_agreed(turn(pairs, "a", k), turn(left, "shape", k), right, bits, held)) for k in range(turns)]
+            forget(pairs)
+            met = reduce(DataFrame.unionByName, agreed).join(todo.withColumnRenamed("shape", "a"), "a").join(known, "b")
+            met = met.select("id", "to", F.explode(F.array(*[F.when(F.col("rules").bitwiseAND(1 << n) != 0, F.lit(n)) for n in range(lo, hi)])).alias("step")).where("step IS NOT NULL")
+            sole = met.groupBy("id", "step").agg(F.min("to").alias("to"), (F.min("to") == F.max("to")).alias("one"))
+            first = F.min(F.when(F.col("one"), F.struct("step", "to"))).alias("first")
+            answers.append(keep(sole.groupBy("id").agg(first).select("id", "first.to", "first.step")))
+            forget(*agreed)
+            if hi < len(rules):
+                before, todo = todo, inside(todo.join(answers[-1].where("step IS NOT NULL").select("id"), "id", "left_anti"))
+                forget(before)
+    names = F.array(*[F.lit(r.name) for r in rules])
+    answered = reduce(DataFrame.unionByName, answers)
+    matched = answered.where("step IS NOT NULL").select("id", "to", F.element_at(names, F.col("step") + 1).alias("rule"), "step")
+    return matched, answered.where("step IS NULL").select("id").distinct().join(matched.select("id"), "id", "left_anti")
+
+
+def _parts(rules: list[Rule]) -> tuple[list[tuple[Column, Column]], list[frozenset[int]]]:
+    """(the different attributes of the rules, of records and of targets; of each rule, their numbers)."""
+    parts: list[tuple[Column, Column]] = []
+    number: dict[tuple[int, int], int] = {}
+    of = []
+    for r in rules:
+        for p in (pairs := list(zip(r.keys, r.theirs or r.keys, strict=True))):
+            if (id(p[0]), id(p[1])) not in number:
+                number[id(p[0]), id(p[1])] = len(parts)
+                parts.append(p)
+        of.append(frozenset(number[id(a), id(b)] for a, b in pairs))
+    return parts, of
+
+
+def _hashed(part: Column) -> Column:
+    """Hashes of the values of an attribute; none if it is null."""
+    return F.coalesce(F.transform(F.array_distinct(F.filter(part, lambda v: v.isNotNull())), lambda v: F.xxhash64(v.cast("string"))), F.array().cast("array<bigint>"))
+
+
+def _block(number: int, parts: list[Column]) -> Column:
+    """Hashes of every combination of the values of the parts, with the rule's number."""
+    return reduce(lambda begun, part: F.flatten(F.transform(begun, lambda o: F.transform(part, lambda v: F.xxhash64(o, v)))), parts, F.array(F.lit(number).cast("bigint")))
 
 
 def rule_precision(found: DataFrame, records: DataFrame, targets: DataFrame, rules: list[Rule], grade: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from leafwork.llm.bktree import levenshtein
 from leafwork.operators.graph import components
 from leafwork.operators.match import salted_join
-from leafwork.session import cut, small
+from leafwork.session import cut, forget, kept, small
 
 # Letters that are heard or written for each other.
 _SOUND = {c: k for k, cs in {"b": "bp", "v": "fvw", "k": "ckq", "g": "gj", "s": "sxz", "d": "dt", "l": "l", "m": "m", "n": "n", "r": "r", "a": "a", "e": "e", "i": "iy", "o": "o", "u": "u"}.items() for c in cs}
@@ -166,7 +166,7 @@ def surname_clusters(mentions: DataFrame) -> DataFrame:
     names = mentions.where("surname IS NOT NULL")
     forms = names.groupBy("surname").agg(F.countDistinct("rec").alias("n"))
     keys = F.pandas_udf(_keys_of, T.ArrayType(T.StringType()))
-    blocked = cut(forms.select("surname", "n", F.explode(keys("surname")).alias("key")))
+    blocked = kept(forms.select("surname", "n", F.explode(keys("surname")).alias("key")))
     f, g = blocked.toDF("f", "nf", "key"), blocked.toDF("g", "ng", "key")
     heavier = (F.col("ng") > F.col("nf")) | ((F.col("ng") == F.col("nf")) & (F.col("g") < F.col("f")))
     near = F.abs(F.length("f") - F.length("g")) <= 3
@@ -175,7 +175,8 @@ def surname_clusters(mentions: DataFrame) -> DataFrame:
     together = in_rec.toDF("rec", "f").join(in_rec.toDF("rec", "g"), "rec").where("f <> g").select("f", "g").distinct().withColumn("together", F.lit(1))
     blocked_pairs = f.join(g, "key").where(near).drop("key")
     pairs = blocked_pairs.unionByName(together.select("f", "g").join(forms.toDF("f", "nf"), "f").join(forms.toDF("g", "ng"), "g")).where(heavier).distinct()
-    pairs = cut(pairs.mapInPandas(_judge, "f string, g string, nf long, ng long, jw double, edits long").where("jw >= 0.8").join(together, ["f", "g"], "left"))
+    pairs = kept(pairs.mapInPandas(_judge, "f string, g string, nf long, ng long, jw double, edits long").where("jw >= 0.8").join(together, ["f", "g"], "left"))
+    forget(blocked)
     in_work = names.where("work IS NOT NULL").select("work", "surname").distinct()
     by_work = in_work.join(in_work.groupBy("work").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "work").select("work", "surname")
     close = pairs.where("together IS NULL AND jw >= 0.85 AND edits <= 3").select("f", "g")
@@ -187,10 +188,13 @@ def surname_clusters(mentions: DataFrame) -> DataFrame:
     given = names.select("surname", "given").distinct()
     fits = likely.where("together = 0").select("f", "g").join(given.toDF("f", "p"), "f").join(given.toDF("g", "q"), "g").mapInPandas(_fitting, "f string, g string").distinct().withColumn("fit", F.lit(True))
     weight = F.struct("works", F.round("jw", 6).alias("jw"), F.col("ng"), F.col("g"))
-    accepted = cut(likely.join(fits, ["f", "g"], "left").where("together > 0 OR fit").select("f", "g", "together", weight.alias("weight")))
+    accepted = kept(likely.join(fits, ["f", "g"], "left").where("together > 0 OR fit").select("f", "g", "together", weight.alias("weight")))
+    forget(pairs)
     chosen = accepted.groupBy("f").agg(F.max_by("g", "weight").alias("g")).unionByName(accepted.where("together > 0").select("f", "g"))
     linked = components(chosen, "f", "g").toDF("surname", "cluster")
-    return forms.select("surname").join(linked, "surname", "left").select("surname", F.coalesce("cluster", "surname").alias("cluster"))
+    clusters = cut(forms.select("surname").join(linked, "surname", "left").select("surname", F.coalesce("cluster", "surname").alias("cluster")))
+    forget(accepted)
+    return clusters
 
 
 def _refining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,7 +218,7 @@ def people(mentions: DataFrame) -> DataFrame:
     """
     rows = mentions.select("rec", "surname", F.coalesce("given", F.lit("")).alias("given"), "work").where("surname <> ''").distinct()
     rows = cut(rows)
-    named = formal(rows.join(small(cut(surname_clusters(rows)), NAMES_SENT), "surname"))
+    named = formal(rows.join(small(surname_clusters(rows), NAMES_SENT), "surname"))
     exact = F.struct(~F.col("given").endswith("."), F.length("given"), F.col("given"))
     best = cut(named.groupBy("rec").agg(F.max_by(F.struct("cluster", "given"), exact).alias("b"), F.min("work").alias("work")).select("rec", "b.cluster", "b.given", "work"))
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +26,9 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     return SparkSession.builder.master(f"local[{cores}]").config(map=settings).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Only a local session without that setting gets a folder of its own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
@@ -37,7 +36,52 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="leafwork-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is planned and run here are deleted when it has run, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it from there; nothing else is left of what made it."""
+    _folder(df.sparkSession)
+    with _shuffles_deleted(df.sparkSession):
+        return df.select("*").checkpoint()  # planned anew, as shuffles are deleted by the setting a plan began with
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """:func:`cut`, in compressed columns: a fraction of the size, and only the columns that are asked for are read. The files stay until :func:`forget`."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/kept-{uuid.uuid4().hex}"
+    with _shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """:func:`kept`, for frames that are deleted at the end; what is to be read after it must be cut within."""
+    frames: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        frames.append(kept(df))
+        return frames[-1]
+
+    try:
+        yield keep
+    finally:
+        forget(*frames)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -51,13 +95,15 @@ def spread(df: DataFrame, *by: str | Column) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete what :func:`cut` wrote for frames that nothing reads any more, so that loops leave no files of old rounds."""
+    """Delete what :func:`cut` or :func:`kept` wrote for frames that nothing reads any more, so that no files of old steps stay."""
     for df in frames:
         try:
-            jvm, rdd = df.sparkSession._jvm, df._jdf.queryExecution().logical().rdd()
-            at = rdd.getCheckpointFile()
-            if at.isDefined():
-                path = jvm.org.apache.hadoop.fs.Path(at.get())
+            jvm, at = df.sparkSession._jvm, getattr(df, "_kept_at", None)
+            if at is None:
+                file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+                at = file.get() if file.isDefined() else None
+            if at is not None:
+                path = jvm.org.apache.hadoop.fs.Path(at)
                 path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
         except (AttributeError, TypeError):  # no classic session, or no checkpoint: the files stay
             continue
